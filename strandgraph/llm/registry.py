@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import simhash
+    from strandgraph.llm import mixing, simhash
 
-    return [simhash]
+    return [simhash, mixing]
 
 
 def queries() -> dict:
