@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import mixing, simhash
+    from strandgraph.llm import mixing, packing, simhash
 
-    return [simhash, mixing]
+    return [simhash, mixing, packing]
 
 
 def queries() -> dict:
