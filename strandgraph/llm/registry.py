@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import mixing, packing, simhash
+    from strandgraph.llm import mixing, multiset, packing, simhash
 
-    return [simhash, mixing, packing]
+    return [multiset, simhash, packing, mixing]
 
 
 def queries() -> dict:
