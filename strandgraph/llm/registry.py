@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import mixing, multiset, packing, simhash
+    from strandgraph.llm import chat, mixing, multiset, packing, simhash
 
-    return [multiset, simhash, packing, mixing]
+    return [multiset, chat, simhash, packing, mixing]
 
 
 def queries() -> dict:
