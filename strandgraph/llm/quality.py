@@ -26,8 +26,8 @@ GRADES = 3
 #: Hashed weights for words and for shapes.
 WORDS, SHAPES = 1 << 17, 1 << 12
 #: Labelled rows of a grade to train on, at most, and their length (longer ones aren't drawn).
-TRAIN_ROWS, TRAIN_CHARS = 1500, 50_000
-RIDGE, STEPS = 2e-4, 400
+TRAIN_ROWS, TRAIN_CHARS = 1200, 50_000
+RIDGE, STEPS = 2e-4, 300
 #: Documents stay if P(grade >= 1) reaches this.
 KEEP = 0.35
 CACHE_WORDS = 300_000
@@ -52,7 +52,7 @@ class Features:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        for word in {*words} - known.keys():
+        for word in [w for w in {*words} if w not in known]:
             shape = zlib.crc32(_shape(word[:200]).encode("utf-8", "surrogatepass")) % (SHAPES // 2 - 1)
             known[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS * SHAPES + shape
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strandgraph.llm.common import table
 
 #: Labelled rows to train on, at most, and their length in characters (longer ones aren't drawn).
-TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1500, 3000, 50_000
+TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 2400, 50_000
 #: A word tells toxic text if it follows this many different words there, this many times as often
 #: as in ordinary text, with this log-likelihood ratio. Contexts, not counts: copies don't add any.
 CONTEXTS, ODDS, G2 = 4, 6.0, 18.0
@@ -92,7 +92,7 @@ class Gains:
             self.known.clear()
         words, known = windows(text), self.known
         toxic, ordinary = self.sizes
-        for word in {*words} - known.keys():
+        for word in [w for w in {*words} if w not in known]:
             closed = b" " + word + TAIL
             known[word] = min(MAX_GAIN, max(0, len(ordinary.compress(closed)) - len(toxic.compress(closed))))
         at = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=MAX_GAIN + 1)[1:]
