@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import chat, mixing, multiset, packing, quality, simhash, toxicity
+    from strandgraph.llm import chat, mixing, multiset, packing, quality, simhash, substrings, toxicity
 
-    return [multiset, chat, simhash, toxicity, quality, packing, mixing]
+    return [multiset, chat, simhash, substrings, toxicity, quality, packing, mixing]
 
 
 def queries() -> dict:
