@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from strandgraph.llm import chat, embeddings, mixing, multiset, packing, quality, simhash, substrings, toxicity
+    from strandgraph.llm import chat, embeddings, mixing, multiset, packing, privacy, quality, simhash, substrings, toxicity
 
-    return [embeddings, multiset, chat, simhash, substrings, toxicity, quality, packing, mixing]
+    return [embeddings, privacy, multiset, chat, simhash, substrings, toxicity, quality, packing, mixing]
 
 
 def queries() -> dict:
