@@ -41,11 +41,10 @@ def cut_one(text: str | None) -> tuple[str, str]:
     return (head if end is None else text[: end + 1]), "head6000"
 
 
-@F.pandas_udf("text string, cut_method string")
 def _cut(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([cut_one(t) for t in texts], columns=["text", "cut_method"])
 
 
 def section_cut(text: Column) -> Column:
     """struct(text, cut_method). Python's regular expressions decide, as offsets are needed."""
-    return _cut(text)
+    return F.pandas_udf(_cut, "text string, cut_method string")(text)
