@@ -108,8 +108,9 @@ def excerpt(s: Column, n: int = 1800) -> Column:
 
 
 def abbreviated(n: Column) -> Column:
-    """17000 as 17.0k; below a thousand as it is."""
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """17000 as 17.0k (halves rounded up); below a thousand as it is."""
+    tenths = F.floor((n + 50) / 100)
+    return F.when(n >= 1000, F.format_string("%d.%dk", F.floor(tenths / 10), tenths % 10)).otherwise(n.cast("string"))
 
 
 def _last_before(text: Column, separator: str) -> Column:

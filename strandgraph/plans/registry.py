@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strandgraph.plans import queries_flow, queries_graph
+
+_MODULES = (queries_graph, queries_flow)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
