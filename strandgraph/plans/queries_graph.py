@@ -211,23 +211,13 @@ def load_counts(spark, sf):
     return _store(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.count("vector").alias("n_embedded"))
 
 
-@g("load_embeddings_nodes", "SELECT n.rk, e.vec_id FROM (SELECT rk, try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT) AS num FROM node) n LEFT JOIN embeddings e ON e.vec_id = n.num")
-def _unused(x):
-    return x.nodes.select("rk")
-
-
-del QUERIES["load_embeddings_nodes"]
-ORACLE_SQL["load_embeddings"] = ORACLE_SQL.pop("load_embeddings_nodes")
-
-
+@query("load_embeddings", with_graph("SELECT n.rk, e.vec_id FROM (SELECT rk, try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT) AS num FROM node) n LEFT JOIN embeddings e ON e.vec_id = n.num"))
 def load_embeddings(spark, sf):
     nodes = enc.graph(spark, sf).nodes.select("rk", F.expr(r"try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT)").alias("vec_id"))
     have = table(spark, sf, "embeddings").select("vec_id", F.lit(True).alias("has"))
     return nodes.join(have, "vec_id", "left").select("rk", F.when(F.col("has"), F.col("vec_id")).alias("vec_id"))
 
 
-QUERIES["load_embeddings"] = load_embeddings
-
 VIEW = ", v AS (SELECT c.*, (SELECT min(month) FROM rel JOIN paper USING (paper_id) WHERE rel.rk = c.rk) AS month, CASE WHEN length(c.rk) % 3 = 0 THEN true ELSE false END AS reviewed FROM cview c)"
 
 
@@ -277,17 +267,21 @@ def resolve_node(x):
     return explore.resolve_node(x.nodes, asked)
 
 
-def _closure_sql(step: str) -> str:
-    return SEED + f", walk AS (SELECT s AS rk FROM seed UNION SELECT {step})"
+TOP = SEED.replace("SELECT dst AS s FROM pairs GROUP BY dst ORDER BY count(*) DESC, dst", "SELECT src AS s FROM pairs GROUP BY src ORDER BY count(*) DESC, src")
+
+
+def _closure_sql(step: str, seed: str = SEED) -> str:
+    return seed + f", walk AS (SELECT s AS rk FROM seed UNION SELECT {step})"
 
 
 UP, DOWN = "p.dst FROM walk JOIN pairs p ON p.src = walk.rk", "p.src FROM walk JOIN pairs p ON p.dst = walk.rk"
 
 
-@g("lineage_ancestors", _closure_sql(UP) + " SELECT rk FROM walk WHERE rk NOT IN (SELECT s FROM seed)")
+@g("lineage_ancestors", _closure_sql(UP, TOP) + " SELECT rk FROM walk WHERE rk NOT IN (SELECT s FROM seed)")
 def lineage_ancestors(x):
     pairs = views.lineage(x).cache()
-    return explore.closure(pairs, _seed(pairs)).select("rk")
+    start = pairs.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("rk"))
+    return explore.closure(pairs, start).select("rk")
 
 
 @g("lineage_descendants", _closure_sql(DOWN) + " SELECT rk FROM walk WHERE rk NOT IN (SELECT s FROM seed)")
