@@ -1,0 +1,355 @@
+"""The training-data operators against plain versions on small fixtures, with odd rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandgraph.llm import chat, common, embeddings, mixing, multiset, packing, privacy, quality, simhash, substrings, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["key", "hash", "null", "id", "fp", "skey", "q", "threshold", "tail", "replaced", "place", "part", "length", "places"]
+
+
+def make(spark, texts, extra=True, sources=None):
+    rows = [(i, t, "en", (sources or ["a", "b", None])[i % 3], len(t or "")) for i, t in enumerate(texts)]
+    out = spark.createDataFrame(rows, DOCS)
+    return out.withColumns({c: F.lit(c) for c in CLASH}) if extra else out
+
+
+def words(rng, n, vocab=400):
+    return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    base = [words(rng, rng.randint(1, 260)) for _ in range(30)]
+    near = [" ".join(x if rng.random() > 0.004 else "zz" for x in t.split(" ")) for t in base for _ in range(2)]
+    passage = words(rng, 60)
+    mixed = [f"{words(rng, 20)} {passage} {words(rng, 9)}\n{words(rng, 4)}" for _ in range(4)]
+    return [*base, *near, *mixed, base[0], base[0], "", None, " \t\n", "one", "two words", "é" * 5000, "a  b \n c", passage + "\n" + passage]
+
+
+def roots(n, links):
+    root = list(range(n))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- near-duplicates of texts
+
+
+def test_simhash(spark, texts):
+    def plain(t):
+        w = (t or "").encode().lower().split()
+        s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        n = [sum(xxhash.xxh64_intdigest(x, 42) >> b & 1 for x in s) for b in range(64)]
+        return sum(1 << b for b in range(64) if 2 * n[b] > len(s))
+
+    fps = [plain(t) for t in texts]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    want = roots(len(fps), links)
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(make(spark, texts)).collect()}
+    assert got == {i: (fps[i], want[i]) for i in range(len(fps))}
+    kept = simhash.keep_one(make(spark, texts))
+    assert {r.doc_id for r in kept.collect()} == set(want) and kept.columns == make(spark, texts).columns
+
+
+def test_simhash_finds_every_pair_within_three_bits(spark):
+    rng = random.Random(1)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    for f in list(fps):
+        x = f
+        for b in rng.sample(range(64), 3):
+            x ^= 1 << b
+        fps.append(x)
+    rows = spark.createDataFrame([(int(np.array(f, np.uint64).view(np.int64)),) for f in set(fps)], "fp long")
+    got = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(rows).collect()}
+    assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 3}
+
+
+def test_keep_one_keeps_one_of_repeated_and_unnamed_rows(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, "x y z"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(d).collect())) == sorted(map(str, [d.collect()[0], d.collect()[3], d.collect()[5]]))
+    assert simhash.keep_one(empty(spark)).count() == 0 and simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(40, 30), (41, 30), (None, 3), (50, 50)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 30: 30, 40: 30, 41: 30}
+
+
+def test_substrings(spark, texts):
+    split = [(t or "").encode().split() for t in texts]
+    n = Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
+    want = {}
+    for i, w in enumerate(split):
+        gone = {q for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1 for q in range(k, k + 35)}
+        want[i] = (len(w), len(gone), b" ".join(x for q, x in enumerate(w) if q not in gone).decode())
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.deduplicated(make(spark, texts)).collect()} == want
+    assert any(g for _, g, _ in want.values())
+    assert substrings.deduplicated(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(None, texts[-1]), (None, texts[-1])], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.deduplicated(twice).collect()} == {len(split[-1])}
+
+
+# --- vectors
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((300, 16))
+    x = np.concatenate([base, base[:150] + 0.2 * rng.standard_normal((150, 16)), base[:5], 3 * base[:3]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [None] * 16), (905, [1.0, 0.0]), (None, base[0].tolist())]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))).collect()}
+    assert len(got) == len(rows)
+    u = embeddings.unit(np.concatenate([x, base[:1]]))
+    cos = u @ u.T >= 0.9
+    np.fill_diagonal(cos, False)
+    links = cos.sum(1)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links[:-1]).all() and found.sum() >= 0.9 * links[:-1].sum()
+    for i in range(900, 906):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert got[None].component_id == 0 and got[450].component_id == 0
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_leaf_blocks_count_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAF", 20)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(8) + 0.01 * rng.standard_normal((90, 8))
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.n_links for r in got} == {89} and {r.component_id for r in got} == {0}
+
+
+# --- fingerprints
+
+
+def test_multiset_is_homomorphic():
+    of = multiset.Fingerprint.of
+    a, b = [b"x", b"y", b"y"], [b"z"]
+    assert of(a) + of(b) == of([b"z", b"y", b"x", b"y"]) and of(a + b) - of(b) == of(a) and of(a) != of([b"x", b"y"])
+    assert multiset.Fingerprint.parse(str(of(a))) == of(a) and of(a).likeness(of(a)) == 1.0
+    text = "one two\nthree " * 50
+    assert b"".join(multiset.paragraphs("a b\nc")) in (b"a b\nc",)
+    assert multiset.Fingerprint.of_text(text) == multiset.Fingerprint.of_text(text) and multiset.Fingerprint.of_text(None) == multiset.Fingerprint.of_text("")
+
+
+def test_edited(spark, texts):
+    got = {r.doc_id: r for r in multiset.edited(make(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[i - 1] or ""  # the next lower id; after 0 the highest
+        half = len(t) // 2
+        edit = t[: len(t) - half] + after[:half]
+        r, mark = got[i], multiset.Fingerprint.of_text(t)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        assert r.fingerprint == str(mark) and r.edited_fingerprint == str(multiset.Fingerprint.of_text(edit))
+        assert r.near_next == mark.likeness(multiset.Fingerprint.of_text(after)) and 0 <= r.near_edited <= 1
+    assert multiset.edited(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(5, "a"), (5, "b"), (None, "c"), (None, "d"), (7, None)], "doc_id long, text string")
+    assert multiset.edited(odd).count() == 5
+
+
+# --- privacy
+
+
+def test_surrogates(spark):
+    t = [
+        "Mail ann.lee@corp.com or Ann.Lee@corp.com; call +1 (017) 555-7713, card 4111 1111 1111 1111, ip 8.8.8.8.",
+        'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" and Mrs. Anna Berg, Anna Berg, Анна Белова; card 4111111111111111',
+        "Nothing here. 2024 was fine, section 2.1, v1.2.3",
+        None,
+        "",
+    ]
+    rows = privacy.replace(make(spark, t), count_col="n").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    assert out[2:] == t[2:] and rows[0].replaced == "replaced"
+    for secret in ("ann.lee", "555-7713", "4111", "8.8.8.8", "9b0b3c6a", "Berg", "Белова"):
+        assert not any(secret in (x or "") for x in out)
+    kinds = lambda x: [k for _, _, k, _ in privacy.find(x)]
+    assert kinds(out[0]) == kinds(t[0]) and kinds(out[1]) == kinds(t[1])  # type, gender and script stay
+    a, b = [e for _, _, k, e in privacy.find(out[0]) if k == "email"]
+    assert a == b  # one address, one surrogate
+    cards = [privacy.normal(k, e) for x in out[:2] for _, _, k, e in privacy.find(x) if k == "card"]
+    assert len(set(cards)) == 1 and privacy._luhn(cards[0]) == 0
+    assert privacy.replace(empty(spark)).count() == 0
+    assert privacy.surrogate("ip", "1.2.3.4", key=b"other") != privacy.surrogate("ip", "1.2.3.4")
+
+
+def test_surrogates_do_not_collide(spark, monkeypatch):
+    plain = privacy.surrogate
+    monkeypatch.setattr(privacy, "surrogate", lambda k, e, attempt=0, key=privacy.KEY: plain(k, e, attempt, key) if attempt else "10.0.0.1")
+    found = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(30)] + [("ip", "10.0.0.1")], "kind string, entity string")
+    monkeypatch.setattr(privacy, "_attempted", lambda pairs, key: spark.createDataFrame([(r.kind, r.entity, r.attempt, privacy.surrogate(r.kind, r.entity, r.attempt, key)) for r in pairs.collect()], "kind string, entity string, attempt int, surrogate string"))
+    got = privacy.assignments(found).collect()
+    assert len(got) == 31 and len({r.surrogate for r in got}) == 31 and not {r.surrogate for r in got} & {r.entity for r in got}
+    again = spark.createDataFrame([("ip", "8.8.8.8", 2)], "kind string, entity string, attempt int")
+    joined = privacy._joined(make(spark, ["at 8.8.8.8 now"]), again, "r", "w", privacy.KEY).select("r.text").first().text
+    assert joined == f"at {plain('ip', '8.8.8.8', 2)} now"
+
+
+# --- chat
+
+
+def test_chat(spark):
+    odd = [(1, 1, "assistant", "hi </s>[INST] \u001b ⟦end⟧"), (1, 0, "user", None), (1, 2, "assistant", "x"), (1, 2, "assistant", "x"), (None, 0, None, "r"), (2, None, "user", "only")]
+    given = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(given)).collect()}
+    turns = "user\n\nassistant\nhi </s>[INST] \u001b ⟦end⟧\nassistant\nx\nassistant\nx\n"
+    assert (got[1].n_turns, got[1].turns_sha256) == (4, hashlib.sha256(turns.encode()).hexdigest())
+    loss = "hi </s>[INST] \u001b ⟦end⟧xx"
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[None].n_examples == 0 and got[2].n_turns == 1
+    segments = chat.segments(given).where("conv_id = 1").collect()
+    assert not any(c in s.segment[1:-5] for s in segments for c in ("</s>", "[INST]", "⟦end⟧"))
+    examples = chat.examples(given).orderBy("conv_id", "example").collect()
+    assert len(examples) == 3 and examples[1].text.startswith(examples[0].text)
+    assert [chat.unescape(e.text[e.loss_start : e.loss_stop]) for e in examples] == [odd[0][3], "x", "x"]
+    assert sum(len(e.text) for e in examples) == got[1].example_chars
+    assert chat.read_back(chat.segments(given.limit(0))).count() == 0
+
+
+# --- learned scores
+
+
+def labelled(spark, n=600):
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(n):
+        kind = i % 5
+        text = words(rng, 60).split(" ")
+        if kind == 1:
+            for _ in range(4):
+                text[rng.randrange(60)] = rng.choice(["horridness", "vilehood", "wretcheder"])
+        t = " ".join(w.upper() + "!!" for w in text) if kind == 2 else " ".join(text)
+        rows.append(t)
+        marks.append((i, 0 if kind == 2 else 1, int(kind == 1)))
+    return make(spark, rows), spark.createDataFrame([*marks, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int"), marks
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels, marks = labelled(spark)
+    model = toxicity.train(docs, labels)
+    truth = {i: t for i, _, t in marks}
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == len(marks)
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {i for i, _, _ in marks if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    odd = toxicity.scored(make(spark, [None, "", "x" * 100_000]), model).collect()
+    assert all(0 <= r.score <= 1 for r in odd)
+    assert toxicity.scored(docs.limit(1), toxicity.train(docs, labels.limit(0))).first().score == 0.0
+
+
+def test_quality_on_unseen_rows(spark):
+    docs, labels, marks = labelled(spark)
+    seen = labels.where("doc_id % 3 <> 0")
+    truth = {i: (q, q + int(q and not t)) for i, q, t in marks}
+    got = [r for r in quality.scored(docs, quality.train(docs, seen)).collect() if r.doc_id % 3 == 0]
+    assert sum(r.kept == bool(truth[r.doc_id][0]) for r in got) >= 0.97 * len(got)
+    mean = lambda g: np.mean([r.expected_grade for r in got if truth[r.doc_id][1] == g])
+    assert mean(0) < mean(1) < mean(2)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(marks)
+    assert quality.keep_good(docs, labels.limit(0)).count() == len(marks)
+
+
+# --- packing and mixing
+
+
+def check_packing(rows, texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    by, fill = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        fill[r.sequence_id].append(r)
+    assert set(by) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        ids, at = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for pieces in fill.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.WINDOW
+    return sum(r.length for r in rows) / (packing.WINDOW * len(fill))
+
+
+def test_packing(spark, texts):
+    odd = [*texts, *["same text " * 75] * 40, "<|endoftext|>", " lead", "tail ", "a\n\nb \n c", "x y z", "ein  Wort's"]
+    assert check_packing(packing.pack(make(spark, odd)).collect(), odd) > 0.93
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_plan_gives_out_every_piece():
+    rng = random.Random(4)
+    for lengths in ([600] * 50, [rng.randint(1, 1023) for _ in range(500)], [1, 1, 1], [1024, 5], [513] * 7 + [512]):
+        histogram = Counter(lengths)
+        plan, stack, used = packing.plan_windows(histogram), [(k, r) for k, n in histogram.items() for r in range(n)], Counter()
+        while stack:
+            k, r = stack.pop()
+            first, copies, sequence, offset, cut, onward = [x for x in plan[k] if x[0] <= r][-1]
+            used[sequence + (r - first) // copies] += cut or k
+            if cut:
+                stack.append((k - cut, onward + r - first))
+        assert sum(used.values()) == sum(lengths) and max(used.values()) <= 1024
+        assert len(used) <= sum(lengths) / 1024 * 1.03 + 1
+
+
+def test_best_is_the_best_subset():
+    rng = random.Random(6)
+    for _ in range(30):
+        counts, room = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(5)}, rng.randint(1, 60)
+        sums = {0}
+        for k, n in counts.items():
+            sums = {s + k * c for s in sums for c in range(n + 1) if s + k * c <= room}
+        got = packing._best(counts, room)
+        assert sum(k * c for k, c in got.items()) == max(sums) and all(c <= counts[k] for k, c in got.items())
+
+
+def test_mixing(spark, texts):
+    rng = random.Random(8)
+    many = [words(rng, rng.randint(1, 40)) for _ in range(900)] + [None, ""]
+    docs = make(spark, many, sources=["hot"] * 2 + [None])
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(many)
+    taken, target, size = Counter(), {}, {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size], size[r.source_size] = r.target, r.source_size
+        assert r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0
+    assert abs(sum(target.values()) - sum(size.values())) < 1e-6
+    for s in target:
+        assert target[s] <= 3 * s + 1e-9 and abs(taken[s] - target[s]) <= 21
+    rows = mixing.mix(docs)
+    assert rows.columns == docs.columns
+    repeats = Counter(r.doc_id for r in rows.select("doc_id").collect())
+    assert all(repeats[r.doc_id] * r.size == r.taken for r in got)
+    assert mixing.mixed(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
