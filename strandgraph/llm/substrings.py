@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from strandgraph.llm.common import cut, table
 
@@ -74,22 +75,25 @@ def _split(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(ranges + 1))
 
 
-SENT = "range int, once binary, more binary, owned binary, ids binary, places binary"
+SENT = "range int, once binary, more binary, owned binary, ids binary, runs binary, places binary"
 
 
 def _packed(once: np.ndarray, more: np.ndarray, owned: np.ndarray, ids: np.ndarray, places: np.ndarray, ranges: int, kind: str) -> pa.RecordBatch:
     """One row per range: hashes that occur once and more often in the chunk, and the hashes whose
-    owners (document, place) want to know whether they repeat."""
-    columns: list[list] = [[], [], [], [], [], []]
+    owners (document, place) want to know whether they repeat. Documents are sent as runs."""
+    columns: list[list] = [[] for _ in range(7)]
     (oo, ob), (mo, mb), (wo, wb) = (_split(h, ranges) for h in (once, more, owned))
     for r in range(ranges):
         o, m, w = oo[ob[r] : ob[r + 1]], mo[mb[r] : mb[r + 1]], wo[wb[r] : wb[r + 1]]
         if len(o) or len(m) or len(w):
-            row = [r, once[o].astype(kind).tobytes(), more[m].astype(kind).tobytes(), owned[w].astype(kind).tobytes(), ids[w].tobytes(), places[w].astype("<u4").tobytes()]
+            who = ids[w]
+            first = np.flatnonzero(np.diff(who, prepend=who[:1] - 1)) if len(w) else np.zeros(0, np.int64)
+            runs = np.diff(first, append=len(w)).astype("<u4")
+            row = [r, once[o].astype(kind).tobytes(), more[m].astype(kind).tobytes(), owned[w].astype(kind).tobytes(), who[first].tobytes(), runs.tobytes(), places[w].astype("<u4").tobytes()]
             for c, x in zip(columns, row):
                 c.append(x)
-    kinds = [pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["range", "once", "more", "owned", "ids", "places"])
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["range", "once", "more", "owned", "ids", "runs", "places"])
 
 
 def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +101,24 @@ def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[counts == 1], values[counts > 1]
 
 
-def _repeated(kind: str):
-    """Per range: which owned hashes occur twice or more among all chunks."""
+def _repeated(kind: str, owners_count: bool):
+    """Per range: which owned hashes occur twice or more among all chunks.
+
+    With owners_count the owned hashes are all occurrences; else once and more are.
+    """
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, twice, owned, ids, places = [], [], [], [], []
         for batch in batches:
-            for once, more, own, who, where in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                for parts, raw, form in ((seen, once, kind), (twice, more, kind), (owned, own, kind), (ids, who, "<i8"), (places, where, "<u4")):
+            for once, more, own, who, runs, where in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
+                for parts, raw in ((seen, once), (twice, more), (owned, own)):
                     if raw:
-                        parts.append(np.frombuffer(raw, form))
+                        parts.append(np.frombuffer(raw, kind))
+                if own:
+                    ids.append(np.repeat(np.frombuffer(who, "<i8"), np.frombuffer(runs, "<u4")))
+                    places.append(np.frombuffer(where, "<u4"))
+        if owners_count:
+            seen += owned
         if not owned:
             return
         both = np.sort(np.concatenate([np.zeros(0, kind), *seen]))
@@ -145,7 +157,7 @@ def _mapped(emit, ranges: int, kind: str):
                 got = emit(*(c[i].as_py() for c in columns))
                 if got is not None:
                     gathered.append(got)
-                    size += len(got[0])
+                    size += max(len(got[0]), len(got[1]))
                     if size >= CHUNK:
                         yield send()
                         gathered, size = [], 0
@@ -181,7 +193,7 @@ def repeats(keyed: DataFrame, n_words: int, anchors_only: bool = False) -> DataF
 
     short = "<u4"  # within a range the low 32 bits are enough for anchors: windows are checked in full
     sent = keyed.select("key", "text").mapInArrow(_mapped(blocks, ranges, short), SENT)
-    anchors = cut(_joined_places(sent.groupBy("range").applyInArrow(_repeated(short), "key long, places binary")))
+    anchors = cut(_joined_places(sent.groupBy("range").applyInArrow(_repeated(short, False), "key long, places binary")))
     if anchors_only:
         return anchors
 
@@ -192,12 +204,12 @@ def repeats(keyed: DataFrame, n_words: int, anchors_only: bool = False) -> DataF
         anchored[_places(places)] = True
         start = np.flatnonzero(anchored[-(-np.arange(n) // BLOCK)])  # the block that begins at or after the start
         h = rolling(words, WINDOW)[start]
-        return h, h, np.full(len(h), key, "<i8"), start
+        return h[:0], h, np.full(len(h), key, "<i8"), start
 
     full = "<u8"
     near = keyed.select("key", "text").join(anchors, "key")
     sent = near.select("key", "text", "places").mapInArrow(_mapped(windows, ranges, full), SENT)
-    return _joined_places(sent.groupBy("range").applyInArrow(_repeated(full), "key long, places binary"))
+    return _joined_places(sent.groupBy("range").applyInArrow(_repeated(full, True), "key long, places binary"))
 
 
 def removed_words(n: int, places: np.ndarray) -> np.ndarray:
@@ -212,12 +224,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every row of docs with its words that don't repeat.
 
     Words are runs without ASCII white space; kept joins them by one blank. A null text has no
-    words. A null or repeated doc_id is no matter: rows are told apart by a key of their own, so
-    that a repeated row repeats its windows. Other columns aren't read.
+    words. Where a doc_id is null or repeated, rows are told apart by a key of their own, so that a
+    repeated row repeats its windows. Other columns aren't read.
     """
-    keyed = cut(docs.select("doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
-    n_words = keyed.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    found = repeats(keyed, n_words // 6)
+    n, ids, chars = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.sum(F.length("text"))).first()
+    if n == ids and isinstance(docs.schema["doc_id"].dataType, LongType):
+        keyed = docs.select("doc_id", "text", F.col("doc_id").alias("key"))
+    else:
+        keyed = cut(docs.select("doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
+    found = repeats(keyed, (chars or 0) // 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
