@@ -87,8 +87,7 @@ def _packed(once: np.ndarray, more: np.ndarray, owned: np.ndarray, ids: np.ndarr
         o, m, w = oo[ob[r] : ob[r + 1]], mo[mb[r] : mb[r + 1]], wo[wb[r] : wb[r + 1]]
         if len(o) or len(m) or len(w):
             who = ids[w]
-            first = np.flatnonzero(np.diff(who, prepend=who[:1] - 1)) if len(w) else np.zeros(0, np.int64)
-            runs = np.diff(first, append=len(w)).astype("<u4")
+            first, runs = _runs(who)
             row = [r, once[o].astype(kind).tobytes(), more[m].astype(kind).tobytes(), owned[w].astype(kind).tobytes(), who[first].tobytes(), runs.tobytes(), places[w].astype("<u4").tobytes()]
             for c, x in zip(columns, row):
                 c.append(x)
@@ -101,8 +100,14 @@ def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[counts == 1], values[counts > 1]
 
 
-def _repeated(kind: str, owners_count: bool):
-    """Per range: which owned hashes occur twice or more among all chunks.
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return first, np.diff(first, append=len(values)).astype("<u4")
+
+
+def _repeated(kind: str, owners_count: bool, buckets: int):
+    """Per range: which owned hashes occur twice or more among all chunks, packed by buckets of keys.
 
     With owners_count the owned hashes are all occurrences; else once and more are.
     """
@@ -128,17 +133,44 @@ def _repeated(kind: str, owners_count: bool):
         own, who, where = np.concatenate(owned), np.concatenate(ids), np.concatenate(places)
         at = np.minimum(np.searchsorted(hits, own), max(0, len(hits) - 1))
         found = np.flatnonzero(hits[at] == own) if len(hits) else np.zeros(0, np.int64)
-        found = found[np.argsort(who[found], kind="stable")]
-        edges = np.flatnonzero(np.diff(who[found], prepend=np.nan, append=np.nan) != 0) if len(found) else np.zeros(1, np.int64)
-        for a in range(0, len(edges) - 1, 20_000):
-            part = edges[a : a + 20_001]
-            keys = who[found[part[:-1]]]
-            rows = [where[found[i:j]].astype("<u4").tobytes() for i, j in zip(part, part[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], ["key", "places"])
+        who, where = who[found], where[found].astype("<u4")
+        bucket = _range_of(who.view(np.uint64) * np.uint64(_BASE), buckets).astype(np.int64)
+        order = np.lexsort((who, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            part = order[edges[b] : edges[b + 1]]
+            if len(part):
+                first, runs = _runs(who[part])
+                rows.append((b, who[part][first].tobytes(), runs.tobytes(), where[part].tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["bucket", "ids", "runs", "places"])
 
     return run
 
 
+def _regrouped(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket of documents: one row per document with all its places."""
+    ids, places = [], []
+    for batch in batches:
+        for who, runs, where in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
+            ids.append(np.repeat(np.frombuffer(who, "<i8"), np.frombuffer(runs, "<u4")))
+            places.append(np.frombuffer(where, "<u4"))
+    who, where = np.concatenate(ids), np.concatenate(places)
+    order = np.argsort(who, kind="stable")
+    first, runs = _runs(who[order])
+    where = where[order]
+    for a in range(0, len(first), 10_000):
+        rows = [where[i : i + n].tobytes() for i, n in zip(first[a : a + 10_000], runs[a : a + 10_000])]
+        yield pa.RecordBatch.from_arrays([pa.array(who[order][first[a : a + 10_000]], pa.int64()), pa.array(rows, pa.binary())], ["key", "places"])
+
+
+def _by_document(sent: DataFrame, kind: str, owners_count: bool, ranges: int) -> DataFrame:
+    """(key, places) of the owned hashes that repeat: by ranges of hashes, then by buckets of keys."""
+    hits = sent.groupBy("range").applyInArrow(_repeated(kind, owners_count, ranges), "bucket int, ids binary, runs binary, places binary")
+    return hits.groupBy("bucket").applyInArrow(_regrouped, "key long, places binary")
+
+
 def _mapped(emit, ranges: int, kind: str):
     """A mapInArrow function: gathers what emit(key, text, extra) yields for each row, in chunks."""
 
@@ -167,13 +199,8 @@ def _mapped(emit, ranges: int, kind: str):
     return run
 
 
-def _joined_places(hits: DataFrame) -> DataFrame:
-    """One row per document: all its places as an array of packed arrays."""
-    return hits.groupBy("key").agg(F.collect_list("places").alias("places"))
-
-
-def _places(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<u4").astype(np.int64)
+def _places(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", "<u4").astype(np.int64)
 
 
 def repeats(keyed: DataFrame, n_words: int, anchors_only: bool = False) -> DataFrame:
@@ -193,11 +220,11 @@ def repeats(keyed: DataFrame, n_words: int, anchors_only: bool = False) -> DataF
 
     short = "<u4"  # within a range the low 32 bits are enough for anchors: windows are checked in full
     sent = keyed.select("key", "text").mapInArrow(_mapped(blocks, ranges, short), SENT)
-    anchors = cut(_joined_places(sent.groupBy("range").applyInArrow(_repeated(short, False), "key long, places binary")))
+    anchors = cut(_by_document(sent, short, False, ranges))
     if anchors_only:
         return anchors
 
-    def windows(key: int, text: str | None, places: list[bytes]):
+    def windows(key: int, text: str | None, places: bytes):
         words = word_hashes(text)
         n = len(words) - WINDOW + 1
         anchored = np.zeros(-(-len(words) // BLOCK) + 1, bool)
@@ -209,7 +236,7 @@ def repeats(keyed: DataFrame, n_words: int, anchors_only: bool = False) -> DataF
     full = "<u8"
     near = keyed.select("key", "text").join(anchors, "key")
     sent = near.select("key", "text", "places").mapInArrow(_mapped(windows, ranges, full), SENT)
-    return _joined_places(sent.groupBy("range").applyInArrow(_repeated(full, True), "key long, places binary"))
+    return _by_document(sent, full, True, ranges)
 
 
 def removed_words(n: int, places: np.ndarray) -> np.ndarray:
