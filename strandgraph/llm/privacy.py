@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import cut, fresh, table
+from strandgraph.llm.common import cut, fresh, small_batches, table
 
 KEY = b"surrogates of one release"
 #: Overrides of at most this many entities are broadcast (some 150 bytes each).
@@ -66,6 +66,8 @@ TITLES = {
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 _KNOWN = "|".join(n for ns in GIVEN.values() for n in ns)
+_MARKS = "(\"'“«[¿¡"
+_OPEN = re.escape(_MARKS)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Type and pattern, the first that matches at a place wins.
@@ -80,11 +82,22 @@ PATTERNS = (
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    ("name", rf"(?<!\w)(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
+    ("name", rf"(?<![^\s{_OPEN}])(?<!\S[{_OPEN}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-#: A text without any of these holds nothing to find; a cheap test before the patterns.
-_MAYBE = re.compile(rf"\d{{2}}|@|(?:AKIA|gh[pousr]_|sk-|xox)|(?:{_TITLE})\.? |(?:{_KNOWN}) |(?i:token|secret|passw|key)")
+_DIGIT, _KEYS = re.compile(r"\d"), re.compile(r"gh[pousr]_|AKIA|sk-|xox")
+#: What stands at the head of a name, also right after one opening mark.
+_HEADS = {m + w for m in ("", *_MARKS) for ts in TITLES.values() for t in ts for w in (t, t + ".")} | {m + n for m in ("", *_MARKS) for ns in GIVEN.values() for n in ns}
+
+
+def _maybe(text: str) -> bool:
+    """Cheap tests that a text must pass before the patterns are tried."""
+    if "@" in text or _DIGIT.search(text) or not _HEADS.isdisjoint(text.split()):
+        return True
+    low = text.lower()
+    return any(x in low for x in ("token", "secret", "passw", "key")) or bool(_KEYS.search(text))
+
+
 _SECRET_HEAD = re.compile(r"(?i)[a-z_-]+[\"']?\s*[:=]\s*[\"']?")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts} | {n: g for (_, g), ns in GIVEN.items() for n in ns}
 
@@ -103,7 +116,7 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
 
     A name's capitalisation tells it from common words: its words begin with a capital.
     """
-    if not _MAYBE.search(text):
+    if not _maybe(text):
         return
     for m in _FIND.finditer(text):
         kind, start, raw = m.lastgroup, m.start(), m[0]
@@ -284,6 +297,7 @@ def replace(docs: DataFrame, key: bytes = KEY, count_col: str | None = None) ->
     A null text stays null. Repeated rows and null ids are no matter. Other columns pass through,
     whatever their names. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     again = cut(assignments(entities(docs), key).where("attempt > 0").select("kind", "entity", "attempt"))
     n = again.count()
     result, wanted = fresh(docs, "replaced"), fresh(docs, "attempts")
