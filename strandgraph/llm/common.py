@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are large rows: pass at most so many at a time between the JVM and Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import cut, table
+from strandgraph.llm.common import cut, small_batches, table
 from strandgraph.llm.tokens import Tokens
 
 WINDOW = 1024
@@ -168,6 +168,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     (length, salt, doc_id, start, crc), so a rerun over the same rows gives the same packing up to
     the order of equal rows.
     """
+    small_batches(docs.sparkSession)
     found = cut(pieces(docs, window, path))
     lengths = found.groupBy("length").count().collect()  # at most one row per length
     plan = plan_windows({r["length"]: r["count"] for r in lengths}, window)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import fresh, table
+from strandgraph.llm.common import fresh, small_batches, table
 
 GRADES = 3
 #: Hashed weights for words and for shapes.
@@ -30,7 +30,7 @@ TRAIN_ROWS, TRAIN_CHARS = 1200, 50_000
 RIDGE, STEPS = 2e-4, 300
 #: Documents stay if P(grade >= 1) reaches this.
 KEEP = 0.35
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def _shape(word: str) -> str:
@@ -155,6 +155,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose tail probability reaches KEEP; columns unchanged, texts not shuffled."""
+    small_batches(docs.sparkSession)
     model, name = train(docs, labels), fresh(docs, "tail")
 
     @F.pandas_udf("double")

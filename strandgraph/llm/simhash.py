@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import components, cut, fresh, table
+from strandgraph.llm.common import components, cut, fresh, small_batches, table
 
 SEED = 42
 SHINGLE = 3
@@ -153,6 +153,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows equal in both one stays. Only these keys are shuffled against each other, and the texts
     once, to their keys.
     """
+    small_batches(docs.sparkSession)
     null, key, hashed = (fresh(docs, x) for x in ("null", "key", "hash"))
     keyed = docs.withColumns({null: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), hashed: F.xxhash64(F.coalesce("text", F.lit("")))})
 
