@@ -21,5 +21,5 @@ def test_twin(spark, name):
     got = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(got.columns)
     row = lambda r: tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)
-    want = con.sql(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    want = con.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(row, got.select(*columns).collect()))) == sorted(map(repr, map(row, want)))
