@@ -6,7 +6,7 @@ order of paragraphs doesn't matter, copies count, and a paragraph is inserted or
 or subtracting its vector. The strong lanes decide equality. The narrow lanes sketch inner products
 of multisets, so that two fingerprints alone tell how alike their documents are.
 
-Paragraphs are lines; long lines are cut where a word's own bytes say so (about every eighth word),
+Paragraphs are lines; long lines are cut where a word's own bytes say so (about every fourth word),
 so that an edit changes only the pieces that it touches.
 """
 
@@ -27,7 +27,7 @@ from strandgraph.llm.common import table
 
 STRONG, SIGNS = 4, 256
 #: A line is cut after a word whose checksum has these bits zero.
-CUT_MASK = 7
+CUT_MASK = 3
 #: Rows of a partition of the text shuffle, on average at most.
 PER_PART = 5_000
 MAX_PARTS = 4096
