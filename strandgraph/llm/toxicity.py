@@ -28,7 +28,8 @@ from strandgraph.llm.common import table
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 2400, 50_000
 #: A word tells toxic text if it follows this many different words there, this many times as often
 #: as in ordinary text, with this log-likelihood ratio. Contexts, not counts: copies don't add any.
-CONTEXTS, ODDS, G2 = 4, 6.0, 18.0
+#: From strict to lenient; the fit takes the setting whose dictionaries do best on unseen training rows.
+SETTINGS = ((4, 6.0, 18.0), (3, 6.0, 10.0), (2, 4.0, 6.0))
 BASE_BYTES, LEVEL, WINDOW_BYTES = 30_000, 9, 64
 TAIL = b" 0123456789abcdef "
 MAX_GAIN = 8
@@ -54,20 +55,21 @@ def _contexts(texts: Iterable[str]) -> dict[bytes, int]:
     return {w: len(s) for w, s in found.items()}
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str], setting: tuple[int, float, float] = SETTINGS[0]) -> tuple[bytes, bytes]:
     """The contents of the toxic and the ordinary dictionary."""
+    least, odds, ratio = setting
     a, b = _contexts(toxic), _contexts(ordinary)
     na, nb = sum(a.values()) or 1, sum(b.values()) or 1
 
     def telling(word: bytes) -> bool:
         x, y = a[word], b.get(word, 0)
-        if x < CONTEXTS or ((x + 0.5) / na) / ((y + 0.5) / nb) < ODDS:
+        if x < least or ((x + 0.5) / na) / ((y + 0.5) / nb) < odds:
             return False
         ex, ey = (x + y) * na / (na + nb), (x + y) * nb / (na + nb)
-        return 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) >= G2
+        return 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) >= ratio
 
     own = {w for w in a if telling(w)}
-    common = [w for w in sorted(b, key=lambda w: (b[w], w)) if b[w] >= CONTEXTS and w not in own]
+    common = [w for w in sorted(b, key=lambda w: (b[w], w)) if b[w] >= least and w not in own]
     base = (b" " + b" ".join(common) + b" ")[-BASE_BYTES:]
     extra = b" " + b" ".join(sorted(own, key=lambda w: (a[w], w))) + b" "
     rare = (b" " + b" ".join(common) + b" ")[: len(extra)]
@@ -115,19 +117,25 @@ class Model:
 
     def __init__(self, rows: list[tuple[int, str, int]]):
         folds = [[r for r in rows if zlib.crc32(str(r[0]).encode()) & 4 == k] for k in (0, 4)]
-        self.dictionaries = self.fit = None
+        self.dictionaries = self.fit = self.setting = None
         if all({r[2] for r in fold} == {0, 1} for fold in folds):
-            xs, ys = [], []
-            for seen, unseen in (folds, folds[::-1]):
-                gains = Gains(self._train(seen))
-                xs += [gains.features(text) for _, text, _ in unseen]
-                ys += [label for _, _, label in unseen]
-            self.fit = _logistic(np.array(xs), np.array(ys, np.float64))
-            self.dictionaries = self._train(rows)
+            ys = np.array([label for fold in folds[::-1] for _, _, label in fold], np.float64)
+            best = -np.inf
+            for setting in SETTINGS:
+                xs = []
+                for seen, unseen in (folds, folds[::-1]):
+                    gains = Gains(self._train(seen, setting))
+                    xs += [gains.features(text) for _, text, _ in unseen]
+                mean, scale, w = fit = _logistic(np.array(xs), ys)
+                z = ((np.array(xs) - mean) / scale) @ w[:-1] + w[-1]
+                likely = float(np.sum(ys * z - np.logaddexp(0, z)))
+                if likely > best:
+                    best, self.fit, self.setting = likely, fit, setting
+            self.dictionaries = self._train(rows, self.setting)
 
     @staticmethod
-    def _train(rows: list[tuple[int, str, int]]) -> tuple[bytes, bytes]:
-        return train_dictionaries([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    def _train(rows: list[tuple[int, str, int]], setting: tuple[int, float, float]) -> tuple[bytes, bytes]:
+        return train_dictionaries([t for _, t, y in rows if y], [t for _, t, y in rows if not y], setting)
 
     def score(self, gains: Gains | None, text: str | None) -> float:
         if gains is None:
