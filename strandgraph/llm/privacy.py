@@ -66,8 +66,6 @@ TITLES = {
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 _KNOWN = "|".join(n for ns in GIVEN.values() for n in ns)
-_MARKS = "(\"'“«[¿¡"
-_OPEN = re.escape(_MARKS)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Type and pattern, the first that matches at a place wins.
@@ -82,19 +80,20 @@ PATTERNS = (
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    ("name", rf"(?<![^\s{_OPEN}])(?<!\S[{_OPEN}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
+    ("name", rf"(?<!\w)(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 _DIGIT, _KEYS = re.compile(r"\d"), re.compile(r"gh[pousr]_|AKIA|sk-|xox")
-#: What stands at the head of a name, also right after one opening mark.
-_HEADS = {m + w for m in ("", *_MARKS) for ts in TITLES.values() for t in ts for w in (t, t + ".")} | {m + n for m in ("", *_MARKS) for ns in GIVEN.values() for n in ns}
+#: What names begin with, and the runs of letters that can be one of these whatever stands before.
+_HEADS = {t for ts in TITLES.values() for t in ts} | {n for ns in GIVEN.values() for n in ns}
+_HEAD = re.compile(f"[{''.join(sorted({h[0] for h in _HEADS}))}]" + r"[^\W\d_]+")
 
 
 def _maybe(text: str) -> bool:
-    """Cheap tests that a text must pass before the patterns are tried."""
-    if "@" in text or _DIGIT.search(text) or not _HEADS.isdisjoint(text.split()):
+    """Cheap tests that a text must pass before the patterns are tried: all with a match pass."""
+    if "@" in text or _DIGIT.search(text) or not _HEADS.isdisjoint(_HEAD.findall(text)) or text.count(":") >= 7:
         return True
-    low = text.lower()
+    low = text.casefold()
     return any(x in low for x in ("token", "secret", "passw", "key")) or bool(_KEYS.search(text))
 
 

@@ -195,6 +195,21 @@ def test_surrogates(spark):
     assert privacy.surrogate("ip", "1.2.3.4", key=b"other") != privacy.surrogate("ip", "1.2.3.4")
 
 
+def test_names_after_any_mark(spark, monkeypatch):
+    names = ["Anna Berg", "Mrs Vera Kahn", "Dr. Smith", "Frau Weber", "Señora Luz Mora", "Ольга Белова", "Κυρία Νίκη"]
+    marks = [chr(c) for c in range(0x3000) if not (chr(c).isalnum() or chr(c) == "_")]
+    texts = [f"by{m}{n}, and" for m in marks for n in names] + [f"{m}{n}" for m in marks for n in names] + [f'x ("{n}")' for n in names]
+    texts += ["Author:Anna Berg", 'name="Anna Berg"', ">Mrs Vera Kahn<", "„Frau Weber“", "—Dr Smith", "/Anna Berg"]
+    others = ["ab:cd:ef:ab:cd:ef:ab:cd", "paſſword: abcdefghij", "TO\u212aEN=abcdefghij", "a@b.cd", "xoxb-abcdefghijk"]
+    plain = ["HAnna Berg", "Annas Berg", "the miss", "a:b", "", "_Anna Berg"]
+    got = [list(privacy.find(x)) for x in texts + others + plain]
+    assert all(len(x) == 1 for x in got[: -len(plain)]) and not any(got[-len(plain) :])
+    replaced = [r.text for r in privacy.replace(make(spark, texts[-6:])).orderBy("doc_id").collect()]
+    assert not any(n in x for x in replaced for n in ("Berg", "Vera Kahn", "Weber", "Smith"))
+    monkeypatch.setattr(privacy, "_maybe", lambda text: True)
+    assert got == [list(privacy.find(x)) for x in texts + others + plain]
+
+
 def test_surrogates_do_not_collide(spark, monkeypatch):
     plain = privacy.surrogate
     monkeypatch.setattr(privacy, "surrogate", lambda k, e, attempt=0, key=privacy.KEY: plain(k, e, attempt, key) if attempt else "10.0.0.1")
