@@ -100,7 +100,8 @@ class Engine:
     def command(self, text: str) -> tuple[explore.Command, DataFrame | None]:
         """Route a text and evaluate it; searches by meaning need an embedding and give no rows."""
         view = views.concept_view(self.graph())
-        names = [r["canonical"] for r in view.select("canonical").collect()]
+        named = view.where(F.contains(F.lit(text.strip().lower()), F.lower("canonical"))).select("canonical")
+        names = [r["canonical"] for r in named.orderBy(F.length("canonical").desc(), "canonical").limit(1).collect()]
         found = explore.route(text, names, ("technique", "survey", "benchmark", "analysis", "other"))
         if found.tool == "filter":
             return found, explore.filter_concepts(explore.with_reviewed(view.withColumn("month", F.lit(None).cast("string")), self.reviewed()), **found.args)

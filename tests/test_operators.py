@@ -113,6 +113,17 @@ def _catalog(spark, tmp_path):
     return catalog
 
 
+def test_command_sends_one_name_to_the_driver(spark, monkeypatch):
+    view = spark.createDataFrame([(n,) for n in ["Graph", "Graph RAG", "GRAPH rag", "Tree", None]], "canonical string")
+    monkeypatch.setattr("strandgraph.engine.views.concept_view", lambda graph: view)
+    monkeypatch.setattr(Engine, "graph", lambda self: None)
+    seen, plain = [], explore.route
+    monkeypatch.setattr(explore, "route", lambda text, names, *rest: seen.append(names) or plain(text, names, *rest))
+    for text in ("find papers like graph RAG", "reset", "tree rings"):
+        Engine(spark, None).command(text)
+    assert seen == [["GRAPH rag"], [], ["Tree"]]
+
+
 def test_engine(spark, tmp_path):
     catalog = _catalog(spark, tmp_path)
     catalog.write("mentions", spark.createDataFrame([("p", 0, 0, "A", "d"), ("p", 1, 0, "bee", "")], "paper_id string, phase int, idx int, name string, definition string"))
