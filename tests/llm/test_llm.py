@@ -97,17 +97,40 @@ def test_components(spark):
 
 
 def test_substrings(spark, texts):
+    check_substrings(spark, texts, make(spark, texts))
+    split = [(t or "").encode().split() for t in texts]
+    assert substrings.deduplicated(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(None, texts[-1]), (None, texts[-1])], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.deduplicated(twice).collect()} == {len(split[-1])}
+
+
+def test_substrings_with_one_passage_in_every_document(spark):
+    rng = random.Random(5)
+    passage, long = words(rng, 50), words(rng, 60_000, 10**6)
+    texts = [f"{words(rng, 30, 10**6)} {passage} {words(rng, rng.randint(0, 30), 10**6)}" for _ in range(300)] + [long, f"x {passage}", words(rng, 40, 3) + " a"]
+    texts.append(" ".join(long.split(" ")[41_000:41_036]))
+    check_substrings(spark, texts, make(spark, texts))
+
+
+def check_substrings(spark, texts, docs):
     split = [(t or "").encode().split() for t in texts]
     n = Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
     want = {}
     for i, w in enumerate(split):
         gone = {q for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1 for q in range(k, k + 35)}
         want[i] = (len(w), len(gone), b" ".join(x for q, x in enumerate(w) if q not in gone).decode())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.deduplicated(make(spark, texts)).collect()} == want
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.deduplicated(docs).collect()} == want
     assert any(g for _, g, _ in want.values())
-    assert substrings.deduplicated(empty(spark)).count() == 0
-    twice = spark.createDataFrame([(None, texts[-1]), (None, texts[-1])], "doc_id long, text string")
-    assert {r.n_removed for r in substrings.deduplicated(twice).collect()} == {len(split[-1])}
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        v = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
+        assert (substrings._unpack(substrings._pack(v)) == v).all()
+    h = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    placed = substrings._placed(h, 7)
+    assert (np.diff(placed.astype(np.float64)) >= 0).all() and int(placed[-1] >> np.uint64(32)) == 6 and len(np.unique(placed)) == len(np.unique(h))
 
 
 # --- vectors
