@@ -166,35 +166,87 @@ def test_leaf_blocks_count_each_pair_once(spark, monkeypatch):
 # --- fingerprints
 
 
+def plain_fingerprint(text):
+    """Lanes of a text's lines and pieces as Python integers, made without the module's code."""
+    strong, signs = [0] * 4, [0] * 256
+    for line in (text or "").encode().split(b"\n"):
+        d = hashlib.blake2b(line, digest_size=32).digest()
+        strong = [(s + int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64 for k, s in enumerate(strong)]
+        run = []
+        found = line.split()
+        for k, w in enumerate(found):
+            run.append(w)
+            if zlib.crc32(w) % 4 == 0 or k == len(found) - 1:
+                bits = int.from_bytes(hashlib.blake2b(b" ".join(run), digest_size=32).digest(), "big")
+                signs = [x + (1 if bits >> (255 - k) & 1 else -1) for k, x in enumerate(signs)]
+                run = []
+    return strong, signs
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    norms = sum(x * x for x in a[1]) + sum(x * x for x in b[1])
+    return min(1.0, max(0.0, 2 * sum(x * y for x, y in zip(a[1], b[1])) / norms)) if norms else 1.0
+
+
 def test_multiset_is_homomorphic():
-    of = multiset.Fingerprint.of
+    of, text = multiset.Fingerprint.of, multiset.Fingerprint.of_text
     a, b = [b"x", b"y", b"y"], [b"z"]
     assert of(a) + of(b) == of([b"z", b"y", b"x", b"y"]) and of(a + b) - of(b) == of(a) and of(a) != of([b"x", b"y"])
-    assert multiset.Fingerprint.parse(str(of(a))) == of(a) and of(a).likeness(of(a)) == 1.0
-    text = "one two\nthree " * 50
-    assert b"".join(multiset.paragraphs("a b\nc")) in (b"a b\nc",)
-    assert multiset.Fingerprint.of_text(text) == multiset.Fingerprint.of_text(text) and multiset.Fingerprint.of_text(None) == multiset.Fingerprint.of_text("")
+    for mark in (of(a), text("one\n" * 50_000), text("one\n" * 300), text("")):
+        assert multiset.Fingerprint.parse(str(mark)) == mark and mark.likeness(mark) == 1.0
+    assert text(None) == text("") and text("a b\nc") == text("c\na b") and text("alpha\nbeta") == text("beta\nalpha")
+    assert text("a\n\nb") != text("a\nb") and text("a  b") != text("a b") and text("a\n") == text("\na") and text("\n").likeness(text("")) == 1.0
+    assert multiset.pieces(b" the quick  brown fox jumps ") and b" ".join(multiset.pieces(b" the quick  brown fox jumps ")) == b"the quick brown fox jumps"
+
+
+def test_multiset_order_and_long_texts():
+    rng = random.Random(9)
+    lines = [words(rng, rng.randint(0, 30)) for _ in range(300)]
+    again = rng.sample(lines, len(lines))
+    text = multiset.Fingerprint.of_text
+    assert text("\n".join(lines)) == text("\n".join(again))
+    same = text("\n".join(["one line of words"] * 65_536))
+    changed = text("\n".join(["one line of words"] * 65_535 + ["another"]))
+    half = text("\n".join(["one line of words"] * 32_768 + ["quite other things here"] * 32_768))
+    assert same.likeness(changed) > 0.99 and 0.5 < same.likeness(half) < 0.8 and same != changed
+    assert multiset.Fingerprint.parse(str(same)) == same
 
 
 def test_edited(spark, texts):
-    got = {r.doc_id: r for r in multiset.edited(make(spark, texts)).collect()}
-    assert len(got) == len(texts)
+    check_edited(texts, multiset.edited(make(spark, texts)).collect())
+    assert multiset.edited(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(5, "a"), (5, "b"), (None, "c"), (None, "d"), (7, None), (-(2**63), "z")], "doc_id long, text string")
+    assert multiset.edited(odd).count() == 6
+    twice = spark.createDataFrame([(1, "a b")] * 3 + [(None, "same")] * 40, "doc_id long, text string")
+    assert Counter(r.doc_id for r in multiset.edited(twice.repartition(3)).collect()) == {1: 3, None: 40}
+
+
+def check_edited(texts, rows):
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(texts) == len(rows)
+    marks = [plain_fingerprint(t) for t in texts]
     for i, t in enumerate(texts):
         t, after = t or "", texts[i - 1] or ""  # the next lower id; after 0 the highest
         half = len(t) // 2
         edit = t[: len(t) - half] + after[:half]
-        r, mark = got[i], multiset.Fingerprint.of_text(t)
+        r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
-        assert r.fingerprint == str(mark) and r.edited_fingerprint == str(multiset.Fingerprint.of_text(edit))
-        assert r.near_next == mark.likeness(multiset.Fingerprint.of_text(after)) and 0 <= r.near_edited <= 1
-    assert multiset.edited(empty(spark)).count() == 0
-    odd = spark.createDataFrame([(5, "a"), (5, "b"), (None, "c"), (None, "d"), (7, None)], "doc_id long, text string")
-    assert multiset.edited(odd).count() == 5
+        for shown, mark in ((r.fingerprint, marks[i]), (r.edited_fingerprint, plain_fingerprint(edit))):
+            back = multiset.Fingerprint.parse(shown)
+            assert (back.strong.tolist(), back.signs.view(np.int32).tolist()) == mark
+        assert abs(r.near_edited - plain_likeness(marks[i], plain_fingerprint(edit))) < 1e-9 and abs(r.near_next - plain_likeness(marks[i], marks[i - 1])) < 1e-9
+    assert len({r.fingerprint for r in rows}) == len({tuple(m[0]) for m in marks})
 
 
 # --- privacy
 
 
+def shown(text):
+    return [(k, raw) for _, _, k, raw in privacy.find(text)]
+
+
 def test_surrogates(spark):
     t = [
         "Mail ann.lee@corp.com or Ann.Lee@corp.com; call +1 (017) 555-7713, card 4111 1111 1111 1111, ip 8.8.8.8.",
@@ -208,16 +260,90 @@ def test_surrogates(spark):
     assert out[2:] == t[2:] and rows[0].replaced == "replaced"
     for secret in ("ann.lee", "555-7713", "4111", "8.8.8.8", "9b0b3c6a", "Berg", "Белова"):
         assert not any(secret in (x or "") for x in out)
-    kinds = lambda x: [k for _, _, k, _ in privacy.find(x)]
-    assert kinds(out[0]) == kinds(t[0]) and kinds(out[1]) == kinds(t[1])  # type, gender and script stay
-    a, b = [e for _, _, k, e in privacy.find(out[0]) if k == "email"]
+    kinds = lambda x: [k for k, _ in shown(x)]
+    assert kinds(out[0]) == kinds(t[0])  # types and layout stay
+    a, b = [e for k, e in shown(out[0]) if k == "email"]
     assert a == b  # one address, one surrogate
-    cards = [privacy.normal(k, e) for x in out[:2] for _, _, k, e in privacy.find(x) if k == "card"]
+    cards = [privacy.normal(k, e)[1] for x in out[:2] for k, e in shown(x) if k == "card"]
     assert len(set(cards)) == 1 and privacy._luhn(cards[0]) == 0
     assert privacy.replace(empty(spark)).count() == 0
     assert privacy.surrogate("ip", "1.2.3.4", key=b"other") != privacy.surrogate("ip", "1.2.3.4")
 
 
+def plain_replacement(texts):
+    """The same by loops over all texts: entities, titles, attempts in order, then each mention."""
+    entities, votes = set(), defaultdict(set)
+    for t in texts:
+        for k, raw in shown(t or ""):
+            e = privacy.normal(k, raw)
+            entities.add(e)
+            if k in ("given_f", "given_m"):
+                votes[e].add(k[-1])
+    taken, chosen, attempt = {e for _, e in entities}, {}, 0
+    swapped = {e: len(votes[e]) == 1 and votes[e] != {privacy.spelt_gender(e[1])} for e in entities}
+    left = sorted(entities)
+    while left:
+        again = []
+        new = defaultdict(list)
+        for e in left:
+            new[privacy.surrogate(*e, attempt, privacy.KEY, swapped[e])].append(e)
+        for s, es in new.items():
+            if s in taken:
+                again += es
+            else:
+                chosen[es[0]] = s
+                again += es[1:]
+        taken |= set(chosen.values())
+        left, attempt = sorted(again), attempt + 1
+    out = []
+    for t in texts:
+        for start, stop, k, raw in reversed(list(privacy.find(t or ""))):
+            t = t[:start] + privacy.dressed(k, raw, chosen[privacy.normal(k, raw)]) + t[stop:]
+        out.append(t)
+    return out, chosen
+
+
+NAMED = [
+    "Dr. Kim met Mr. Kim, and Mrs. Kim met Dr. Robin Hall", "Mr. Robin Hall", "Mr. Andrea Rossi and Dr. Andrea Rossi", "token = abcd1234efgh5678ijkl", "seen: abcd1234efgh5678ijkl?",
+    "secret: 0123456789abcdef0123456789abcdef.", "bare 0123456789abcdef0123456789abcdef here", "Mrs. Berg, Anna Berg, Dr. Berg, Anna Holm, Clara Berg", "Dr. 王小明 and 王小明先生, 李丽女士",
+    "Dr. محمد علي, السيدة فاطمة علي", "גברת שרה כהן", "श्रीमती आशा शर्मा", "Ольга Белова и Господин Белов", "call 020 7946 0958 or 01 44 55 66 77 today", "John Brown, Wei Zhang, Aisha Khan", "Mary Jones " * 3,
+    None, "", "Mary Jones " * 3, "nobody at all",
+]
+
+
+def test_surrogates_against_a_plain_replacement(spark):
+    want, chosen = plain_replacement(NAMED)
+    rows = privacy.replace(make(spark, NAMED)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == want
+    assert len(set(chosen.values())) == len(chosen) and not set(chosen.values()) & {e for _, e in chosen}
+
+
+def test_one_entity_has_one_surrogate_of_its_kind(spark):
+    out = [r.text for r in privacy.replace(make(spark, NAMED)).orderBy("doc_id").collect()]
+    kims = out[0].replace(",", "").split()
+    assert kims[1] == kims[4] == kims[7] != "Kim" and out[0].split()[-1] == out[1].split()[-1] and out[0].split()[-2] == out[1].split()[-2]
+    assert out[2].split()[1] == out[2].split()[5] and privacy.spelt_gender(out[2].split()[1]) == "m"  # by its titles
+    assert out[3].split()[-1] == out[4].split()[-1].rstrip("?") and out[5].split()[-1].rstrip(".") == out[6].split()[1]
+    a, b, c, d, e = [x.split() for x in out[7].split(", ")]
+    assert a[1] == b[1] == c[1] == e[1] and b[0] == d[0] != e[0] and d[1] != b[1]
+    for i, script in ((8, "CJK"), (9, "ARABIC"), (10, "HEBREW"), (11, "DEVANAGARI"), (12, "CYRILLIC")):
+        import unicodedata
+
+        for _, raw in shown(NAMED[i]):
+            assert raw not in out[i], raw
+        assert sum(unicodedata.name(x, "").startswith(script) for x in out[i]) >= 5
+    assert not any(x in out[13] for x in ("7946", "0958", "44 55")) and not any(x in out[14] for x in ("John", "Brown", "Zhang", "Khan"))
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for long in ("1 " + "x" * 100_000, "x." * 50_000, "0-" * 50_000, "ab:" * 30_000, "a@" * 50_000, "token=" * 20_000, "Dr. " * 25_000, "A1 " * 30_000, "王" * 100_000 + "先生", "x@" + "a-" * 50_000, "+1 " * 30_000):
+        began = time.process_time()
+        list(privacy.find(long))
+        assert time.process_time() - began < 1.0, long[:10]
+
+
 def test_names_after_any_mark(spark, monkeypatch):
     names = ["Anna Berg", "Mrs Vera Kahn", "Dr. Smith", "Frau Weber", "Señora Luz Mora", "Ольга Белова", "Κυρία Νίκη"]
     marks = [chr(c) for c in range(0x3000) if not (chr(c).isalnum() or chr(c) == "_")]
@@ -226,7 +352,7 @@ def test_names_after_any_mark(spark, monkeypatch):
     others = ["ab:cd:ef:ab:cd:ef:ab:cd", "paſſword: abcdefghij", "TO\u212aEN=abcdefghij", "a@b.cd", "xoxb-abcdefghijk"]
     plain = ["HAnna Berg", "Annas Berg", "the miss", "a:b", "", "_Anna Berg"]
     got = [list(privacy.find(x)) for x in texts + others + plain]
-    assert all(len(x) == 1 for x in got[: -len(plain)]) and not any(got[-len(plain) :])
+    assert all(1 <= len(x) <= 2 for x in got[: -len(plain)]) and not any(got[-len(plain) :])
     replaced = [r.text for r in privacy.replace(make(spark, texts[-6:])).orderBy("doc_id").collect()]
     assert not any(n in x for x in replaced for n in ("Berg", "Vera Kahn", "Weber", "Smith"))
     monkeypatch.setattr(privacy, "_maybe", lambda text: True)
@@ -235,12 +361,13 @@ def test_names_after_any_mark(spark, monkeypatch):
 
 def test_surrogates_do_not_collide(spark, monkeypatch):
     plain = privacy.surrogate
-    monkeypatch.setattr(privacy, "surrogate", lambda k, e, attempt=0, key=privacy.KEY: plain(k, e, attempt, key) if attempt else "10.0.0.1")
-    found = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(30)] + [("ip", "10.0.0.1")], "kind string, entity string")
-    monkeypatch.setattr(privacy, "_attempted", lambda pairs, key: spark.createDataFrame([(r.kind, r.entity, r.attempt, privacy.surrogate(r.kind, r.entity, r.attempt, key)) for r in pairs.collect()], "kind string, entity string, attempt int, surrogate string"))
+    monkeypatch.setattr(privacy, "surrogate", lambda k, e, attempt=0, key=privacy.KEY, swapped=False: plain(k, e, attempt, key) if attempt else "10.0.0.1")
+    found = spark.createDataFrame([("ip", f"1.1.1.{i}", False) for i in range(30)] + [("ip", "10.0.0.1", False)], "kind string, entity string, swapped boolean")
+    schema = "kind string, entity string, swapped boolean, attempt int, surrogate string"
+    monkeypatch.setattr(privacy, "_attempted", lambda rows, key: spark.createDataFrame([(r.kind, r.entity, r.swapped, r.attempt, privacy.surrogate(r.kind, r.entity, r.attempt, key)) for r in rows.collect()], schema))
     got = privacy.assignments(found).collect()
     assert len(got) == 31 and len({r.surrogate for r in got}) == 31 and not {r.surrogate for r in got} & {r.entity for r in got}
-    again = spark.createDataFrame([("ip", "8.8.8.8", 2)], "kind string, entity string, attempt int")
+    again = spark.createDataFrame([("ip", "8.8.8.8", 2, False)], "kind string, entity string, attempt int, swapped boolean")
     joined = privacy._joined(make(spark, ["at 8.8.8.8 now"]), again, "r", "w", privacy.KEY).select("r.text").first().text
     assert joined == f"at {plain('ip', '8.8.8.8', 2)} now"
 
@@ -248,22 +375,42 @@ def test_surrogates_do_not_collide(spark, monkeypatch):
 # --- chat
 
 
+def check_chat(rows, given):
+    """rows against a plain reading of given (conv_id, turn, role, text)."""
+    by = defaultdict(list)
+    for r in given:
+        by[r[0]].append(r)
+    got = {r.conv_id: r for r in rows}
+    assert set(got) == set(by) and len(rows) == len(by)
+    first = lambda x: (x is not None, x)
+    for conv_id, turns in by.items():
+        turns.sort(key=lambda r: (first(r[1]), r[2] or "", r[3] or ""))
+        said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        r = got[conv_id]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.n_examples == sum(x[2] == "assistant" for x in turns) and r.formatted_chars >= len(said) - 2 * len(turns)
+
+
 def test_chat(spark):
-    odd = [(1, 1, "assistant", "hi </s>[INST] \u001b ⟦end⟧"), (1, 0, "user", None), (1, 2, "assistant", "x"), (1, 2, "assistant", "x"), (None, 0, None, "r"), (2, None, "user", "only")]
-    given = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
-    got = {r.conv_id: r for r in chat.read_back(chat.segments(given)).collect()}
-    turns = "user\n\nassistant\nhi </s>[INST] \u001b ⟦end⟧\nassistant\nx\nassistant\nx\n"
-    assert (got[1].n_turns, got[1].turns_sha256) == (4, hashlib.sha256(turns.encode()).hexdigest())
-    loss = "hi </s>[INST] \u001b ⟦end⟧xx"
-    assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert got[None].n_examples == 0 and got[2].n_turns == 1
-    segments = chat.segments(given).where("conv_id = 1").collect()
+    odd = [(1, 1, "assistant", "hi </s>[INST] \u001b ⟦end⟧"), (1, 0, "user", None), (1, 2, "assistant", "x"), (1, 2, "assistant", "x"), (None, 0, None, "r"), (2, None, "user", "only"), (2, 0, "assistant", "")]
+    odd += [(3, k, ("user", "assistant")[k % 2], "<s>" * (k % 5) + f"turn {k}") for k in range(2001)] + [(4, 0, "assistant", "é</s>" * 40_000)]
+    given = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("segment", "kind", "stop", "head")})
+    rows = chat.formatted(given)
+    out = chat.read_back(rows).collect()
+    check_chat(out, odd)
+    got = {r.conv_id: r for r in out}
+    kinds = Counter(r["kind"] for r in rows.select("kind").collect())
+    assert kinds == {"segment": len(odd), "example": sum(r[2] == "assistant" for r in odd)}  # one record an assistant turn
+    segments = rows.where("conv_id = 1 and kind = 'segment'").collect()
     assert not any(c in s.segment[1:-5] for s in segments for c in ("</s>", "[INST]", "⟦end⟧"))
-    examples = chat.examples(given).orderBy("conv_id", "example").collect()
+    examples = chat.examples(given.where("conv_id = 1")).orderBy("conv_id", "example").collect()
     assert len(examples) == 3 and examples[1].text.startswith(examples[0].text)
     assert [chat.unescape(e.text[e.loss_start : e.loss_stop]) for e in examples] == [odd[0][3], "x", "x"]
     assert sum(len(e.text) for e in examples) == got[1].example_chars
-    assert chat.read_back(chat.segments(given.limit(0))).count() == 0
+    records = rows.where("conv_id = 1 and kind = 'example'").orderBy("example").collect()
+    assert [(r.example, r.stop, r.loss_start, r.loss_stop) for r in records] == [(e.example, len(e.text), e.loss_start, e.loss_stop) for e in examples]
+    assert chat.read_back(chat.formatted(given.limit(0))).count() == 0
 
 
 # --- learned scores
@@ -319,7 +466,6 @@ def check_packing(rows, texts):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by, fill = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -341,7 +487,7 @@ def check_packing(rows, texts):
 
 
 def test_packing(spark, texts):
-    odd = [*texts, *["same text " * 75] * 40, "<|endoftext|>", " lead", "tail ", "a\n\nb \n c", "x y z", "ein  Wort's"]
+    odd = [*texts, *["same text " * 75] * 40, "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>  y <|endoftext|", " lead", "tail ", "a\n\nb \n c", "x y z", "ein  Wort's"]
     assert check_packing(packing.pack(make(spark, odd)).collect(), odd) > 0.93
     assert packing.pack(empty(spark)).count() == 0
 
