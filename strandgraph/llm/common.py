@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words in every operator here: ASCII white space.
@@ -24,6 +24,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of just that name, also where it holds dots or quotes."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
