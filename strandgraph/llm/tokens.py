@@ -4,7 +4,8 @@ The vocabulary splits a text before merging, and a blank between two visible cha
 starts a new part. So ids of " word" don't depend on the neighbours, and each distinct word of a
 batch is encoded once: all new words of a batch go to the encoder as one text, whose ids are cut
 where a token starts with a blank. Texts with blanks in a row or blanks beside other white space
-go to the encoder whole. Tests hold the ids against the `tokenizers` library's.
+go to the encoder whole. So do texts with the vocabulary's special string, which gets its own id as
+it does from the `tokenizers` library with add_special_tokens=False. Tests hold the ids against that.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 
 #: Words kept per worker (some 150 bytes each).
 CACHE_WORDS = 200_000
+#: The string that the vocabulary takes as one token, and its id (fixed values).
+SPECIAL = {"<|endoftext|>": 50256}
 _ODD = re.compile(r"^\s| \s|\s $| $")
 
 
@@ -27,9 +30,9 @@ def _encoder(path: str, pattern: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    starts = np.zeros(max(ranks.values()) + 1, bool)
+    starts = np.zeros(max(*ranks.values(), *SPECIAL.values()) + 1, bool)
     starts[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), starts
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL), starts
 
 
 class Tokens:
@@ -42,7 +45,7 @@ class Tokens:
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), np.uint16).tobytes()
 
     def _learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.cache]
@@ -62,7 +65,7 @@ class Tokens:
         for at in range(0, len(texts), 64):
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            part = [None if not t or _ODD.search(t) else t.split(" ") for t in texts[at : at + 64]]
+            part = [None if not t or _ODD.search(t) or any(x in t for x in SPECIAL) else t.split(" ") for t in texts[at : at + 64]]
             self._learn({w for words in part if words for w in words[1:] if w})
             cache = self.cache
             for text, words in zip(texts[at : at + 64], part):
