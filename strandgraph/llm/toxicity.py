@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. They share a base of
-common words; on top of it, each holds what tells its class, the most telling last, where matches
-are cheapest. A window of text is compressed with both, and the difference in length is its gain.
-Counts of windows at each gain, calibrated by a logistic fit on documents that the dictionaries
-haven't seen, give the score.
-
-A window is a word (cut at 64 bytes), closed by a fixed tail, as the compressor starts no match in
-the last bytes of its input. So windows repeat, and each is compressed once per worker.
+zstandard trains dictionaries from samples of text: one for toxic text, one for ordinary text, and a
+common base from running ordinary text that both are laid over, so that ordinary words cost the same
+with either. The samples of a class are the places of its training documents that tell it from the
+other class (by contexts and log-likelihood ratio); of these the trainer takes the segments that
+cover most. A window of text is compressed with both dictionaries, and the difference in length is
+its gain. Counts of windows at each gain, weighed by a logistic fit on documents that the dictionaries
+haven't seen, give the score; its threshold is fixed.
+
+A window is a word with its neighbours (words are cut at 64 bytes), closed by a fixed tail, as the
+compressor starts no match in the last bytes of its input. Only windows around a word that gains by
+itself are compressed; the others have no gain. Words repeat, so each is tried once per worker.
 """
 
 from __future__ import annotations
@@ -22,22 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import table
+from strandgraph.llm.common import small_batches, table
 
 #: Labelled rows to train on, at most, and their length in characters (longer ones aren't drawn).
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 2400, 50_000
-#: A word tells toxic text if it follows this many different words there, this many times as often
-#: as in ordinary text, with this log-likelihood ratio. Contexts, not counts: copies don't add any.
+#: A word tells a class if it follows this many different words there, this many times as often as in
+#: the other class, with this log-likelihood ratio. Contexts, not counts: copies don't add any.
 #: From strict to lenient; the fit takes the setting whose dictionaries do best on unseen training rows.
 SETTINGS = ((4, 6.0, 18.0), (3, 6.0, 10.0), (2, 4.0, 6.0))
-BASE_BYTES, LEVEL, WINDOW_BYTES = 30_000, 9, 64
+#: Bytes of the base and of a class's dictionary, and the trainer's segment and match lengths.
+BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 65_536, 4_096, 48, 8
+#: Words of a base sample; occurrences of telling words that a class's dictionary is trained on, at most.
+BASE_WORDS, SAMPLES = 8, 20_000
+LEVEL, WINDOW_BYTES = 9, 64
 TAIL = b" 0123456789abcdef "
 MAX_GAIN = 8
 CUTOFF = 0.3
-CACHE_WINDOWS = 400_000
+CACHE_WORDS = 400_000
 
 
-def windows(text: str | None) -> list[bytes]:
+def tokens(text: str | None) -> list[bytes]:
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if any(len(w) > WINDOW_BYTES for w in words):
         words = [w[i : i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
@@ -49,56 +56,92 @@ def _contexts(texts: Iterable[str]) -> dict[bytes, int]:
     found: dict[bytes, set[int]] = defaultdict(set)
     for text in texts:
         before = 0
-        for word in windows(text):
+        for word in tokens(text):
             found[word].add(before)
             before = zlib.crc32(word)
     return {w: len(s) for w, s in found.items()}
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], setting: tuple[int, float, float] = SETTINGS[0]) -> tuple[bytes, bytes]:
-    """The contents of the toxic and the ordinary dictionary."""
+def telling(own: dict[bytes, int], other: dict[bytes, int], setting: tuple[int, float, float]) -> set[bytes]:
+    """The words whose contexts tell the one class from the other."""
     least, odds, ratio = setting
-    a, b = _contexts(toxic), _contexts(ordinary)
-    na, nb = sum(a.values()) or 1, sum(b.values()) or 1
-
-    def telling(word: bytes) -> bool:
-        x, y = a[word], b.get(word, 0)
-        if x < least or ((x + 0.5) / na) / ((y + 0.5) / nb) < odds:
-            return False
-        ex, ey = (x + y) * na / (na + nb), (x + y) * nb / (na + nb)
-        return 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) >= ratio
-
-    own = {w for w in a if telling(w)}
-    common = [w for w in sorted(b, key=lambda w: (b[w], w)) if b[w] >= least and w not in own]
-    base = (b" " + b" ".join(common) + b" ")[-BASE_BYTES:]
-    extra = b" " + b" ".join(sorted(own, key=lambda w: (a[w], w))) + b" "
-    rare = (b" " + b" ".join(common) + b" ")[: len(extra)]
-    return base + extra + TAIL, rare + base + TAIL
+    na, nb = sum(own.values()) or 1, sum(other.values()) or 1
+    out = set()
+    for word, x in own.items():
+        y = other.get(word, 0)
+        if x >= least and ((x + 0.5) / na) / ((y + 0.5) / nb) >= odds:
+            ex, ey = (x + y) * na / (na + nb), (x + y) * nb / (na + nb)
+            if 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) >= ratio:
+                out.add(word)
+    return out
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """What the trainer puts together from samples; the samples themselves where they are too few for it."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+class Trainer:
+    """Dictionaries from toxic and ordinary texts, for any setting."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str]):
+        self.texts = toxic, ordinary
+        self.contexts = _contexts(toxic), _contexts(ordinary)
+        runs = [b" " + b" ".join(w[i : i + BASE_WORDS]) + b" " for w in map(tokens, ordinary) for i in range(0, len(w), BASE_WORDS)]
+        self.base = _trained(runs, BASE_BYTES)
+
+    def __call__(self, setting: tuple[int, float, float]) -> tuple[bytes, bytes]:
+        """The toxic and the ordinary dictionary's content."""
+        out = []
+        for own, other, texts in ((*self.contexts, self.texts[0]), (*self.contexts[::-1], self.texts[1])):
+            words = telling(own, other, setting)
+            places = [b" " + w + b" " for t in texts for w in tokens(t) if w in words][:SAMPLES]
+            out.append(_trained(places, CLASS_BYTES) + self.base + TAIL)
+        return out[0], out[1]
 
 
 class Gains:
-    """Length gains of windows, remembered."""
+    """Length gains of words, remembered, and of windows."""
 
     def __init__(self, dictionaries: tuple[bytes, bytes]):
         import zstandard
 
-        self.sizes = [
-            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            for d in dictionaries
-        ]
+        self.sizes = []
+        for content in dictionaries:
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=LEVEL)
+            self.sizes.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.known: dict[bytes, int] = {}
 
+    def gain(self, window: bytes) -> int:
+        toxic, ordinary = self.sizes
+        closed = b" " + window + TAIL
+        return len(ordinary.compress(closed)) - len(toxic.compress(closed))
+
     def features(self, text: str | None) -> np.ndarray:
-        """Logs of the window counts at gains 1 to MAX_GAIN, in all and for 200 windows, and of their number."""
-        if len(self.known) > CACHE_WINDOWS:
+        """Logs of the window counts at gains 1 to MAX_GAIN, in all and for 200 windows, and of their
+        number; and the mean gain of a word by itself, losses too."""
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        words, known = windows(text), self.known
-        toxic, ordinary = self.sizes
-        for word in [w for w in {*words} if w not in known]:
-            closed = b" " + word + TAIL
-            known[word] = min(MAX_GAIN, max(0, len(ordinary.compress(closed)) - len(toxic.compress(closed))))
-        at = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=MAX_GAIN + 1)[1:]
-        return np.concatenate((np.log1p(at), np.log1p(200 * at / max(1, len(words))), [math.log1p(len(words))]))
+        words, known = tokens(text), self.known
+        distinct = {*words}
+        for word in distinct:
+            if word not in known:
+                known[word] = max(-MAX_GAIN, min(MAX_GAIN, self.gain(word)))
+        at = np.zeros(MAX_GAIN + 1, np.int64)
+        hot = {w for w in distinct if known[w] > 0}
+        if hot:
+            for k, word in enumerate(words):
+                if word in hot:
+                    at[min(MAX_GAIN, max(0, self.gain(b" ".join(words[max(0, k - 1) : k + 2]))))] += 1
+        at = at[1:]
+        mean = sum(map(known.__getitem__, words)) / max(1, len(words))
+        return np.concatenate((np.log1p(at), np.log1p(200 * at / max(1, len(words))), [math.log1p(len(words)), mean]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,22 +163,30 @@ class Model:
         self.dictionaries = self.fit = self.setting = None
         if all({r[2] for r in fold} == {0, 1} for fold in folds):
             ys = np.array([label for fold in folds[::-1] for _, _, label in fold], np.float64)
-            best = -np.inf
+            trainers, best = [self._trainer(fold) for fold in folds], -np.inf
             for setting in SETTINGS:
                 xs = []
-                for seen, unseen in (folds, folds[::-1]):
-                    gains = Gains(self._train(seen, setting))
+                for trainer, unseen in zip(trainers, folds[::-1]):
+                    gains = Gains(trainer(setting))
                     xs += [gains.features(text) for _, text, _ in unseen]
-                mean, scale, w = fit = _logistic(np.array(xs), ys)
-                z = ((np.array(xs) - mean) / scale) @ w[:-1] + w[-1]
-                likely = float(np.sum(ys * z - np.logaddexp(0, z)))
+                likely, fit = self._judged(np.array(xs), ys, len(folds[1]))
                 if likely > best:
                     best, self.fit, self.setting = likely, fit, setting
-            self.dictionaries = self._train(rows, self.setting)
+            self.dictionaries = self._trainer(rows)(self.setting)
+
+    @staticmethod
+    def _judged(xs: np.ndarray, ys: np.ndarray, n: int) -> tuple[float, tuple]:
+        """The log-likelihood of either fold's rows under the other's calibration, and one of all rows."""
+        likely = 0.0
+        for fit_on, judged in ((slice(0, n), slice(n, None)), (slice(n, None), slice(0, n))):
+            mean, scale, w = _logistic(xs[fit_on], ys[fit_on])
+            z = ((xs[judged] - mean) / scale) @ w[:-1] + w[-1]
+            likely += float(np.sum(ys[judged] * z - np.logaddexp(0, z)))
+        return likely, _logistic(xs, ys)
 
     @staticmethod
-    def _train(rows: list[tuple[int, str, int]], setting: tuple[int, float, float]) -> tuple[bytes, bytes]:
-        return train_dictionaries([t for _, t, y in rows if y], [t for _, t, y in rows if not y], setting)
+    def _trainer(rows: list[tuple[int, str, int]]) -> Trainer:
+        return Trainer([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
 
     def score(self, gains: Gains | None, text: str | None) -> float:
         if gains is None:
@@ -162,9 +213,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs, by the whole text alone.
 
-    Null texts are empty. A null doc_id isn't held out. Other columns aren't read.
+    Null texts are empty; a text of any length is one pass over its words. Equal texts have equal
+    scores, and repeated rows stay. A null doc_id isn't held out. Other columns aren't read. An empty
+    table gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(model.dictionaries) if model.dictionaries else None
         for batch in batches:
