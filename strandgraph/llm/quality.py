@@ -7,7 +7,8 @@ P(grade >= 1), by which documents are selected.
 
 Features are two hashed bags: words, and word shapes (runs of capitals, small letters, digits and
 each mark, and whether the word repeats the one before). Each bag enters as the square roots of its
-relative frequencies, so that length doesn't matter.
+relative frequencies, so that length doesn't matter. Words are what Python's split() gives: white
+space of any script separates them, as marks of style and not bytes are looked at here.
 """
 
 import re
@@ -70,6 +71,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def thresholds(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from free numbers: the first one, and logs of the steps to the next."""
+    return np.concatenate(([free[0]], free[0] + np.cumsum(np.exp(free[1:]))))
+
+
+class Sample:
+    """Training rows as sparse features, with the loss of weights and thresholds on them.
+
+    The loss is the weighted mean of -log P(grade), plus RIDGE / 2 times the squared weights.
+    """
+
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], weights: list[float]):
+        self.at, self.value = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        self.row = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+        self.y, self.share = np.array(grades), np.array(weights) / np.sum(weights)
+
+    def __call__(self, w: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The loss and its gradients."""
+        y, share, cuts = self.y, self.share, thresholds(free)
+        z = np.bincount(self.row, w[self.at] * self.value, len(y))
+        # the lowest grade has no lower and the highest no upper threshold
+        upper = np.where(y < GRADES - 1, _sigmoid(np.append(cuts, 0)[np.minimum(y, GRADES - 2)] - z), 1.0)
+        lower = np.where(y > 0, _sigmoid(cuts[np.maximum(y - 1, 0)] - z), 0.0)
+        mass = np.maximum(upper - lower, 1e-9)
+        du, dl = upper * (1 - upper), lower * (1 - lower)
+        dz = share * (du - dl) / mass
+        gw = np.bincount(self.at, self.value * dz[self.row], len(w)) + RIDGE * w
+        gcuts = np.zeros(GRADES - 1)
+        np.add.at(gcuts, np.minimum(y, GRADES - 2), np.where(y < GRADES - 1, -share * du / mass, 0))
+        np.add.at(gcuts, np.maximum(y - 1, 0), np.where(y > 0, share * dl / mass, 0))
+        gfree = np.concatenate(([gcuts.sum()], [gcuts[k:].sum() * np.exp(free[k]) for k in range(1, GRADES - 1)]))
+        return float(-share @ np.log(mass) + RIDGE / 2 * (w @ w)), gw, gfree
+
+
 class Model:
     """Weights and thresholds. Without labels of two grades every document has the top grade."""
 
@@ -78,32 +113,16 @@ class Model:
         if len(set(grades)) < 2:
             return
         features = Features()
-        pairs = [features(t) for t in texts]
-        at, value = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        row = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
-        y, sample = np.array(grades), np.array(weights) / np.sum(weights)
-        # cuts[0], log gaps; ends beyond the cuts are infinite
+        sample = Sample([features(t) for t in texts], grades, weights)
         w, free = np.zeros(WORDS + SHAPES), np.array([-1.0, *[0.0] * (GRADES - 2)])
         sums = [np.zeros_like(w), np.zeros_like(free)]
-        for step in range(STEPS):
+        for step in range(STEPS):  # Adagrad
+            _, gw, gfree = sample(w, free)
             rate = 1.0 / (1 + step / 100)
-            cuts = np.concatenate(([free[0]], free[0] + np.cumsum(np.exp(free[1:]))))
-            z = np.bincount(row, w[at] * value, len(y))
-            upper = np.where(y < GRADES - 1, _sigmoid(np.append(cuts, 0)[np.minimum(y, GRADES - 2)] - z), 1.0)
-            lower = np.where(y > 0, _sigmoid(cuts[np.maximum(y - 1, 0)] - z), 0.0)
-            mass = np.maximum(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper), lower * (1 - lower)
-            dz = sample * (du - dl) / mass  # of -log likelihood
-            gw = np.bincount(at, value * dz[row], len(w)) + RIDGE * w
-            gcuts = np.zeros(GRADES - 1)
-            np.add.at(gcuts, np.minimum(y, GRADES - 2), np.where(y < GRADES - 1, -sample * du / mass, 0))
-            np.add.at(gcuts, np.maximum(y - 1, 0), np.where(y > 0, sample * dl / mass, 0))
-            gfree = np.concatenate(([gcuts.sum()], [gcuts[k:].sum() * np.exp(free[k]) for k in range(1, GRADES - 1)]))
-            for x, g, s, size in ((w, gw, sums[0], 1.0), (free, gfree, sums[1], 0.3)):  # Adagrad
+            for x, g, s, size in ((w, gw, sums[0], 1.0), (free, gfree, sums[1], 0.3)):
                 s += g * g
                 x -= rate * size * g / np.sqrt(s + 1e-12)
-        self.w = w.astype(np.float32)
-        self.cuts = np.concatenate(([free[0]], free[0] + np.cumsum(np.exp(free[1:]))))
+        self.w, self.cuts = w.astype(np.float32), thresholds(free)
 
     def __call__(self, features: Features, text: str | None) -> tuple[float, float]:
         """The expected grade and P(grade >= 1)."""
@@ -138,8 +157,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, expected_grade, tail_probability, kept) for every row of docs, by the whole text.
 
-    Null texts are empty. Other columns aren't read.
+    Null and empty texts share one feature of their own; a text of any length is one pass over its
+    words. Equal texts have equal scores, repeated rows and null ids stay. Other columns aren't
+    read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()

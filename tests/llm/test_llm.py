@@ -304,7 +304,7 @@ def plain_replacement(texts):
 
 
 NAMED = [
-    "Dr. Kim met Mr. Kim, and Mrs. Kim met Dr. Robin Hall", "Mr. Robin Hall", "Mr. Andrea Rossi and Dr. Andrea Rossi", "token = abcd1234efgh5678ijkl", "seen: abcd1234efgh5678ijkl?",
+    "Dr. Kim met Mr. Kim, and Mrs. Kim met Dr. Robin Hall", "Mr. Robin Hall", "Mr. Andrea Rossi and Dr. Andrea Rossi", "token = ghp_abcd1234efgh5678ijklabcd1234efgh", "seen: ghp_abcd1234efgh5678ijklabcd1234efgh?",
     "secret: 0123456789abcdef0123456789abcdef.", "bare 0123456789abcdef0123456789abcdef here", "Mrs. Berg, Anna Berg, Dr. Berg, Anna Holm, Clara Berg", "Dr. 王小明 and 王小明先生, 李丽女士",
     "Dr. محمد علي, السيدة فاطمة علي", "גברת שרה כהן", "श्रीमती आशा शर्मा", "Ольга Белова и Господин Белов", "call 020 7946 0958 or 01 44 55 66 77 today", "John Brown, Wei Zhang, Aisha Khan", "Mary Jones " * 3,
     None, "", "Mary Jones " * 3, "nobody at all",
@@ -445,6 +445,80 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs.limit(1), toxicity.train(docs, labels.limit(0))).first().score == 0.0
 
 
+def test_dictionaries_and_gains_against_a_plain_compression():
+    import zstandard
+
+    rng = random.Random(4)
+    bad = ["horridness", "vilehood", "wretcheder"]
+    texts = [words(rng, 80) for _ in range(240)]
+    for i in range(0, 240, 4):
+        w = texts[i].split(" ")
+        for _ in range(5):
+            w[rng.randrange(80)] = rng.choice(bad)
+        texts[i] = " ".join(w)
+    model = toxicity.Model([(i, t, int(i % 4 == 0)) for i, t in enumerate(texts)])
+    assert all(any(x.encode() in d for x in bad) == k for d, k in zip(model.dictionaries, (True, False)))
+
+    def size(content, window):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(b" " + window + toxicity.TAIL))
+
+    gain = lambda x: size(model.dictionaries[1], x) - size(model.dictionaries[0], x)
+    for text in [texts[0], texts[4], texts[1], "y" * 200 + " vilehood", "vilehood", ""]:
+        w = toxicity.tokens(text)
+        own = {x: max(-8, min(8, gain(x))) for x in w}
+        at = np.zeros(9)
+        for k, x in enumerate(w):
+            if own[x] > 0:
+                at[min(8, max(0, gain(b" ".join(w[max(0, k - 1) : k + 2]))))] += 1
+        want = [*np.log1p(at[1:]), *np.log1p(200 * at[1:] / max(1, len(w))), np.log1p(len(w)), sum(own[x] for x in w) / max(1, len(w))]
+        assert np.allclose(toxicity.Gains(model.dictionaries).features(text), want)
+    assert model.score(toxicity.Gains(model.dictionaries), texts[4]) > 0.5 > model.score(toxicity.Gains(model.dictionaries), texts[1])
+
+
+def test_quality_loss_against_plain_loops():
+    rng = np.random.default_rng(3)
+    features = quality.Features()
+    texts, y, share = ["a b c", "B!! b", "", "a a 7x", "c d e f"], [0, 1, 2, 1, 0], [1.0, 2.0, 1.0, 0.5, 3.0]
+    pairs = [features(t) for t in texts]
+    sample, n = quality.Sample(pairs, y, share), quality.WORDS + quality.SHAPES
+    w, free = np.zeros(n), np.array([-0.4, 0.3])
+    used = np.unique(np.concatenate([p[0] for p in pairs]))
+    w[used] = rng.standard_normal(len(used))
+
+    def plain(w, free):
+        cuts = [free[0], free[0] + np.exp(free[1])]
+        total = quality.RIDGE / 2 * sum(x * x for x in w[used])
+        for (at, value), grade, s in zip(pairs, y, share):
+            z = sum(w[i] * v for i, v in zip(at, value))
+            below = [0.0, *(1 / (1 + np.exp(z - c)) for c in cuts), 1.0]
+            total -= s / sum(share) * np.log(below[grade + 1] - below[grade])
+        return total
+
+    loss, gw, gfree = sample(w, free)
+    assert abs(loss - plain(w, free)) < 1e-9
+    for i in used[::3]:
+        step = np.zeros(n)
+        step[i] = 1e-5
+        assert abs(gw[i] - (plain(w + step, free) - plain(w - step, free)) / 2e-5) < 1e-6
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-5
+        assert abs(gfree[k] - (plain(w, free + step) - plain(w, free - step)) / 2e-5) < 1e-6
+
+
+def test_learned_scores_of_odd_rows(spark):
+    docs, labels, _ = labelled(spark, 200)
+    odd = spark.createDataFrame([(None, "a b"), (1, "x y"), (1, "x y"), (2, None), (3, ""), (4, "z" * 100_000), (5, "word " * 30_000)], "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("tail", F.lit("t"))
+    for module in (toxicity, quality):
+        model = module.train(docs, labels)
+        rows = module.scored(odd, model).collect()
+        assert len(rows) == 7 and len({r[1:] for r in rows if r.doc_id == 1}) == 1
+        assert module.scored(odd.limit(0), model).count() == 0
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+
+
 def test_quality_on_unseen_rows(spark):
     docs, labels, marks = labelled(spark)
     seen = labels.where("doc_id % 3 <> 0")
