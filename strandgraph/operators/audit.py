@@ -10,23 +10,33 @@ def audit(live: DataFrame, papers: DataFrame, rebuilt: DataFrame, lexicon: DataF
     """(finding, id) for every drift between the live graph and its sources; empty when clean.
 
     live and rebuilt are nodes (rk, definition), papers (paper_id, home_concept), lexicon
-    (rk, status, definition), aliases (key, rk).
+    (rk, status, definition), aliases (key, rk). All but the anchors are facts about one key, so one
+    grouping by key sees them together.
     """
-    ids = live.select("rk")
-    name = lambda d, label, c: d.select(F.lit(label).alias("finding"), F.col(c).cast("string").alias("id"))
-    wanted = lexicon.where("trim(coalesce(definition, '')) <> ''").select("rk", F.trim("definition").alias("said"))
-    parts = [
-        name(lexicon.where("status = 'rejected'").join(ids, "rk", "left_semi"), "A_rejected_node", "rk"),
-        name(aliases.where("key <> rk").select(F.col("key").alias("k")).join(ids.withColumnRenamed("rk", "k"), "k", "left_semi"), "B_alias_node", "k"),
-        name(live.join(wanted, "rk").where("trim(coalesce(definition, '')) <> said"), "C_definition", "rk"),
-        name(papers.where("home_concept is not null").join(ids.withColumnRenamed("rk", "home_concept"), "home_concept", "left_anti"), "D_anchor", "paper_id"),
-        name(rebuilt.select("rk").join(ids, "rk", "left_anti"), "E_missing", "rk"),
-        name(ids.join(rebuilt.select("rk"), "rk", "left_anti"), "E_extra", "rk"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    none = F.lit(None).cast("string")
+    fact = lambda d, key, kind, text=none: d.select(F.col(key).alias("id"), F.lit(kind).alias("kind"), text.alias("said"))
+    facts = (
+        fact(live, "rk", "live", F.trim(F.coalesce("definition", F.lit(""))))
+        .unionByName(fact(rebuilt, "rk", "rebuilt"))
+        .unionByName(fact(lexicon.where("status = 'rejected'"), "rk", "rejected"))
+        .unionByName(fact(lexicon.where("trim(coalesce(definition, '')) <> ''"), "rk", "wanted", F.trim("definition")))
+        .unionByName(fact(aliases.where("key <> rk"), "key", "alias"))
+    )
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    said = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("said")))
+    keys = facts.groupBy("id").agg(*[n(k).alias(k) for k in ("live", "rebuilt", "rejected", "alias")], said("live").alias("shown"), said("wanted").alias("wanted"))
+    differing = F.size(F.filter("shown", lambda x: ~F.array_contains("wanted", x)))
+    times = {
+        "A_rejected_node": F.when(F.col("live") > 0, F.col("rejected")),
+        "B_alias_node": F.when(F.col("live") > 0, F.col("alias")),
+        "C_definition": F.when(F.size("wanted") > 0, differing),
+        "E_missing": F.when(F.col("live") == 0, F.col("rebuilt")),
+        "E_extra": F.when(F.col("rebuilt") == 0, F.col("live")),
+    }
+    findings = F.flatten(F.array(*[F.array_repeat(F.lit(k), F.coalesce(c, F.lit(0)).cast("int")) for k, c in times.items()]))
+    found = keys.select(F.explode(findings).alias("finding"), F.col("id").cast("string").alias("id"))
+    lost = papers.where("home_concept is not null").join(live.select(F.col("rk").alias("home_concept")).distinct(), "home_concept", "left_anti")
+    return found.unionByName(lost.select(F.lit("D_anchor").alias("finding"), F.col("paper_id").cast("string").alias("id")))
 
 
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.sources.durable import Parts, stored
+
 
 def filter_concepts(view: DataFrame, ptype: str | None = None, domain: str | None = None, date_after: str | None = None, unreviewed_only: bool = False) -> DataFrame:
     """Rows of view (ptype, domain, month, reviewed) that meet every given condition.
@@ -55,29 +57,32 @@ def resolve_node(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return asked.join(found.groupBy("name").agg(F.min("x").alias("x")), "name", "left").select("name", F.col("x.rk").alias("rk"))
 
 
-def closure(pairs: DataFrame, starts: DataFrame, direction: str = "ancestors", checkpoint: bool = True) -> DataFrame:
+def closure(pairs: DataFrame, starts: DataFrame, direction: str = "ancestors") -> DataFrame:
     """(start, rk, depth): what each start (rk) reaches over lineage pairs (src, dst), itself excluded.
 
     'ancestors' follows src to dst, 'descendants' the other way, 'both' is the union of the two.
-    The frontier is joined round by round and what was seen is removed, so cycles end. Each round's
-    result is checkpointed, so that plans stay short; rounds are as many as the longest path.
+    The frontier is joined round by round and what was seen is removed, so cycles end. A round writes
+    its new rows only; rounds are as many as the longest of the shortest paths.
     """
     if direction == "both":
-        up, down = closure(pairs, starts, "ancestors", checkpoint), closure(pairs, starts, "descendants", checkpoint)
+        up, down = closure(pairs, starts, "ancestors"), closure(pairs, starts, "descendants")
         return up.unionByName(down).groupBy("start", "rk").agg(F.min("depth").alias("depth"))
-    step = pairs.select(F.col("src").alias("rk"), F.col("dst").alias("to")) if direction == "ancestors" else pairs.select(F.col("dst").alias("rk"), F.col("src").alias("to"))
-    step = step.distinct()
-    cut = (lambda d: d.checkpoint()) if checkpoint and pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    frontier = starts.select(F.col("rk").alias("start"), "rk").distinct()
-    seen, depth = cut(frontier.withColumn("depth", F.lit(0))), 0
-    while True:
+    ends = ("src", "dst") if direction == "ancestors" else ("dst", "src")
+    step = stored(pairs.select(F.col(ends[0]).alias("rk"), F.col(ends[1]).alias("to")).distinct())
+    seen, depth = Parts(pairs.sparkSession), 0
+    new = seen.add(starts.select(F.col("rk").alias("start"), "rk").distinct().withColumn("depth", F.lit(0)))
+    while not new.isEmpty():
         depth += 1
-        reached = frontier.join(step, "rk").select("start", F.col("to").alias("rk")).distinct().join(seen, ["start", "rk"], "left_anti")
-        new = cut(reached.withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return seen.where("rk <> start")
-        seen = cut(seen.unionByName(new))
-        frontier = new.drop("depth")
+        reached = new.select("start", "rk").join(step, "rk").select("start", F.col("to").alias("rk")).distinct()
+        new = seen.add(reached.join(seen.all(), ["start", "rk"], "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.all().where("rk <> start")
+
+
+def closure_counts(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(rk, n_ancestors, n_descendants) of each start, all levels counted."""
+    count = lambda direction, name: closure(pairs, starts, direction).groupBy(F.col("start").alias("rk")).agg(F.count("*").alias(name))
+    both = starts.select("rk").distinct().join(count("ancestors", "n_ancestors"), "rk", "left").join(count("descendants", "n_descendants"), "rk", "left")
+    return both.select("rk", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ancestors", "n_descendants")])
 
 
 def with_reviewed(view: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ key and joins replace the walk. Positions are comparable structs; nothing is num
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import NODE_OK, canon, defaulted, has_paren, paren_inner, paren_outer
+from strandgraph.sources.durable import stored
 
 
 def alias_map(lexicon: DataFrame) -> DataFrame:
@@ -30,22 +33,23 @@ def resolve(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """mentions (paper_id, phase, idx, name, ...) with t, their position, and rk, their concept.
 
     A name is its alias's concept; else, if it has parentheses, what the first hold or what stands
-    outside, if that is known by then; else itself.
+    outside, if that is known by then; else itself. Mentions with their aliases are stored, as three
+    parts read them; what parentheses hold and what stands outside is looked up in one join.
     """
     name = F.col("name")
     m = mentions.withColumns({"t": F.struct("paper_id", "phase", "idx"), "k": canon(name), "paren": has_paren(name)})
-    m = m.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left")
+    m = stored(m.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left"))
     known = m.where("rep is not null or not paren").select(*mentions.columns, "t", F.coalesce("rep", "k").alias("rk"))
     plain = m.where("rep is null and not paren").groupBy(F.col("k").alias("key")).agg(F.min("t").alias("since"))
     lookup = aliases.select("key", "rk", F.lit(None).cast(plain.schema["since"].dataType).alias("since")).unionByName(plain.select("key", F.col("key").alias("rk"), "since"))
-    odd = m.where("rep is null and paren").withColumns({"inner": paren_inner(name), "outer": paren_outer(name)})
-    for side in ("inner", "outer"):
-        found = lookup.select(F.col("key").alias(side), F.col("rk").alias(f"{side}_rk"), F.col("since").alias(f"{side}_since"))
-        odd = odd.join(found, side, "left").withColumn(f"{side}_rk", F.when(F.col(f"{side}_since").isNull() | (F.col(f"{side}_since") < F.col("t")), F.col(f"{side}_rk")))
-    alone = F.min(F.when(F.col("inner_rk").isNull() & F.col("outer_rk").isNull(), F.col("t"))).over(Window.partitionBy("k"))
-    odd = odd.withColumn("alone", alone)
-    rk = F.when(F.col("alone") < F.col("t"), F.col("k")).otherwise(F.coalesce("inner_rk", "outer_rk", "k"))
-    return known.unionByName(odd.select(*mentions.columns, "t", rk.alias("rk")))
+    odd = m.where("rep is null and paren")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), key.alias("key")) for i, key in enumerate((paren_inner(name), paren_outer(name)))]))
+    tried = odd.select("t", "k", F.struct(*mentions.columns).alias("row"), sides.alias("x")).select("t", "k", "row", "x.*").join(lookup, "key", "left")
+    fits = F.when(F.col("since").isNull() | (F.col("since") < F.col("t")), F.col("rk"))
+    best = tried.groupBy("t", "k").agg(F.first("row").alias("row"), F.min(F.when(fits.isNotNull(), F.struct("side", fits.alias("rk")))).alias("found"))
+    alone = F.min(F.when(F.col("found").isNull(), F.col("t"))).over(Window.partitionBy("k"))
+    rk = F.when(F.col("alone") < F.col("t"), F.col("k")).otherwise(F.coalesce("found.rk", "k"))
+    return known.unionByName(best.withColumn("alone", alone).select("row.*", "t", rk.alias("rk")))
 
 
 def register(resolved: DataFrame, reps: DataFrame) -> DataFrame:
@@ -98,19 +102,54 @@ def paper_nodes(papers: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """The normalized graph of mentions, papers and a lexicon; every part is a DataFrame."""
+    """The normalized graph of mentions, papers and a lexicon; every part is a DataFrame.
+
+    Resolved mentions, concepts and edges are stored when they are first asked for; all other parts
+    are at most one aggregation of these, so no view carries the normalization in its plan.
+    """
 
     def __init__(self, mentions: DataFrame, papers: DataFrame, lexicon: DataFrame):
-        self.lexicon = lexicon
-        self.aliases, self.reps = alias_map(lexicon), representatives(lexicon)
-        self.resolved = resolve(mentions, self.aliases)
-        self.concepts = register(self.resolved, self.reps)
-        self.edges = edges(self.resolved, self.concepts)
-        self.nodes = concept_nodes(self.edges, self.concepts)
-        self.homes = home_concepts(self.edges)
-        self.home_papers = home_papers(self.edges)
-        self.papers = paper_nodes(papers, self.homes)
-        self.relations = self.edges.select("paper_id", "rk", "type").distinct()
+        self.mentions, self.raw_papers, self.lexicon = mentions, papers, lexicon
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return alias_map(self.lexicon)
+
+    @cached_property
+    def reps(self) -> DataFrame:
+        return representatives(self.lexicon)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return stored(resolve(self.mentions, self.aliases))
+
+    @cached_property
+    def concepts(self) -> DataFrame:
+        return stored(register(self.resolved, self.reps))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stored(edges(self.resolved, self.concepts))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return concept_nodes(self.edges, self.concepts)
+
+    @cached_property
+    def homes(self) -> DataFrame:
+        return home_concepts(self.edges)
+
+    @cached_property
+    def home_papers(self) -> DataFrame:
+        return home_papers(self.edges)
+
+    @cached_property
+    def papers(self) -> DataFrame:
+        return paper_nodes(self.raw_papers, self.homes)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return self.edges.select("paper_id", "rk", "type").distinct()
 
     @property
     def dropped(self) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import slug
 from strandgraph.operators.normalize import Graph, defaults
+from strandgraph.sources.durable import stored
 
 
 def lineage(graph: Graph) -> DataFrame:
@@ -76,15 +77,36 @@ def summary(graph: Graph) -> DataFrame:
     return p.crossJoin(n).crossJoin(e)  # three rows of one
 
 
+def literal(text: Column) -> Column:
+    """A quoted Turtle string: backslashes, quotes and line ends are escaped."""
+    out = text
+    for char, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(mark))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def triples(graph: Graph) -> DataFrame:
     """(s, p, o): concepts, their labels and their lineage as SKOS-like terms."""
     me = F.concat(F.lit(":"), slug(F.col("rk")))
     typed = graph.nodes.select(me.alias("s"), F.lit("a").alias("p"), F.lit("skos:Concept").alias("o"))
-    named = graph.nodes.select(me.alias("s"), F.lit("skos:prefLabel").alias("p"), F.concat(F.lit('"'), "canonical", F.lit('"')).alias("o"))
+    named = graph.nodes.select(me.alias("s"), F.lit("skos:prefLabel").alias("p"), literal(F.col("canonical")).alias("o"))
     built = lineage(graph).select(F.concat(F.lit(":"), slug(F.col("src"))).alias("s"), F.lit(":buildsOn").alias("p"), F.concat(F.lit(":"), slug(F.col("dst"))).alias("o"))
     return typed.unionByName(named).unionByName(built)
 
 
+def sorted_names(nodes: DataFrame) -> DataFrame:
+    """(canonical, rk, pos): names in order, numbered from 1.
+
+    Rows are dealt to ranges of names and numbered within each; only the ranges' row counts, one row a
+    partition, are summed up in order, so no task sees all names.
+    """
+    sorted_ = stored(nodes.select("canonical", "rk").repartitionByRange("canonical", "rk").sortWithinPartitions("canonical", "rk").withColumn("part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("canonical", "rk"))
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return sorted_.withColumn("own", own).join(F.broadcast(before), "part").select("canonical", "rk", (F.col("own") + F.col("before")).alias("pos"))
+
+
 def not_unique(rows: DataFrame, key: str) -> DataFrame:
     """Keys that more than one row has."""
     return rows.groupBy(key).count().where("count > 1").withColumnRenamed("count", "n")

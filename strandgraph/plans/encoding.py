@@ -1,8 +1,7 @@
 """The paper-concept graph encoded on the benchmark tables, in Spark and as DuckDB SQL.
 
 Parts are lexicon entries (ECONOMY parts are missing from it, so that names have to be registered),
-orders are papers, line items of 40 or more are mentions: shipped ones (F) define, open ones (O)
-build on. The supplier decides how the part is named.
+orders are papers, all line items are mentions: shipped ones (F) define, open ones (O) build on. The supplier decides how the part is named.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _named(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("l_partkey"), "label", "alias", "p_type")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").join(part, "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     phase = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
     order = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     kind = F.col("l_suppkey") % 4
@@ -53,7 +52,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(mentions(spark, sf_dir).drop("l_returnflag"), papers(spark, sf_dir), lexicon(spark, sf_dir))
+    return Graph(mentions(spark, sf_dir), papers(spark, sf_dir), lexicon(spark, sf_dir))
 
 
 def canon_sql(x: str) -> str:
@@ -71,13 +70,13 @@ reps AS (SELECT {canon_sql('label')} AS rk, arg_max(label, ord) AS label, arg_ma
 amap AS (SELECT key, arg_max(rk, o) AS rk FROM (
   SELECT {canon_sql('label')} AS key, {canon_sql('label')} AS rk, ord * 2 AS o FROM lex
   UNION ALL SELECT {canon_sql('alias')}, {canon_sql('label')}, ord * 2 + 1 FROM lex) GROUP BY key),
-ment AS (SELECT *, paper_id * 100 + phase * 50 + idx AS t FROM (
+ment AS (SELECT *, paper_id * 100000 + phase * 50000 + idx AS t FROM (
   SELECT l_orderkey AS paper_id, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS phase,
     row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx,
     CASE l_suppkey % 4 WHEN 0 THEN p_name || ' ' || p_partkey WHEN 1 THEN upper(replace(p_name || ' ' || p_partkey, ' ', '-'))
       WHEN 2 THEN p_brand || ' ' || p_partkey ELSE 'Long form of ' || p_type || ' (' || p_brand || ' ' || p_partkey || ')' END AS name,
     CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN 'About ' || p_name || ' ' || p_partkey ELSE '' END AS definition, l_returnflag
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40)),
+  FROM lineitem JOIN part ON l_partkey = p_partkey)),
 m AS (SELECT ment.*, {canon_sql('name')} AS k, regexp_matches(name, '\([^()]*\)') AS paren,
   {canon_sql(r"regexp_extract(name, '\(([^()]*)\)', 1)")} AS inner_k, {canon_sql(r"regexp_replace(name, '\s*\([^()]*\)\s*', ' ', 'g')")} AS outer_k, a.rk AS rep
   FROM ment LEFT JOIN amap a ON a.key = {canon_sql('name')}),

@@ -11,6 +11,7 @@ from strandgraph.operators import audit, dml, explore, normalize, review, score,
 from strandgraph.plans import encoding as enc
 from strandgraph.plans.encoding import canon_sql, table, with_graph
 from strandgraph.sources import schemas
+from strandgraph.sources.durable import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -227,9 +228,9 @@ def _view(x) -> DataFrame:
     return explore.with_reviewed(views.concept_view(x).join(month, "rk", "left"), reviewed)
 
 
-@g("filter_concepts", VIEW + " SELECT rk, canonical, month FROM v WHERE ptype = 'technique' AND domain = 'building' AND month >= '1998-01' AND NOT reviewed")
+@g("filter_concepts", VIEW + " SELECT rk, canonical, month FROM v WHERE ptype = 'technique' AND domain = 'building' AND month >= '1992-02' AND NOT reviewed")
 def filter_concepts(x):
-    return explore.filter_concepts(_view(x), "technique", "building", "1998-01", True).select("rk", "canonical", "month")
+    return explore.filter_concepts(_view(x), "technique", "building", "1992-02", True).select("rk", "canonical", "month")
 
 
 @g("filter_options", VIEW + " SELECT DISTINCT 'ptype' AS kind, ptype AS value FROM v UNION ALL SELECT DISTINCT 'domain', domain FROM v UNION ALL SELECT DISTINCT 'year', substr(month, 1, 4) FROM v WHERE month IS NOT NULL")
@@ -252,10 +253,9 @@ def name_search(x):
     return explore.name_search(x.nodes, " Red W").select("rk", "canonical")
 
 
-@g("concept_names", "SELECT canonical, row_number() OVER (ORDER BY canonical, rk) AS pos FROM node QUALIFY pos <= 200")
+@g("concept_names", "SELECT canonical, row_number() OVER (ORDER BY canonical, rk) AS pos FROM node")
 def concept_names(x):
-    first = x.nodes.orderBy("canonical", "rk").limit(200)
-    return first.withColumn("pos", F.row_number().over(Window.orderBy("canonical", "rk")).cast("long")).select("canonical", "pos")
+    return views.sorted_names(x.nodes).select("canonical", "pos")
 
 
 @g("resolve_node", """, asked AS (SELECT DISTINCT CASE WHEN length(rk) % 3 = 0 THEN rk WHEN length(rk) % 3 = 1 THEN upper(rk) ELSE canonical END AS name FROM node)
@@ -279,20 +279,20 @@ UP, DOWN = "p.dst FROM walk JOIN pairs p ON p.src = walk.rk", "p.src FROM walk J
 
 @g("lineage_ancestors", _closure_sql(UP, TOP) + " SELECT rk FROM walk WHERE rk NOT IN (SELECT s FROM seed)")
 def lineage_ancestors(x):
-    pairs = views.lineage(x).cache()
+    pairs = stored(views.lineage(x))
     start = pairs.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("rk"))
     return explore.closure(pairs, start).select("rk")
 
 
 @g("lineage_descendants", _closure_sql(DOWN) + " SELECT rk FROM walk WHERE rk NOT IN (SELECT s FROM seed)")
 def lineage_descendants(x):
-    pairs = views.lineage(x).cache()
+    pairs = stored(views.lineage(x))
     return explore.closure(pairs, _seed(pairs), "descendants").select("rk")
 
 
 @g("lineage_both", SEED + f", up AS (SELECT s AS rk FROM seed UNION SELECT {UP.replace('walk', 'up')}), down AS (SELECT s AS rk FROM seed UNION SELECT {DOWN.replace('walk', 'down')}) SELECT rk FROM (SELECT rk FROM up UNION SELECT rk FROM down) WHERE rk NOT IN (SELECT s FROM seed)")
 def lineage_both(x):
-    pairs = views.lineage(x).cache()
+    pairs = stored(views.lineage(x))
     return explore.closure(pairs, _seed(pairs), "both").select("rk")
 
 
@@ -303,6 +303,15 @@ def lineage_counts(x):
     return a.join(d, "rk", "full_outer").select("rk", F.coalesce("a", F.lit(0)).alias("n_parents"), F.coalesce("d", F.lit(0)).alias("n_children"))
 
 
+@g("lineage_closure_counts", f"""{TOP.replace('LIMIT 1', 'LIMIT 5')}, up AS (SELECT s AS start, s AS rk FROM seed UNION SELECT up.start, p.dst FROM up JOIN pairs p ON p.src = up.rk),
+down AS (SELECT s AS start, s AS rk FROM seed UNION SELECT down.start, p.src FROM down JOIN pairs p ON p.dst = down.rk)
+SELECT s AS rk, (SELECT count(*) FROM up WHERE up.start = s AND up.rk <> s) AS n_ancestors, (SELECT count(*) FROM down WHERE down.start = s AND down.rk <> s) AS n_descendants FROM seed""")
+def lineage_closure_counts(x):
+    pairs = stored(views.lineage(x))
+    starts = pairs.groupBy("src").count().orderBy(F.desc("count"), "src").limit(5).select(F.col("src").alias("rk"))
+    return explore.closure_counts(pairs, starts)
+
+
 @g("embed_text", "SELECT 'concept' AS kind, rk AS id, nullif(trim(definition), '') AS said FROM node UNION ALL SELECT 'paper', paper_id::VARCHAR, nullif(trim(problem), '') FROM paper")
 def embed_text(x):
     c = x.nodes.select(F.lit("concept").alias("kind"), F.col("rk").alias("id"), "definition", F.lit(None).cast("string").alias("problem"))
@@ -442,11 +451,9 @@ bp AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM
 
 def scored(f):
     def run(spark, sf):
-        m = enc.mentions(spark, sf)
-        resolved = normalize.resolve(m, normalize.alias_map(enc.lexicon(spark, sf)))
-        concepts = normalize.register(resolved, normalize.representatives(enc.lexicon(spark, sf)))
-        gold = resolved.where("l_returnflag in ('R', 'A')")
-        return f(score.items(gold, resolved.where("phase = 1"), concepts, T.NODE_OK), spark, sf)
+        x = enc.graph(spark, sf)
+        gold = x.resolved.where("l_returnflag in ('R', 'A')")
+        return f(score.items(gold, x.resolved.where("phase = 1"), x.concepts, T.NODE_OK), spark, sf)
 
     QUERIES[f.__name__] = run
     return f
