@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.sources.durable import stored
+
 #: What separates words in every operator here: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,15 +28,6 @@ def column(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are large rows: pass at most so many at a time between the JVM and Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,16 +36,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    Lineage ends at the files, so a lost executor costs a reread, not a recomputation, and a
-    result used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write as Parquet to the shared folder and read back (see strandgraph.sources.durable).
+cut = stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
