@@ -155,14 +155,40 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def check_links(vectors, got, least):
+    u = embeddings.unit(vectors)
+    cos = u @ u.T >= 0.9
+    np.fill_diagonal(cos, False)
+    found = np.array([got[i].n_links for i in range(len(u))])
+    assert (found <= cos.sum(1)).all() and found.sum() >= least * cos.sum()
+    want = roots(len(u), [(i, j) for i, j in zip(*np.nonzero(cos)) if j < i])
+    assert np.mean([got[i].component_id == want[i] for i in range(len(u))]) >= least
+
+
 def test_leaf_blocks_count_each_pair_once(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "LEAF", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 20)
     rng = np.random.default_rng(1)
     x = rng.standard_normal(8) + 0.01 * rng.standard_normal((90, 8))
     got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
     assert {r.n_links for r in got} == {89} and {r.component_id for r in got} == {0}
 
 
+def test_large_leaves_are_split_by_their_own_trees(spark, monkeypatch):
+    for name, value in (("SAMPLE", 40), ("LEAF", 30), ("FIT", 64), ("ROUTED", 50), ("BLOCK", 60)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((500, 12)).astype(np.float32)
+    x = np.concatenate([base, base[:200] + 0.15 * rng.standard_normal((200, 12)), base[0] + 0.01 * rng.standard_normal((150, 12))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    check_links(x, {r.vec_id: r for r in embeddings.near_duplicates(rows).collect()}, 0.95)
+
+
+def test_dimensions_do_not_mix(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (2, [1.0] * 16_385), (3, [3.0] * 16_385), (4, [1.0] + [0.0] * 16_384)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(5)] == [(1, 0), (1, 0), (1, 2), (1, 2), (0, 4)]
+
+
 # --- fingerprints
 
 
