@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import WORD, cut, fresh, table
+from strandgraph.llm.common import WORD, column, cut, fresh, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -41,7 +41,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     The level to which all shares are filled solves sum(min(cap, weight * level)) = total. With
     sources in order of cap / weight it is the largest of (total - caps before) / (weights from
-    here on). One row a source goes through the windows.
+    here on). One row a source goes through the windows, in one task: sources number a fraction of
+    what a task sorts, whatever the number of documents.
     """
     weights = F.array(*map(F.lit, WEIGHTS))
     ranked = sizes.withColumn("w", F.element_at(weights, ((F.row_number().over(Window.orderBy("skey")) - 1) % len(WEIGHTS) + 1).cast("int")))
@@ -93,7 +94,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (not at all, or up to three times)."""
+    """The rows of docs, each as often as the mix takes it (not at all, or up to three times).
+
+    Columns are unchanged, whatever their names; nulls, repeated rows and empty tables as in `mixed`.
+    """
     skey, hashed, q, threshold = (fresh(docs, x) for x in ("skey", "hash", "q", "threshold"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(docs.select(_source_key("source").alias("skey"), words.alias("size"), _hash("doc_id", "text").alias("hash")))
@@ -101,7 +105,7 @@ def mix(docs: DataFrame) -> DataFrame:
     found = found.select(F.col("skey").alias(skey), F.col("q").alias(q), F.col("threshold").alias(threshold))
     keyed = docs.withColumns({skey: _source_key("source"), hashed: _hash("doc_id", "text")}).join(_small(found, n), skey)
     repeats = (F.col(q) + (F.col(hashed) < F.col(threshold)).cast("long")).cast("int")
-    return keyed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), repeats)).alias(q)).drop(q)
+    return keyed.select(*map(column, docs.columns), F.explode(F.array_repeat(F.lit(0), repeats)).alias(q)).drop(q)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

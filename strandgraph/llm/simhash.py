@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import components, cut, fresh, small_batches, table
+from strandgraph.llm.common import column, components, cut, fresh, table
 
 SEED = 42
 SHINGLE = 3
@@ -116,6 +116,8 @@ def links(classes: DataFrame) -> DataFrame:
 
     classes has one row per fingerprint (fp). A pair can appear more than once.
     """
+    spark = classes.sparkSession
+    classes = classes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "fp")  # a row becomes some fifty
     index = classes.select("fp").mapInPandas(_index_rows, "key long, fp long").withColumnRenamed("fp", "b")
     probe = classes.select("fp").mapInPandas(_probe_rows, "key long, fp long").withColumnRenamed("fp", "a")
     near = (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
@@ -153,7 +155,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows equal in both one stays. Only these keys are shuffled against each other, and the texts
     once, to their keys.
     """
-    small_batches(docs.sparkSession)
     null, key, hashed = (fresh(docs, x) for x in ("null", "key", "hash"))
     keyed = docs.withColumns({null: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), hashed: F.xxhash64(F.coalesce("text", F.lit("")))})
 
@@ -165,7 +166,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = cut(keyed.select(null, key, hashed, "text").mapInArrow(run, "null boolean, key long, hash long, fp long"))
     first = prints.join(_rooted(prints), "fp").groupBy("root").agg(F.min(F.struct("null", "key", "hash")).alias("x"))
     kept = first.select(F.col("x.null").alias(null), F.col("x.key").alias(key), F.col("x.hash").alias(hashed))
-    return keyed.join(kept, [null, key, hashed], "left_semi").dropDuplicates([null, key, hashed]).select(*docs.columns)
+    return keyed.join(kept, [null, key, hashed], "left_semi").dropDuplicates([null, key, hashed]).select(*map(column, docs.columns))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
