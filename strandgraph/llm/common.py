@@ -29,7 +29,11 @@ def column(name: str) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are large rows: pass at most so many at a time between the JVM and Python workers."""
+    """Texts are large rows: pass at most so many at a time between the JVM and Python workers.
+
+    A setting of the session, so applications (the registered queries, the pipeline) make it and
+    operators don't.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if not 0 < now <= rows:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import column, cut, fresh, small_batches, table
+from strandgraph.llm.common import column, cut, fresh, table
 
 KEY = b"surrogates of one release"
 #: Overrides of at most this many entities and bytes of them are broadcast.
@@ -374,7 +374,6 @@ def replace(docs: DataFrame, key: bytes = KEY, count_col: str | None = None) ->
     the same text each; null ids are no matter. Of entities that want one surrogate the least keeps
     it. Other columns pass through, whatever their names. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     again = cut(assignments(entities(docs), key).where("attempt > 0 or swapped").select("kind", "entity", "attempt", "swapped"))
     n, size = again.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entity")), F.lit(0))).first()
     result, wanted = fresh(docs, "replaced"), fresh(docs, "overrides")

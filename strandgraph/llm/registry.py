@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 
 def _modules() -> list:
     from strandgraph.llm import chat, embeddings, mixing, multiset, packing, privacy, quality, simhash, substrings, toxicity
@@ -9,8 +11,19 @@ def _modules() -> list:
     return [embeddings, privacy, multiset, chat, simhash, substrings, toxicity, quality, packing, mixing]
 
 
+def _as_application(query):
+    from strandgraph.llm.common import small_batches
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: _as_application(f) for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
