@@ -132,10 +132,10 @@ def boundary_cut(text: Column, limit: int = 6000) -> Column:
     return out
 
 
-#: Signals that a cut went wrong, in their order.
+#: Patterns of what shows that a cut went wrong (fixed values).
 _LEAK = r"(?imd)^[ \t]*(2[\.\)]?[ \t]+[A-Z]|related\s+work|background|preliminaries)[ \t]*$"
 _TAIL = r"(?i)(contribution|in this (paper|work)|we (propose|present|introduce)|organized as follows|summariz|the remainder)"
-_CLEAN_END = r"[.!?\")]\s*$"
+_RELATED = r"(?imd)^[ \t]*(?:\d{1,4}[ \t]*\n[ \t]*)?2[.)]?[ \t]*\n?[ \t]*(related works?|background)[ \t]*$"
 
 
 def ends_clean(text: Column) -> Column:
@@ -144,7 +144,7 @@ def ends_clean(text: Column) -> Column:
 
 def leaks_section(text: Column) -> Column:
     """Whether the heading of a related-work section is inside the text."""
-    return text.rlike(r"(?imd)^[ \t]*(?:\d{1,4}[ \t]*\n[ \t]*)?2[.)]?[ \t]*\n?[ \t]*(related works?|background)[ \t]*$")
+    return text.rlike(_RELATED)
 
 
 def cut_signals(text: Column, method: Column, full_chars: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.functions.text import canon
+
 #: Names that are components and tools, and names of base models (fixed values).
 COMPONENT_TOOL = ("PPO", "GRPO", "Group Relative Policy Optimization", "Monte Carlo Tree Search", "MCTS", "RL", "reinforcement learning", "RAGAS", "ARES", "TruLens")
 SUBSTRATE = ("BERT", "RoBERTa", "GPT-2", "GPT-3", "GPT-J", "T5", "PaLM", "OPT", "BLOOM", "Qwen", "Qwen-2.5", "LLaMA", "Llama")
@@ -42,10 +44,11 @@ def totals(papers: DataFrame) -> DataFrame:
 
 
 def by_group(papers: DataFrame, groups: DataFrame) -> DataFrame:
-    """The same by group, and for all (grp null)."""
-    return papers.join(groups, "paper_id").rollup("grp").agg(*_totals())
+    """The same by group, and for all (all_groups; a null group is a group)."""
+    return papers.join(groups, "paper_id").rollup("grp").agg((F.grouping("grp") == 1).alias("all_groups"), *_totals())
 
 
-def fp_taxonomy(rk: Column, component: tuple[str, ...], substrate: tuple[str, ...]) -> Column:
-    """Why a wrong prediction is wrong; the tuples hold canonical keys."""
-    return F.when(rk.isin(*component), "component_tool").when(rk.isin(*substrate), "substrate").otherwise("method_misjudged")
+def fp_taxonomy(rk: Column, component: tuple[str, ...] = COMPONENT_TOOL, substrate: tuple[str, ...] = SUBSTRATE) -> Column:
+    """Why a wrong prediction is wrong; the tuples hold names, compared by their keys."""
+    keys = lambda names: [canon(F.lit(n)) for n in names]
+    return F.when(rk.isin(*keys(component)), "component_tool").when(rk.isin(*keys(substrate)), "substrate").otherwise("method_misjudged")

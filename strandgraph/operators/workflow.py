@@ -71,6 +71,17 @@ def guard_queries(queries: DataFrame, max_words: int = 6) -> DataFrame:
     return fit.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+def too_few_queries(asked: DataFrame, kept: DataFrame, least: int = 3) -> DataFrame:
+    """(session, n): the sessions of which fewer than least queries were kept, for a warning."""
+    n = kept.groupBy("session").agg(F.count("*").alias("n"))
+    return asked.select("session").distinct().join(n, "session", "left").select("session", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
+def gate_summary(judged: DataFrame) -> DataFrame:
+    """(paper_id, part): what the gate let through and what not, for the approval of the extraction."""
+    return judged.select("paper_id", F.when(F.coalesce("passed", F.lit(False)), "passed").otherwise("failed").alias("part"))
+
+
 def latest_state(log: DataFrame, key: str, order: Column | str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in log.columns if c != key]
@@ -78,8 +89,8 @@ def latest_state(log: DataFrame, key: str, order: Column | str) -> DataFrame:
 
 
 def usage_by_stage(log: DataFrame) -> DataFrame:
-    """Calls, tokens and seconds by stage, and in all (stage null)."""
-    return log.rollup("stage").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.bround(F.sum("seconds"), 3).alias("seconds"))
+    """Calls, tokens and seconds by stage, and in all (all_stages; a null stage is a stage)."""
+    return log.rollup("stage").agg((F.grouping("stage") == 1).alias("all_stages"), F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.bround(F.sum("seconds"), 3).alias("seconds"))
 
 
 def pages_prefix(pages: DataFrame, limit: int = 20_000) -> DataFrame:

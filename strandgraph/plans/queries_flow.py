@@ -27,17 +27,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Search results: documents as entries (some ids have versions), conversations' ids as queries.
-FEED = """feed AS (SELECT 'http://x.org/abs/' || lpad((doc_id % 400)::VARCHAR, 4, '0') || '.' || lpad((doc_id % 400)::VARCHAR, 5, '0') || 'v' || (doc_id % 3 + 1) AS id, doc_id % 7 AS query_ord, doc_id AS entry_ord,
- 'q' || (doc_id % 7) AS query, '  ' || substr(text, 1, 60) AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE '20' || lpad((doc_id % 25)::VARCHAR, 2, '0') || '-0' || (doc_id % 9 + 1) || '-15' END AS published FROM documents)"""
+# Search results: documents as entries, three versions a paper, seven queries.
+FEED = """feed AS (SELECT 'http://x.org/abs/' || lpad((doc_id // 3 % 2412)::VARCHAR, 4, '0') || '.' || lpad((doc_id // 3)::VARCHAR, 9, '0') || 'v' || (doc_id % 3 + 1) AS id, doc_id % 7 AS query_ord, doc_id AS entry_ord,
+ 'q' || (doc_id % 7) AS query, '  ' || text AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE '20' || lpad((doc_id % 25)::VARCHAR, 2, '0') || '-0' || (doc_id % 9 + 1) || '-15' END AS published FROM documents)"""
 
 
 def _feed(spark, sf) -> DataFrame:
     d = F.col("doc_id")
+    paper = F.floor(d / 3)
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("http://x.org/abs/"), pad(d % 400, 4), F.lit("."), pad(d % 400, 5), F.lit("v"), (d % 3 + 1).cast("string")).alias("id"),
-        (d % 7).alias("query_ord"), d.alias("entry_ord"), F.concat(F.lit("q"), d % 7).alias("query"), F.concat(F.lit("  "), F.substring("text", 1, 60)).alias("title"), F.col("text").alias("summary"),
+        F.concat(F.lit("http://x.org/abs/"), pad(paper % 2412, 4), F.lit("."), pad(paper, 9), F.lit("v"), (d % 3 + 1).cast("string")).alias("id"),
+        (d % 7).alias("query_ord"), d.alias("entry_ord"), F.concat(F.lit("q"), d % 7).alias("query"), F.concat(F.lit("  "), "text").alias("title"), F.col("text").alias("summary"),
         F.when(d % 11 != 0, F.concat(F.lit("20"), pad(d % 25, 2), F.lit("-0"), (d % 9 + 1).cast("string"), F.lit("-15"))).alias("published"))
 
 
@@ -55,9 +56,9 @@ def id_month(spark, sf):
     return ids.unionByName(table(spark, sf, "documents").select(F.col("source").alias("paper_id")).distinct()).select("paper_id", T.id_month(F.col("paper_id")).alias("month"))
 
 
-@query("norm_title", r"SELECT doc_id, regexp_replace(lower(trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g') AS title FROM documents")
+@query("norm_title", r"SELECT doc_id, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g') AS title FROM documents")
 def norm_title(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.norm_title(F.substring("text", 1, 200)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", T.norm_title(F.col("text")).alias("title"))
 
 
 @query("url_id", r"SELECT page_id, regexp_extract(u, 'arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})', 1) AS paper_id FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://arxiv.org/pdf/' || lpad((page_id % 9999)::VARCHAR, 4, '0') || '.12345v2' ELSE url END AS u FROM pages)")
@@ -147,11 +148,25 @@ def extract_target(spark, sf):
     return table(spark, sf, "events").select("event_id", T.extract_target(count).cast("int").alias("target"))
 
 
-@query("query_guard", r"""WITH q AS (SELECT conv_id, turn, trim(split_part(text, '.', 1)) AS query FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(query) ORDER BY turn) AS rn FROM q WHERE query <> '' AND len(string_split(trim(regexp_replace(query, '\s+', ' ', 'g')), ' ')) <= 6)
-SELECT conv_id AS session, turn AS ord, query FROM f WHERE rn = 1""")
+# Proposed queries: every sentence of a turn.
+_GUARDED = r"""q AS (SELECT conv_id, turn * 100000 + i - 1 AS ord, trim(part) AS query FROM (SELECT conv_id, turn, unnest(string_split(text, '.')) AS part, generate_subscripts(string_split(text, '.'), 1) AS i FROM conversations)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(query) ORDER BY ord) AS rn FROM q WHERE query <> '' AND len(string_split(trim(regexp_replace(query, '\s+', ' ', 'g')), ' ')) <= 6), g AS (SELECT conv_id AS session, ord, query FROM f WHERE rn = 1)"""
+
+
+def _proposed(spark, sf) -> DataFrame:
+    parts = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\.", -1)).alias("i", "query"))
+    return parts.select(F.col("conv_id").alias("session"), (F.col("turn") * 100000 + F.col("i")).alias("ord"), "query")
+
+
+@query("query_guard", f"WITH {_GUARDED} SELECT session, ord, query FROM g")
 def query_guard(spark, sf):
-    q = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), F.element_at(F.split("text", r"\."), 1).alias("query"))
-    return workflow.guard_queries(q)
+    return workflow.guard_queries(_proposed(spark, sf))
+
+
+@query("query_guard_few", f"WITH {_GUARDED} SELECT c.conv_id AS session, count(g.ord) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.session = c.conv_id GROUP BY 1 HAVING count(g.ord) < 3")
+def query_guard_few(spark, sf):
+    asked = _proposed(spark, sf)
+    return workflow.too_few_queries(asked, workflow.guard_queries(asked))
 
 
 @query("upsert_ledger", """WITH o AS (SELECT event_id AS paper_id, event_type AS title, 'old' AS verdict FROM events WHERE event_id % 3 <> 0), n AS (SELECT event_id AS paper_id, upper(event_type) AS title, NULL AS verdict FROM events WHERE event_id % 2 = 0)
@@ -270,7 +285,7 @@ def _calls(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("stage"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").cast("decimal(18,6)").alias("seconds"))
 
 
-@query("usage_by_stage", "SELECT event_type AS stage, count(*) AS calls, sum((props ->> '$.k')::BIGINT)::BIGINT AS tokens, round_even(sum(value::DECIMAL(18, 6)), 3)::DOUBLE AS seconds FROM events GROUP BY GROUPING SETS ((event_type), ())")
+@query("usage_by_stage", "SELECT event_type AS stage, grouping(event_type) = 1 AS all_stages, count(*) AS calls, sum((props ->> '$.k')::BIGINT)::BIGINT AS tokens, round_even(sum(value::DECIMAL(18, 6)), 3)::DOUBLE AS seconds FROM events GROUP BY GROUPING SETS ((event_type), ())")
 def usage_by_stage(spark, sf):
     return workflow.usage_by_stage(_calls(spark, sf)).withColumn("seconds", F.col("seconds").cast("double"))
 
@@ -288,25 +303,36 @@ def usage_windows(spark, sf):
 
 # Pages of a paper: turns of a conversation.
 @query("page_prefix", """WITH p AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
-SELECT conv_id AS doc_id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM p WHERE before < 1500 GROUP BY 1""")
+SELECT conv_id AS doc_id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM p WHERE before < 20000 GROUP BY 1""")
 def page_prefix(spark, sf):
     pages = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
-    return workflow.pages_prefix(pages, 1500).select("doc_id", F.md5("text").alias("digest"))
-
-
-@query("section_cut")
-def section_cut(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", sections.section_cut(F.col("text")).alias("x")).select("doc_id", "x.cut_method", F.length("x.text").alias("char_count"))
+    return workflow.pages_prefix(pages).select("doc_id", F.md5("text").alias("digest"))
 
 
 def _last_sql(mark: str) -> str:
     return f"CASE WHEN instr(reverse(h), reverse({mark})) = 0 THEN -1 ELSE length(h) - instr(reverse(h), reverse({mark})) - length({mark}) + 1 END"
 
 
-@query("boundary_cut", f"""WITH d AS (SELECT doc_id, text, substr(text, 1, 600) AS h FROM documents), p AS (SELECT *, {_last_sql("'.' || chr(10)")} AS a, {_last_sql("'. '")} AS b, {_last_sql("chr(10) || chr(10)")} AS c FROM d)
-SELECT doc_id, md5(CASE WHEN a > 300 THEN substr(text, 1, a + 1) WHEN b > 300 THEN substr(text, 1, b + 1) WHEN c > 300 THEN substr(text, 1, c + 1) ELSE h END) AS digest FROM p""")
+# Documents with a heading of section 2 planted at their end: a usual title, another title after a sentence,
+# one in mid-sentence (no heading), and one with a third item close by (a list).
+PLANTED = ("\n2 Related Work\nx", ".\n\n2. Our Things\nx", " and\n2. Our Things\nx", ".\n2. Our Things\nx\n3. Other\n")
+_PLANTED_SQL = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '" + t.replace("\n", "' || chr(10) || '") + "'" for i, t in enumerate(PLANTED)) + " END"
+
+
+@query("section_cut", f"""WITH t AS (SELECT doc_id, length(text) AS n, text || {_PLANTED_SQL} AS text FROM documents), d AS (SELECT doc_id, n, text, substr(text, 1, 6000) AS h FROM t),
+p AS (SELECT *, {_last_sql("'.' || chr(10)")} AS a, {_last_sql("'. '")} AS b, {_last_sql("chr(10) || chr(10)")} AS c, n + CASE doc_id % 4 WHEN 0 THEN 1 ELSE 3 END AS heading FROM d),
+q AS (SELECT *, doc_id % 4 < 2 AND heading >= 3000 AS found FROM p)
+SELECT doc_id, CASE WHEN found THEN 'section' ELSE 'head6000' END AS cut_method, md5(CASE WHEN found THEN substr(text, 1, heading) WHEN a > 3000 THEN substr(text, 1, a + 1) WHEN b > 3000 THEN substr(text, 1, b + 1) WHEN c > 3000 THEN substr(text, 1, c + 1) ELSE h END) AS digest FROM q""")
+def section_cut(spark, sf):
+    planted = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % 4 + 1).cast("int"))
+    cut = table(spark, sf, "documents").select("doc_id", sections.section_cut(F.concat("text", planted)).alias("x"))
+    return cut.select("doc_id", "x.cut_method", F.md5("x.text").alias("digest"))
+
+
+@query("boundary_cut", f"""WITH d AS (SELECT doc_id, text, substr(text, 1, 6000) AS h FROM documents), p AS (SELECT *, {_last_sql("'.' || chr(10)")} AS a, {_last_sql("'. '")} AS b, {_last_sql("chr(10) || chr(10)")} AS c FROM d)
+SELECT doc_id, md5(CASE WHEN a > 3000 THEN substr(text, 1, a + 1) WHEN b > 3000 THEN substr(text, 1, b + 1) WHEN c > 3000 THEN substr(text, 1, c + 1) ELSE h END) AS digest FROM p""")
 def boundary_cut(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.boundary_cut(F.col("text"), 600)).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.boundary_cut(F.col("text"))).alias("digest"))
 
 
 @query("cut_signals", r"""SELECT doc_id, concat_ws(' ', CASE WHEN right(rtrim(text, ' '), 1) NOT IN ('.', '!', '?', '"', ')') THEN 'MIDSENT' END, CASE WHEN doc_id % 2 = 0 THEN 'FALLBACK' END,
@@ -328,12 +354,13 @@ def leak_check(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.leaks_section(t).alias("leaks"), T.ends_clean(t).alias("clean"))
 
 
-@query("rw_signals", r"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Related Work' || chr(10) || '[' || doc_id || '] ' ELSE '' END || substr(text, 20, 500) AS s FROM documents)
+@query("rw_signals", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 2) ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'Related Work' || chr(10) || '[' || doc_id || '] ' ELSE '' END || text AS s FROM documents)
 SELECT doc_id, length(s)::INT AS char_count, round(coalesce(1000.0 * len(regexp_extract_all(s, '\[\d+(?:,\s*\d+)*\]|\([A-Z][^()]*\d{4}[a-z]?\)')) / nullif(length(s), 0), 0), 6)::DOUBLE AS citation_density, contains(text, s) AS verbatim_match, regexp_matches(s, '(?i)^\s*(?:\d+\.?\s*)?(related works?|background)') AS heading_found FROM d""")
 def rw_signals(spark, sf):
     d = table(spark, sf, "documents")
-    s = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Related Work\n["), "doc_id", F.lit("] "))).otherwise(""), F.substring("text", 20, 500))
-    return d.select("doc_id", T.related_work_signals(s, F.col("text")).alias("x")).select("doc_id", "x.*")
+    s = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Related Work\n["), "doc_id", F.lit("] "))).otherwise(""), "text")
+    source = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    return d.select("doc_id", T.related_work_signals(s, source).alias("x")).select("doc_id", "x.*")
 
 
 @query("batch_plan", "SELECT doc_id AS paper_id, source AS grp, CASE WHEN doc_id % 3 = 0 THEN 'exists' WHEN doc_id % 4 = 0 THEN 'missing_input' ELSE 'run' END AS action FROM documents WHERE source IN ('src1', 'src2')")
@@ -348,24 +375,27 @@ def worksheet(spark, sf):
     return both.select("doc_id", F.format_string("## %d %s\n%d\n", "doc_id", "lang", "quality").alias("sheet"))
 
 
-@query("paper_detail", r"SELECT doc_id, md5(trim(substr(text, 1, 1800), chr(32) || chr(10))) AS digest FROM documents WHERE lang = 'en'")
+@query("paper_detail", r"SELECT doc_id, md5(trim(substr(text, 1, 1800), chr(32) || chr(10))) AS digest FROM documents")
 def paper_detail(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.md5(T.excerpt(F.col("text"))).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.excerpt(F.col("text"))).alias("digest"))
 
 
-# Markdown: documents as files of lines, with a heading in every third line.
+# Markdown: documents as files of lines; every line is a heading, a bullet or a table row in turn.
 def _lines(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     n = F.col("line_no")
-    head = F.concat(F.repeat(F.lit("#"), n % 4 + 1), F.lit(" H"), n.cast("string"))
-    return d.select("file", "line_no", F.when(n % 3 == 0, head).when(n % 3 == 1, F.concat(F.lit("- see [T"), n.cast("string"), F.lit("](http://x/"), n.cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("| a "), n.cast("string"), F.lit(" | b |"))).alias("value"))
+    head = F.concat(F.repeat(F.lit("#"), n % 4 + 1), F.lit(" H"), n.cast("string"), F.lit(" "), "raw")
+    bullet = F.concat(F.lit("- see [T"), n.cast("string"), F.lit("](http://x/"), n.cast("string"), F.lit(") "), "raw")
+    cells = F.concat(F.lit("| a "), n.cast("string"), F.lit(" | b "), F.replace("raw", F.lit("|"), F.lit("/")), F.lit(" |"))
+    return d.select("file", "line_no", F.when(n % 3 == 0, head).when(n % 3 == 1, bullet).otherwise(cells).alias("value"))
 
 
-MD = """l AS (SELECT file, line_no, CASE WHEN line_no % 3 = 0 THEN line_no % 4 + 1 ELSE 0 END AS level FROM (SELECT doc_id AS file, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)),
-h AS (SELECT *, max(CASE WHEN level BETWEEN 1 AND 1 THEN line_no END) OVER w AS r2, max(CASE WHEN level = 2 THEN line_no END) OVER w AS m2, max(CASE WHEN level BETWEEN 1 AND 2 THEN line_no END) OVER w AS r3, max(CASE WHEN level = 3 THEN line_no END) OVER w AS m3 FROM l WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING))"""
+MD = """r AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+l AS (SELECT file, line_no, raw, CASE WHEN line_no % 3 = 0 THEN line_no % 4 + 1 ELSE 0 END AS level, lpad(line_no::VARCHAR, 9, '0') || trim('H' || line_no || ' ' || raw) AS title FROM r),
+h AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS r2, max(CASE WHEN level = 2 THEN title END) OVER w AS m2, max(CASE WHEN level BETWEEN 1 AND 2 THEN line_no END) OVER w AS r3, max(CASE WHEN level = 3 THEN title END) OVER w AS m3 FROM l WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING))"""
 
 
-@query("md_sections", f"WITH {MD} SELECT file, line_no::INT AS line_no, CASE WHEN m2 > coalesce(r2, -1) THEN 'H' || m2 END AS h2, CASE WHEN m3 > coalesce(r3, -1) THEN 'H' || m3 END AS h3 FROM h")
+@query("md_sections", f"WITH {MD} SELECT file, line_no::INT AS line_no, CASE WHEN left(m2, 9)::INT > coalesce(r2, -1) THEN substr(m2, 10) END AS h2, CASE WHEN left(m3, 9)::INT > coalesce(r3, -1) THEN substr(m3, 10) END AS h3 FROM h")
 def md_sections(spark, sf):
     return files.markdown_sections(_lines(spark, sf)).select("file", "line_no", "h2", "h3")
 
@@ -375,14 +405,14 @@ def md_bullets(spark, sf):
     return files.markdown_bullets(files.markdown_sections(_lines(spark, sf))).select("file", "line_no", "title", "url")
 
 
-@query("md_table", f"WITH {MD} SELECT file, line_no::INT AS line_no, 'a ' || line_no || ';b' AS cells FROM h WHERE line_no % 3 = 2")
+@query("md_table", f"WITH {MD} SELECT file, line_no::INT AS line_no, 'a ' || line_no || ';' || trim('b ' || replace(raw, '|', '/')) AS cells FROM h WHERE line_no % 3 = 2")
 def md_table(spark, sf):
     return files.markdown_table(_lines(spark, sf)).select("file", "line_no", F.array_join("cells", ";").alias("cells"))
 
 
 SECTIONS = ("Retrieval Optimization", "Memory modules", "Query planning", "Multi and agent", "Benchmarks", "Tool and knowledge", "Other")
 _S = "['" + "', '".join(SECTIONS) + "']"
-_TAGGED = f"r AS (SELECT doc_id AS ord, 's' || (doc_id % 4 + 1) AS source, {_S}[(doc_id % 7 + 1)::INT] AS section, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS title, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN source ELSE source || '.' || doc_id % 10 END AS paper_id FROM documents)"
+_TAGGED = f"r AS (SELECT doc_id AS ord, 's' || (doc_id % 4 + 1) AS source, {_S}[(doc_id % 7 + 1)::INT] AS section, text AS title, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN source ELSE source || '.' || doc_id % 10 END AS paper_id FROM documents)"
 _TAG = "CASE source || section WHEN 's1Retrieval Optimization' THEN '질의계획' WHEN 's1Benchmarks' THEN '평가' WHEN 's2Benchmarks' THEN '평가' WHEN 's3Benchmarks' THEN '평가' WHEN 's2Query planning' THEN '질의계획' WHEN 's2Memory modules' THEN '메모리' WHEN 's3Multi and agent' THEN '에이전트오케스트레이션' WHEN 's3Tool and knowledge' THEN 'RAG강화추론' ELSE '기타' END"
 _NT = r"regexp_replace(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g')"
 _FILLED = f"{_TAGGED}, k AS (SELECT {_NT} AS key, arg_min(paper_id, ord) AS found FROM r WHERE paper_id <> '' GROUP BY 1), f AS (SELECT r.ord, r.title, r.source, {_TAG} AS tag, coalesce(nullif(r.paper_id, ''), k.found, '') AS paper_id FROM r LEFT JOIN k ON k.key = {_NT})"
@@ -396,10 +426,9 @@ _MERGED = (
 
 def _records(spark, sf) -> DataFrame:
     d = F.col("doc_id")
-    words = F.split("text", " ")
     section = F.element_at(F.array(*map(F.lit, SECTIONS)), (d % 7 + 1).cast("int"))
     pid = F.when(d % 5 == 0, "").when(d % 5 == 1, F.col("source")).otherwise(F.concat("source", F.lit("."), d % 10))
-    rows = table(spark, sf, "documents").select(d.alias("ord"), F.concat(F.lit("s"), d % 4 + 1).alias("src"), section.alias("section"), F.concat(F.get(words, F.lit(0)), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit(""))).alias("title"), pid.alias("paper_id"))
+    rows = table(spark, sf, "documents").select(d.alias("ord"), F.concat(F.lit("s"), d % 4 + 1).alias("src"), section.alias("section"), F.col("text").alias("title"), pid.alias("paper_id"))
     return rows.select("ord", "title", "paper_id", F.col("src").alias("source"), candidates.section_tag(F.col("src"), F.col("section")).alias("tag"))
 
 

@@ -512,7 +512,7 @@ for _name, _sql in {
     "score_paper": "SELECT paper_id, tp, fp, fn, round(p, 6) AS p, round(r, 6) AS r FROM bp",
     "score_micro": f"SELECT tp, fp, fn, micro_p, micro_r FROM (SELECT {TOTALS} FROM bp)",
     "score_macro": f"SELECT n_papers, macro_p, macro_r FROM (SELECT {TOTALS} FROM bp)",
-    "score_groups": f"SELECT o_orderpriority AS grp, {TOTALS} FROM bp JOIN orders ON o_orderkey = paper_id GROUP BY GROUPING SETS ((o_orderpriority), ())",
+    "score_groups": f"SELECT o_orderpriority AS grp, grouping(o_orderpriority) = 1 AS all_groups, {TOTALS} FROM bp JOIN orders ON o_orderkey = paper_id GROUP BY GROUPING SETS ((o_orderpriority), ())",
     "fn_diag": "SELECT diag, count(*) AS n FROM items WHERE verdict = 'FN' GROUP BY 1",
     "fp_taxonomy": "SELECT CASE WHEN split_part(rk, ' ', 1) IN ('red', 'blue') THEN 'component_tool' WHEN split_part(rk, ' ', 1) = 'small' THEN 'substrate' ELSE 'method_misjudged' END AS kind, count(*) AS n FROM items WHERE verdict = 'FP' GROUP BY 1",
 }.items():
