@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.functions.text import STATUSES, canon, excerpt
+from strandgraph.functions import annotators, prompts
+from strandgraph.functions.text import STATUSES, canon, excerpt, extract_target, id_month, norm_id
 from strandgraph.functions.vectors import top_k
 from strandgraph.operators import audit, dml, explore, review, views, workflow
 from strandgraph.operators.normalize import Graph
+from strandgraph.sources import files
 from strandgraph.sources.catalog import Catalog
+from strandgraph.sources.durable import stored
 
 
 class Engine:
@@ -30,9 +36,11 @@ class Engine:
         graph = self.graph()
         for name, rows in (("nodes", graph.nodes), ("relations", graph.relations), ("paper_nodes", graph.papers)):
             self.catalog.write(name, rows)
-        drift = audit.multiset_diff(self.catalog.read("relations"), self.graph().relations).count()
-        if drift:
-            raise RuntimeError(f"the stored graph differs from its sources in {drift} rows")
+        fresh = self.graph()
+        for name, rows in (("nodes", fresh.nodes), ("relations", fresh.relations), ("paper_nodes", fresh.papers)):
+            drift = audit.multiset_diff(self.catalog.read(name), rows).count()
+            if drift:
+                raise RuntimeError(f"the stored {name} differ from their sources in {drift} rows")
         return {t: self.catalog.read(t).count() for t in ("nodes", "relations", "paper_nodes")}
 
     def graph_view(self, include_papers: bool = False) -> dict[str, DataFrame]:
@@ -57,8 +65,8 @@ class Engine:
     def lexicon(self) -> DataFrame:
         return self.catalog.read("lexicon").select("label", "status", "aliases", F.coalesce("definition", F.lit("")).alias("definition"), F.coalesce("source", F.lit("")).alias("source"))
 
-    def patch_concept(self, label: str, **fields: object) -> None:
-        """Set status, aliases or definition; a rejected concept also leaves the stored graph."""
+    def patch_concept(self, label: str, **fields: object) -> str:
+        """Set status, aliases or definition; a rejected concept also leaves the stored graph (see _synced)."""
         unknown = set(fields) - {"status", "aliases", "definition"}
         if unknown or fields.get("status", STATUSES[0]) not in STATUSES:
             raise ValueError(f"can't set {sorted(unknown) or fields['status']}")
@@ -67,14 +75,28 @@ class Engine:
             raise LookupError(f"no concept {label}")
         new = {k: F.when(F.col("label") == label, F.lit(v)).otherwise(F.col(k)) for k, v in fields.items()}
         self.catalog.write("lexicon", rows.withColumns(new))
-        if fields.get("status") == "rejected" and self.catalog.versions("nodes"):
+
+        def reject() -> None:
             rk = self.spark.range(1).select(canon(F.lit(label)).alias("rk")).first()["rk"]
             relations, nodes = dml.reject_concept(self.catalog.read("relations"), self.catalog.read("nodes"), rk)
             self.catalog.write("relations", relations)
             self.catalog.write("nodes", nodes)
 
-    def merge_concepts(self, src: str, dst: str) -> None:
-        """src's names become aliases of dst, first in the lexicon, then in the stored graph."""
+        return self._synced(reject) if fields.get("status") == "rejected" else "none"
+
+    def _synced(self, edit: Callable[[], None]) -> str:
+        """Carry an edit of the lexicon over to the stored graph: 'ok', 'none' without a graph, or the
+        error; the lexicon keeps its edit, and the next rebuild makes up for the graph."""
+        if not self.catalog.versions("nodes"):
+            return "none"
+        try:
+            edit()
+        except Exception as error:  # the graph store's failure must not undo the lexicon
+            return f"failed: {error}"
+        return "ok"
+
+    def merge_concepts(self, src: str, dst: str) -> str:
+        """src's names become aliases of dst, first in the lexicon, then in the stored graph (see _synced)."""
         rows = self.catalog.read("lexicon")
         known = {r["label"]: r for r in rows.where(F.col("label").isin(src, dst)).collect()}
         if src == dst or len(known) < 2:
@@ -82,50 +104,103 @@ class Engine:
         lost = F.array(*map(F.lit, known[src]["aliases"])).cast("array<string>")
         aliases = F.when(F.col("label") == dst, dml.alias_union(F.col("aliases"), lost, F.lit(src), F.lit(dst))).otherwise(F.col("aliases"))
         self.catalog.write("lexicon", rows.where(F.col("label") != src).withColumn("aliases", aliases))
-        if self.catalog.versions("nodes"):
+
+        def merge() -> None:
             keys = self.spark.range(1).select(canon(F.lit(src)).alias("a"), canon(F.lit(dst)).alias("b")).first()
             parts = dml.merge_concept(self.catalog.read("relations"), self.catalog.read("nodes"), self.catalog.read("paper_nodes"), keys["a"], keys["b"])
             for name, part in zip(("relations", "nodes", "paper_nodes"), parts):
                 self.catalog.write(name, part)
 
+        return self._synced(merge)
+
     def review_cards(self) -> DataFrame:
         cards = self.catalog.read("cards")
         return cards.withColumn("rank", review.queue_rank(F.col("confidence"), F.lit(True)))
 
+    def regenerate_cards(self, titles: DataFrame, call: Callable | None = None, parallel: int | None = None) -> int:
+        """Suggest anew for pending concepts without a card, and drop cards of decided ones."""
+        graph = self.graph()
+        pending = graph.lexicon.where("status = 'pending'").select("label", canon(F.col("label")).alias("rk"))
+        old = self.catalog.read("cards") if self.catalog.versions("cards") else None
+        todo = pending if old is None else pending.join(old, "label", "left_anti")
+        evidence = review.evidence_cards(graph.resolved, titles, graph.lexicon.select(canon(F.col("label")).alias("rk"), "definition"))
+        similar = review.find_similar(todo.select("label"), graph.lexicon.where("status = 'approved'").select("ord", "label")).select("label", "similar")
+        given = todo.join(evidence, "rk", "left").join(similar, "label", "left")
+        defined = F.coalesce(F.transform("defined_in", lambda x: x["paper_id"].cast("string")), F.array().cast("array<string>"))
+        told = annotators.ask(given, prompts.SUGGEST, F.col("label"), F.col("definition"), defined, F.col("similar"), call=call, id_col="label", parallel=parallel).where("ok")
+        action = F.when(F.col("action") == "merge", F.concat(F.lit("merge_into:"), F.coalesce("merge_into", F.lit("?")))).otherwise(F.col("action"))
+        new = told.select(F.col("id").alias("label"), F.lit("pending").alias("status"), action.alias("action"), "category", "reason", "confidence")
+        kept = new if old is None else new.unionByName(old.join(pending, "label", "left_semi").select(*new.columns))
+        self.catalog.write("cards", stored(kept))
+        return self.catalog.read("cards").count()
+
     def semantic_search(self, query: DataFrame, model: str, k: int = 8) -> DataFrame:
         """The nearest nodes of the live graph."""
         hits = top_k(self.catalog.read("embeddings"), query, k, model=model)
         return hits.join(self.catalog.read("nodes").select(F.col("rk").alias("node_id")), "node_id", "left_semi")
 
-    def command(self, text: str) -> tuple[explore.Command, DataFrame | None]:
-        """Route a text and evaluate it; searches by meaning need an embedding and give no rows."""
-        view = views.concept_view(self.graph())
+    def months(self, graph: Graph) -> DataFrame:
+        """(rk, month): the first month of the papers that a concept occurs in; papers may lack months."""
+        papers = graph.papers if "month" in graph.papers.columns else graph.papers.withColumn("month", id_month(F.col("paper_id").cast("string")))
+        return graph.relations.join(papers.select("paper_id", "month"), "paper_id").groupBy("rk").agg(F.min("month").alias("month"))
+
+    def search(self, text: str, embed: Callable[[list[str]], list[dict]], model: str, k: int = 8) -> DataFrame:
+        """(kind, node_id, score) of the concepts and the papers nearest in meaning, k of each, live ones only.
+
+        embed makes the text's vector, as it made the stored ones.
+        """
+        query = self.spark.createDataFrame([(embed([text])[0]["vector"],)], "vector array<double>")
+        store = files.embedding_store(self.catalog.read("embeddings"), model).withColumnRenamed("id", "node_id")
+        live = {"concept": self.catalog.read("nodes").select(F.col("rk").alias("node_id")), "paper": self.catalog.read("paper_nodes").select(F.col("paper_id").cast("string").alias("node_id"))}
+        found = [top_k(store.where(F.col("kind") == kind).drop("kind"), query, k).join(ids, "node_id", "left_semi").select(F.lit(kind).alias("kind"), "node_id", F.bround("score", 3).alias("score")) for kind, ids in live.items()]
+        return found[0].unionByName(found[1])
+
+    def command(self, text: str, embed: Callable | None = None, model: str = "") -> tuple[explore.Command, DataFrame | None]:
+        """Route a text and evaluate it. Searches by meaning give no rows without a function to embed with."""
+        graph = self.graph()
+        view = views.concept_view(graph)
         named = view.where(F.contains(F.lit(text.strip().lower()), F.lower("canonical"))).select("canonical")
         names = [r["canonical"] for r in named.orderBy(F.length("canonical").desc(), "canonical").limit(1).collect()]
         found = explore.route(text, names, ("technique", "survey", "benchmark", "analysis", "other"))
         if found.tool == "filter":
-            return found, explore.filter_concepts(explore.with_reviewed(view.withColumn("month", F.lit(None).cast("string")), self.reviewed()), **found.args)
+            return found, explore.filter_concepts(explore.with_reviewed(view.join(self.months(graph), "rk", "left"), self.reviewed()), **found.args)
         if found.tool == "focus_lineage":
             starts = explore.resolve_node(view, self.spark.createDataFrame([(found.args["node"],)], "name string")).where("rk is not null")
-            return found, explore.closure(views.lineage(self.graph()), starts, found.args["direction"])
+            return found, explore.closure(views.lineage(graph), starts, found.args["direction"])
+        if found.tool == "semantic_search" and embed is not None:
+            return found, self.search(found.args["query"], embed, model)
         return found, view if found.tool == "reset" else None
 
 
 class Session:
-    """A resumable ingestion session: each step appends its state to the sessions table."""
+    """A resumable ingestion session. Each step does its work from the tables, keeps its result there
+    and appends its state to the sessions table, so a restart goes on where the last step ended.
+
+    Tables besides the engine's: feed (query_ord, entry_ord, query, id, title, summary, published), what
+    searches found, and ledger (paper_id, title, verdict). Calls are the prompts' stand-ins by default.
+    """
 
-    def __init__(self, engine: Engine, thread_id: str):
-        self.engine, self.thread_id = engine, thread_id
+    def __init__(self, engine: Engine, thread_id: str, calls: dict[str, Callable] | None = None):
+        self.engine, self.thread_id, self.calls = engine, thread_id, calls or {}
 
-    def _append(self, stage: str, state: str) -> None:
+    def _append(self, stage: str, state: dict | str) -> None:
         catalog = self.engine.catalog
-        have = catalog.read("sessions") if catalog.versions("sessions") else None
-        seq = have.where(F.col("thread_id") == self.thread_id).count() if have is not None else 0
-        row = self.engine.spark.createDataFrame([(self.thread_id, seq, stage, state)], "thread_id string, seq long, stage string, state string")
-        catalog.write("sessions", row if have is None else have.unionByName(row))
+        have = catalog.read("sessions").where(F.col("thread_id") == self.thread_id).count() if catalog.versions("sessions") else 0
+        text = state if isinstance(state, str) else json.dumps(state, ensure_ascii=False)
+        catalog.append("sessions", self.engine.spark.createDataFrame([(self.thread_id, have, stage, text)], "thread_id string, seq long, stage string, state string"))
 
-    def start(self, text: str) -> None:
-        self._append("interpret", text)
+    def _ask(self, prompt: prompts.Prompt, text: str) -> dict:
+        rows = self.engine.spark.createDataFrame([(0, text)], "id int, text string")
+        told = annotators.annotate(rows, self.calls.get(prompt.name, prompt.offline), prompt.schema, prompt.version).first()
+        if not told["ok"]:
+            raise RuntimeError(f"{prompt.name} failed: {told['error']}")
+        return {f: told[f] for f in told.asDict(True) if f not in ("id", "prompt_ver", "ok", "error", "seconds", "tokens")}
+
+    def start(self, text: str) -> dict:
+        """Interpret what is asked for, and wait for a decision."""
+        intent = self._ask(prompts.INTENT, text)
+        self._append("interpret", intent)
+        return intent
 
     def state(self) -> dict | None:
         catalog = self.engine.catalog
@@ -135,9 +210,57 @@ class Session:
         return last.asDict() if last else None
 
     def resume(self, decision: str) -> str:
+        """Do the step that a decision leads to, and give the stage that is reached."""
         now = self.state()
         if now is None:
             raise LookupError(f"no session {self.thread_id}")
         stage = workflow.stage_after(now["stage"], decision)
-        self._append(stage, decision)
-        return stage
+        known = json.loads(now["state"]) if now["state"].startswith("{") else {}
+        if stage == "expand":
+            message = self.engine.spark.range(1).select(prompts.EXPAND.message(F.lit(known["topic"]), F.array().cast("array<string>")).alias("m")).first()["m"]
+            known["queries"] = self._ask(prompts.EXPAND, message)["queries"]
+        elif stage == "gate":
+            known |= self._gate(known)
+        elif stage == "extract":
+            known |= self._extract(known)
+        reached = {"expand": "approve", "gate": "extract_confirm", "extract": "report"}.get(stage, stage)
+        self._append(reached, known)
+        return reached
+
+    def _target(self, known: dict) -> int:
+        return self.engine.spark.range(1).select(extract_target(F.lit(known.get("count")).cast("long")).alias("n")).first()["n"]
+
+    def found(self, known: dict) -> DataFrame:
+        """Papers of the feed for the session's queries, neither owned nor rejected, in a fixed order."""
+        catalog = self.engine.catalog
+        asked = catalog.read("feed").where(F.col("query").isin(known["queries"]))
+        papers = workflow.feed_entries(asked, known.get("period_from") or None, known.get("period_to") or None)
+        ledger = catalog.read("ledger") if catalog.versions("ledger") else self.engine.spark.createDataFrame([], "paper_id string, verdict string")
+        reasons = workflow.candidate_reasons(papers, catalog.read("papers").select("paper_id"), ledger)
+        return reasons.where("reason = 'new'").withColumn("rank", F.struct("query_ord", "entry_ord"))
+
+    def _gate(self, known: dict) -> dict:
+        """Judge the found papers in batches until enough pass; verdicts go to the ledger."""
+        new = self.found(known)
+        told = annotators.ask(new, prompts.GATE, F.col("title"), F.col("abstract"), call=self.calls.get("gate"), id_col="paper_id")
+        judged = stored(new.join(told.where("ok").select(F.col("id").alias("paper_id"), F.col("type").alias("verdict")), "paper_id").withColumn("passed", F.col("verdict") == "technique"))
+        batches = stored(workflow.gate_batches(judged, self._target(known)))
+        self.engine.catalog.append("ledger", batches.select("paper_id", "title", "verdict"))
+        chosen = workflow.to_extract(batches, self._target(known)).orderBy("rank").select("paper_id").collect()  # at most the extraction's cap
+        parts = {r["part"]: r["n"] for r in workflow.gate_summary(batches).groupBy("part").agg(F.count("*").alias("n")).collect()}
+        return {"to_extract": [r["paper_id"] for r in chosen], **parts}
+
+    def _extract(self, known: dict) -> dict:
+        """Extract the chosen papers from their abstracts and add them to the engine's tables."""
+        catalog = self.engine.catalog
+        chosen = catalog.read("feed").withColumn("paper_id", norm_id(F.col("id"))).where(F.col("paper_id").isin(known["to_extract"])).groupBy("paper_id").agg(F.min_by(F.struct("title", "summary"), F.struct("query_ord", "entry_ord")).alias("x"))
+        text = F.concat_ws("\n", "x.title", "x.summary")
+        told = stored(annotators.ask(chosen, prompts.EXTRACT, text, call=self.calls.get("extract"), id_col="paper_id").where("ok"))
+        built = annotators.ask(chosen, prompts.RELATE, text, call=self.calls.get("relate"), id_col="paper_id").where("ok").select(F.col("id").alias("paper_id"), "builds_on")
+        both = files.with_relations(told.withColumnRenamed("id", "paper_id"), built)
+        new = {"mentions": files.mentions(both), "papers": both.select("paper_id", "title", "problem", "domain", "paper_type")}
+        for name, rows in new.items():
+            old = catalog.read(name)
+            rest = old.join(both.select("paper_id"), "paper_id", "left_anti")
+            catalog.write(name, stored(rest.unionByName(rows.select(*[c for c in old.columns if c in rows.columns]), allowMissingColumns=True)))
+        return {"extracted": told.count()}

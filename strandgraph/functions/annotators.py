@@ -7,38 +7,63 @@ batches inside tasks. Its results are a table, so that the engine works offline
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from strandgraph.functions.prompts import Prompt
 
 
 def annotate(rows: DataFrame, call: Callable[[list[str]], list], schema: str, version: str, batch: int = 256, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, prompt_ver, ok, error, and the schema's columns). A batch that fails is retried row by
-    row; a row that fails has its error and nulls, and the others go on."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """(id, prompt_ver, ok, error, seconds, tokens, and the schema's columns).
+
+    A batch that fails is retried row by row; a row that fails has its error and nulls, and the others
+    go on. A row without text isn't asked: it is a failure of its own. seconds is a row's share of its
+    call's time; tokens is what the call reports under that name, else null.
+    """
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def one(texts: list[str]) -> list[tuple]:
+        began = time.monotonic()
         try:
-            return [(True, None, *[v.get(n) for n in names]) for v in call(texts)]
+            values = call(texts)
+            share = (time.monotonic() - began) / len(texts)
+            return [(True, None, share, v.get("tokens"), *[v.get(n) for n in names]) for v in values]
         except Exception as error:  # any failure of a foreign call is that row's result
             if len(texts) == 1:
-                return [(False, str(error), *[None] * len(names))]
+                return [(False, str(error), time.monotonic() - began, None, *[None] * len(names))]
             return [x for t in texts for x in one([t])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), batch):
                 piece = part.iloc[at : at + batch]
-                out = pd.DataFrame(one(piece["text"].tolist()), columns=["ok", "error", *names])
+                texts = piece["text"].tolist()
+                told = iter(one([t for t in texts if t is not None]) if any(t is not None for t in texts) else [])
+                out = pd.DataFrame([next(told) if t is not None else (False, "no text", 0.0, None, *[None] * len(names)) for t in texts], columns=["ok", "error", "seconds", "tokens", *names])
+                out["tokens"] = out["tokens"].astype("Int64")
                 out.insert(0, "id", piece["id"].to_numpy())
                 out.insert(1, "prompt_ver", version)
                 yield out
 
     kind = rows.schema[id_col].dataType.simpleString()
-    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return picked.mapInPandas(run, f"id {kind}, prompt_ver string, ok boolean, error string, {schema}")
+    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return picked.mapInPandas(run, f"id {kind}, prompt_ver string, ok boolean, error string, seconds double, tokens long, {schema}")
+
+
+def ask(rows: DataFrame, prompt: Prompt, *columns: Column, call: Callable | None = None, id_col: str = "id", parallel: int | None = None) -> DataFrame:
+    """Annotate rows by a prompt whose message is built from columns. parallel is the number of calls at a time."""
+    asked = rows.select(F.col(id_col).alias("id"), prompt.message(*columns).alias("text"))
+    return annotate(asked.repartition(parallel) if parallel else asked, call or prompt.offline, prompt.schema, prompt.version)
+
+
+def usage_log(annotated: DataFrame, stage: str) -> DataFrame:
+    """(stage, tokens, seconds) of every call, for strandgraph.operators.workflow.usage_by_stage."""
+    return annotated.where("error is null or error <> 'no text'").select(F.lit(stage).alias("stage"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "seconds")
 
 
 def missing(rows: DataFrame, done: DataFrame, version: str, id_col: str = "id") -> DataFrame:
@@ -57,10 +82,3 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[dict]:
             vector[h % dim] += 1.0 if h >> 63 else -1.0
         out.append({"vector": vector})
     return out
-
-
-def keyword_gate(texts: list[str]) -> list[dict]:
-    """An offline stand-in for the gate: the paper type by words of its title and abstract."""
-    words = {"survey": ("survey", "review of"), "benchmark": ("benchmark", "dataset"), "analysis": ("analysis", "we study")}
-    kind = lambda t: next((k for k, ws in words.items() if any(w in t.lower() for w in ws)), "technique")
-    return [{"type": kind(t), "reason": "keyword"} for t in texts]

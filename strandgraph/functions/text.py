@@ -174,6 +174,16 @@ def related_work_signals(section: Column, source: Column) -> Column:
     )
 
 
+def tool_args(s: Column) -> Column:
+    """struct(args, error) of a tool call's JSON arguments: compact JSON, or what couldn't be parsed.
+
+    Null and empty strings are no arguments.
+    """
+    given = F.coalesce(F.nullif(F.trim(s), F.lit("")), F.lit("{}"))
+    parsed = F.try_parse_json(F.when(given.rlike(r"(?s)^\{.*\}$"), given))  # an object, with nothing after it
+    return F.struct(F.to_json(parsed).alias("args"), F.when(parsed.isNull(), F.concat(F.lit("cannot parse tool arguments: "), s)).alias("error"))
+
+
 def valid_extraction(paper_type: Column, title: Column, defines: Column) -> Column:
     """Whether an extraction keeps its schema: a known type, a title, named definitions."""
     return F.coalesce(paper_type.isin(*PAPER_TYPES) & title.isNotNull() & (F.size(F.filter(defines, lambda d: d["name"].isNull())) == 0), F.lit(False))

@@ -82,6 +82,14 @@ def merge(records: DataFrame, sources: tuple[str, ...] = SOURCES, tags: tuple[st
     return grouped.select("title", "paper_id", ordered(F.col("ss"), sources).alias("source"), ordered(F.col("ts"), tags).alias("tag"))
 
 
+def corpus_ids(*parts: DataFrame) -> DataFrame:
+    """(paper_id): the ids of all parts of the corpus, each once."""
+    out = parts[0].select("paper_id")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("paper_id"))
+    return out.where("paper_id is not null").distinct()
+
+
 def in_corpus(merged: DataFrame, corpus: DataFrame) -> DataFrame:
     have = corpus.select("paper_id", F.lit(True).alias("has")).distinct()
     return merged.join(have, "paper_id", "left").withColumn("in_corpus", F.when(F.col("has") & (F.col("paper_id") != ""), "yes").otherwise("no")).drop("has")

@@ -28,13 +28,17 @@ def upsert_papers(old: DataFrame, new: DataFrame, key: str = "paper_id") -> Data
 
 
 def upsert_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Names and statuses are set; definition and def_status only while the definition is empty."""
+    """Names and statuses are set; definition and def_status only while the definition is empty.
+
+    An embedding, where old has that column, is set by a new one that isn't null.
+    """
     both = _both(old, new, "rk")
     empty = F.col("o").isNull() | (F.coalesce("o.definition", F.lit("")) == "")
     use = F.col("n").isNotNull() & empty
     pick = lambda c: F.when(use, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     last = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    return both.select("rk", last("name"), last("status"), pick("definition"), pick("def_status"))
+    embedding = [F.coalesce("n.embedding", "o.embedding").alias("embedding")] if "embedding" in old.columns else []
+    return both.select("rk", last("name"), last("status"), pick("definition"), pick("def_status"), *embedding)
 
 
 def upsert_ledger(old: DataFrame, new: DataFrame, kept: tuple[str, ...] = ("verdict", "extracted", "first_seen_query")) -> DataFrame:

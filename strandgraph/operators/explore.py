@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -39,6 +40,18 @@ def name_search(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("canonical"), F.lit(q))) if q else nodes.limit(0)
 
 
+def filter_lexicon(items: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
+    """Lexicon items (label, status) of a status (None or 'all': any) whose name contains a text."""
+    out = items if status in (None, "all") else items.where(F.col("status") == status)
+    q = text.strip().lower()
+    return out.where(F.contains(F.lower("label"), F.lit(q))) if q else out
+
+
+def merge_targets(items: DataFrame, label: str, text: str = "", n: int = 50) -> DataFrame:
+    """The first n other concepts by name that a concept can be merged into (a picker's page)."""
+    return filter_lexicon(items.where(F.col("label") != label), None, text).orderBy("label").limit(n)
+
+
 def next_match(index: int, n: int) -> int:
     """The match after index, around the end."""
     return (index + 1) % n if n else 0
@@ -117,7 +130,12 @@ def route(text: str, names: list[str], ptypes: tuple[str, ...] = (), domains: tu
     asked = next((d for w, d in directions.items() if w in low), None)
     if node and asked:
         return Command("focus_lineage", {"node": node, "direction": asked})
+    since = re.search(r"\b(?:after|since|from)\s+(\d{4})(?:-(\d{2}))?\b", low)
     args = {k: v for k, vs in (("ptype", ptypes), ("domain", domains)) for v in vs if v.lower() in low.split()}
     if "unreviewed" in low:
         args["unreviewed_only"] = True
+    if since:
+        args["date_after"] = f"{since[1]}-{since[2] or '01'}"
+    if asked:
+        return Command("none", {"message": "no known concept is named"})
     return Command("filter", args) if args else Command("semantic_search", {"query": text.strip()})

@@ -82,6 +82,23 @@ def gate_summary(judged: DataFrame) -> DataFrame:
     return judged.select("paper_id", F.when(F.coalesce("passed", F.lit(False)), "passed").otherwise("failed").alias("part"))
 
 
+def hit_line(name: Column, said: Column, score: Column, missing: str) -> Column:
+    """One line of what the graph already knows: a concept with its definition, a paper with its problem."""
+    told = F.coalesce(F.nullif(F.trim(said), F.lit("")), F.lit(missing))
+    return F.concat(F.lit("- "), name, F.lit(": "), told, F.format_string(" [%.2f]", score))
+
+
+def status_report(topic: str, concepts: DataFrame, papers: DataFrame) -> DataFrame:
+    """(part, ord, line): topic, then known concepts and papers (line, score), best first, for a report."""
+    head = lambda part, text: topic_frame.select(F.lit(part).alias("part"), F.lit(-1.0).alias("ord"), F.lit(text).alias("line"))
+    topic_frame = concepts.sparkSession.range(1)
+    listed = lambda d, part: d.select(F.lit(part).alias("part"), (1 - F.col("score")).cast("double").alias("ord"), "line")
+    out = head(0, f"Topic: {topic}")
+    for part, title, rows in ((1, "Known concepts:", concepts), (2, "Known papers:", papers)):
+        out = out.unionByName(head(part, title)).unionByName(listed(rows, part))
+    return out
+
+
 def latest_state(log: DataFrame, key: str, order: Column | str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in log.columns if c != key]

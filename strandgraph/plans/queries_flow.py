@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.functions import sections
+from strandgraph.functions import annotators, prompts, sections
 from strandgraph.functions import text as T
-from strandgraph.operators import candidates, dml, review, workflow
+from strandgraph.operators import candidates, dml, explore, review, workflow
 from strandgraph.plans import encoding as enc
 from strandgraph.plans.encoding import table
 from strandgraph.sources import files
+from strandgraph.sources.catalog import Catalog
+from strandgraph.sources.durable import scratch
 from strandgraph.streaming import ingest
 
 QUERIES: dict = {}
@@ -239,9 +241,36 @@ def _cards(spark, sf) -> DataFrame:
 RANK = "CASE WHEN NOT has_card THEN 9 ELSE CASE confidence WHEN 'low' THEN 0 WHEN 'med' THEN 1 WHEN 'high' THEN 2 ELSE 3 END END"
 
 
-@query("review_queue", f"WITH {CARDS} SELECT label, {RANK} AS rank FROM card")
+@query("review_queue", f"WITH {CARDS} SELECT label, status, CASE WHEN has_card AND status IN ('pending', 'unreviewed') THEN {RANK} ELSE 9 END AS rank FROM (SELECT *, ['pending', 'unreviewed', 'approved'][(s_suppkey % 3 + 1)::INT] AS status FROM card JOIN supplier ON s_name = label) WHERE contains(lower(label), '1')")
 def review_queue(spark, sf):
-    return _cards(spark, sf).select("label", review.queue_rank(F.col("confidence"), F.col("has_card")).alias("rank"))
+    status = F.element_at(F.array(*map(F.lit, ("pending", "unreviewed", "approved"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    items = table(spark, sf, "supplier").select(F.col("s_name").alias("label"), status.alias("status"))
+    return review.queue(items, _cards(spark, sf).where("has_card"), text=" 1")
+
+
+@query("review_report", f"""WITH {CARDS} SELECT (confidence = 'high')::INT AS part, CASE WHEN confidence = 'high' THEN action ELSE '' END AS grp, CASE confidence WHEN 'low' THEN 0 WHEN 'med' THEN 1 ELSE 0 END AS rank, label,
+CASE WHEN confidence = 'high' THEN '- **' || label || '** (' || action || ') - why' ELSE '### ' || label || ' `pending`: **' || action || '**, ' || action || ', ' || confidence || ': why' END AS line FROM card WHERE confidence IN ('low', 'med', 'high')""")
+def review_report(spark, sf):
+    return review.report(_cards(spark, sf).withColumns({"status": F.lit("pending"), "category": F.col("action"), "reason": F.lit("why")}))
+
+
+@query("attach_cards", f"WITH {CARDS}, {LEX} SELECT lex.label, card.action, card.confidence FROM lex LEFT JOIN (SELECT *, row_number() OVER (ORDER BY label) AS k FROM card WHERE has_card) card ON lex.p_partkey = card.k")
+def attach_cards(spark, sf):
+    cards = _cards(spark, sf).where("has_card").withColumn("k", F.row_number().over(Window.orderBy("label")))  # suppliers are few
+    named = enc.lexicon(spark, sf).select(F.col("ord").alias("k"), F.col("label").alias("name"))
+    return review.attach_cards(enc.lexicon(spark, sf).select("label"), cards.join(named, "k").select(F.col("name").alias("label"), "action", "confidence")).select("label", "card.action", "card.confidence")
+
+
+@query("lexicon_filter", f"WITH {LEX} SELECT label, status FROM lex WHERE status = 'pending' AND contains(lower(label), 'red')")
+def lexicon_filter(spark, sf):
+    return explore.filter_lexicon(enc.lexicon(spark, sf), "pending", " Red ").select("label", "status")
+
+
+@query("merge_targets", f"WITH {LEX} SELECT label FROM lex WHERE p_partkey <> 1 AND contains(lower(label), 'bolt') ORDER BY label LIMIT 50")
+def merge_targets(spark, sf):
+    x = enc.lexicon(spark, sf)
+    own = x.where("ord = 1").select("label").first()
+    return explore.merge_targets(x, own["label"] if own else "", "bolt").select("label")
 
 
 @query("paginate", f"WITH {CARDS} SELECT label FROM card ORDER BY {RANK}, label LIMIT 20 OFFSET (SELECT 20 * least(1, greatest(0, (count(*) - 1) // 20)) FROM card)")
@@ -485,3 +514,71 @@ def deterministic_sample(spark, sf):
 def report_lines(spark, sf):
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return files.report_lines(counts, "- %s: %d", "event_type", "n")
+
+
+@query("gate_summary", f"WITH {GATE} SELECT source, CASE WHEN passed THEN 'passed' ELSE 'failed' END AS part, count(*) AS n FROM judged GROUP BY ALL")
+def gate_summary(spark, sf):
+    judged = _judged(spark, sf).withColumn("paper_id", F.struct("source", "rank"))
+    return workflow.gate_summary(judged).groupBy("paper_id.source", "part").agg(F.count("*").alias("n"))
+
+
+@query("corpus_ids", "SELECT doc_id AS paper_id FROM documents UNION SELECT doc_id FROM labels UNION SELECT item_id FROM benchmark")
+def corpus_ids(spark, sf):
+    ids = lambda name, c: table(spark, sf, name).select(F.col(c).alias("paper_id"))
+    return candidates.corpus_ids(ids("documents", "doc_id"), ids("labels", "doc_id"), ids("benchmark", "item_id"))
+
+
+@query("tool_args", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN '{}' ELSE replace(props, ' ', '') END AS args, CASE WHEN event_id % 3 = 2 THEN 'cannot parse tool arguments: ' || props || '{' END AS error FROM events")
+def tool_args(spark, sf):
+    e = table(spark, sf, "events")
+    given = F.when(F.col("event_id") % 3 == 2, F.concat("props", F.lit("{"))).when(F.col("event_id") % 3 == 0, F.col("props"))
+    return e.select("event_id", T.tool_args(given).alias("x")).select("event_id", "x.*")
+
+
+@query("csv_round_trip", "SELECT doc_id, md5(text) AS digest, source FROM documents")
+def csv_round_trip(spark, sf):
+    path = scratch(spark)
+    files.write_csv(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    return files.read_csv(spark, path, "doc_id long, text string, source string").select("doc_id", F.md5("text").alias("digest"), "source")
+
+
+@query("ledger", "SELECT event_id AS paper_id, event_type AS verdict FROM events")
+def ledger(spark, sf):
+    catalog = Catalog(spark, scratch(spark))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("paper_id"), F.col("event_type").alias("verdict"))
+    catalog.append("ledger", rows.where("paper_id % 2 = 0"))
+    catalog.append("ledger", rows.where("paper_id % 2 = 1"))
+    return catalog.read("ledger")
+
+
+@query("parsed_scan", "SELECT doc_id::VARCHAR AS paper_id, length(text)::INT AS char_count, md5(text) AS digest FROM documents")
+def parsed_scan(spark, sf):
+    path = scratch(spark)
+    table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(True).alias("ok"), F.length("text").alias("char_count"), "text").write.json(path)
+    return files.parsed_lines(spark, path).select("paper_id", "char_count", F.md5("text").alias("digest"))
+
+
+@query("table_links", "SELECT doc_id AS file, 'T' || doc_id AS title, 'http://x/' || doc_id AS url FROM documents")
+def table_links(spark, sf):
+    d = F.col("doc_id").cast("string")
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("line_no"), F.concat(F.lit("| a | [T"), d, F.lit("](http://x/"), d, F.lit(") more |")).alias("value"))
+    return files.table_links(files.markdown_table(lines)).select("file", "title", "url")
+
+
+@query("status_report", "SELECT 0 AS part, 'Topic: t' AS line UNION ALL SELECT 1, 'Known concepts:' UNION ALL SELECT 2, 'Known papers:' UNION ALL SELECT 1, '- ' || s_name || ': ' || CASE WHEN s_suppkey % 2 = 0 THEN 'def' ELSE '(no definition)' END || ' [0.50]' FROM supplier UNION ALL SELECT 2, '- ' || r_name || ': p [0.25]' FROM region")
+def status_report(spark, sf):
+    s, r = table(spark, sf, "supplier"), table(spark, sf, "region")
+    concepts = s.select(workflow.hit_line(F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, " def "), F.lit(0.5), "(no definition)").alias("line"), F.lit(0.5).alias("score"))
+    papers = r.select(workflow.hit_line(F.col("r_name"), F.lit("p"), F.lit(0.25), "").alias("line"), F.lit(0.25).alias("score"))
+    return workflow.status_report("t", concepts, papers).select("part", "line")
+
+
+@query("usage_log", "SELECT 'gate' AS stage, false AS all_stages, count(*) AS calls FROM documents WHERE text IS NOT NULL UNION ALL SELECT NULL, true, count(*) FROM documents WHERE text IS NOT NULL")
+def usage_log(spark, sf):
+    told = annotators.ask(table(spark, sf, "documents"), prompts.GATE, F.col("source"), F.col("text"), id_col="doc_id")
+    return workflow.usage_by_stage(annotators.usage_log(told, "gate")).select("stage", "all_stages", "calls")
+
+
+@query("gate_annotator", "SELECT doc_id AS id, CASE WHEN regexp_matches(t, 'survey|review of') THEN 'survey' WHEN regexp_matches(t, 'benchmark|dataset') THEN 'benchmark' WHEN regexp_matches(t, 'analysis|we study') THEN 'analysis' ELSE 'technique' END AS type FROM (SELECT doc_id, lower(concat_ws(chr(10), source, text)) AS t FROM documents)")
+def gate_annotator(spark, sf):
+    return annotators.ask(table(spark, sf, "documents"), prompts.GATE, F.col("source"), F.col("text"), id_col="doc_id").where("ok").select("id", "type")

@@ -10,8 +10,9 @@ from strandgraph.functions import vectors as V
 from strandgraph.operators import audit, dml, explore, normalize, review, score, views
 from strandgraph.plans import encoding as enc
 from strandgraph.plans.encoding import canon_sql, table, with_graph
-from strandgraph.sources import schemas
-from strandgraph.sources.durable import stored
+from strandgraph.sources import files, schemas
+from strandgraph.sources.catalog import Catalog
+from strandgraph.sources.durable import scratch, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -44,18 +45,34 @@ def _extraction(spark, sf) -> DataFrame:
     return both.join(enc.papers(spark, sf), "paper_id", "right")
 
 
-@query("scan_extractions", with_graph("SELECT p.paper_id, p.title, p.domain, count(ment.t) FILTER (WHERE phase = 0) AS n_defines FROM rawpaper p LEFT JOIN ment USING (paper_id) GROUP BY ALL"))
+def _written(spark, write) -> str:
+    """A new folder in the shared one, filled by write(path)."""
+    path = scratch(spark)
+    write(path)
+    return path
+
+
+@query("scan_extractions", with_graph("SELECT p.paper_id::VARCHAR AS paper_id, p.title, p.domain, count(ment.t) FILTER (WHERE phase = 0) AS n_defines FROM rawpaper p LEFT JOIN ment USING (paper_id) GROUP BY ALL"))
 def scan_extractions(spark, sf):
-    stored = _extraction(spark, sf).select("paper_id", F.to_json(F.struct("title", "domain", "paper_type", "defines")).alias("value"))
-    back = stored.select("paper_id", F.from_json("value", schemas.EXTRACTION).alias("x"))
-    return back.select("paper_id", "x.title", "x.domain", F.coalesce(F.size("x.defines"), F.lit(0)).cast("long").alias("n_defines"))
+    rows = _extraction(spark, sf).select(F.col("paper_id").cast("string").alias("paper_id"), "title", "domain", "paper_type", "defines")
+    back = files.extraction_lines(spark, _written(spark, lambda path: rows.write.json(path)))
+    return back.select("paper_id", "title", "domain", F.coalesce(F.size("defines"), F.lit(0)).cast("long").alias("n_defines"))
 
 
-@query("scan_relations", with_graph("SELECT p.paper_id, count(ment.t) FILTER (WHERE phase = 1) AS n_builds_on FROM rawpaper p LEFT JOIN ment USING (paper_id) GROUP BY ALL"))
+@query("scan_relations", with_graph("SELECT p.paper_id::VARCHAR AS paper_id, count(ment.t) FILTER (WHERE phase = 1) AS n_builds_on FROM rawpaper p LEFT JOIN ment USING (paper_id) GROUP BY ALL"))
 def scan_relations(spark, sf):
-    stored = _extraction(spark, sf).where(F.size("builds_on") > 0).select("paper_id", F.from_json(F.to_json(F.struct("builds_on")), schemas.RELATIONS).alias("x"))
-    both = enc.papers(spark, sf).select("paper_id").join(stored, "paper_id", "left")
-    return both.select("paper_id", F.size(F.coalesce("x.builds_on", F.array().cast("array<string>"))).cast("long").alias("n_builds_on"))
+    rows = _extraction(spark, sf).where(F.size("builds_on") > 0).select(F.col("paper_id").cast("string").alias("paper_id"), "builds_on")
+    back = files.relation_lines(spark, _written(spark, lambda path: rows.write.json(path)))
+    papers = enc.papers(spark, sf).select(F.col("paper_id").cast("string").alias("paper_id"))
+    return files.with_relations(papers, back).select("paper_id", F.size("builds_on").cast("long").alias("n_builds_on"))
+
+
+@query("scan_mentions", with_graph("SELECT paper_id::VARCHAR AS paper_id, phase::INT AS phase, (idx - 1)::INT AS idx, name, definition FROM ment"))
+def scan_mentions(spark, sf):
+    rows = _extraction(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+    concepts = files.extraction_lines(spark, _written(spark, lambda path: rows.drop("builds_on", "month").write.json(path)))
+    builds = files.relation_lines(spark, _written(spark, lambda path: rows.select("paper_id", "builds_on").write.json(path)))
+    return files.mentions(files.with_relations(concepts, builds)).withColumn("definition", F.when(F.col("phase") == 0, F.col("definition")).otherwise(""))
 
 
 @query("lexicon_state", with_graph("SELECT key, rk FROM amap"))
@@ -197,7 +214,24 @@ def id_unique_check(spark, sf):
 
 @g("graph_load", "SELECT rk, type, count(*) AS n FROM rel GROUP BY ALL")
 def graph_load(x):
-    return x.relations.groupBy("rk", "type").agg(F.count("*").alias("n"))
+    spark = x.mentions.sparkSession
+    catalog = Catalog(spark, scratch(spark))
+    catalog.write("relations", x.relations.where("type = 'defines'"))
+    catalog.write("relations", x.relations)  # a full load replaces what was there
+    return catalog.read("relations").groupBy("rk", "type").agg(F.count("*").alias("n"))
+
+
+@query("embedding_store", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'concept' ELSE 'paper' END AS kind, vec_id::VARCHAR AS id, round(embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def embedding_store(spark, sf):
+    """Append twice to a store of two models, read one model's unit vectors back."""
+    node = F.concat(F.when(F.col("vec_id") % 2 == 0, "concept:").otherwise("paper:"), "vec_id")
+    rows = table(spark, sf, "embeddings").select(node.alias("node_id"), F.lit("m1").alias("model"), F.col("embedding").alias("vector"))
+    path = scratch(spark)
+    files.append_embeddings(rows.where("abs(hash(node_id)) % 2 = 0"), rows.limit(0), path)
+    have = spark.read.schema(schemas.EMBEDDINGS).parquet(path)
+    files.append_embeddings(rows.unionByName(rows.withColumn("model", F.lit("m2"))), have, path)
+    back = files.embedding_store(spark.read.schema(schemas.EMBEDDINGS).parquet(path), "m1")
+    return back.select("kind", "id", F.round(F.col("vector")[0], 6).alias("first"))
 
 
 EMB = "SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'concept' ELSE 'paper' END AS kind, embedding::DOUBLE[] AS v FROM embeddings"
@@ -399,13 +433,15 @@ def definition_overlay(x):
     return dml.overlay_definitions(x.nodes, top).select("rk", "definition", "def_status")
 
 
-@g("upsert_concept", """, n AS (SELECT rk, 'new ' || canonical AS name, status, 'new' AS definition, 'ok' AS def_status FROM node WHERE length(rk) % 2 = 0 UNION ALL SELECT 'zz ' || rk, canonical, status, definition, def_status FROM node WHERE length(rk) % 7 = 0)
-SELECT coalesce(n.rk, o.rk) AS rk, CASE WHEN n.rk IS NULL THEN o.canonical ELSE n.name END AS name, CASE WHEN n.rk IS NOT NULL AND coalesce(o.definition, '') = '' THEN n.definition ELSE o.definition END AS definition FROM node o FULL JOIN n ON n.rk = o.rk""")
+@g("upsert_concept", """, n AS (SELECT rk, 'new ' || canonical AS name, status, 'new' AS definition, 'ok' AS def_status, CASE WHEN length(rk) % 4 = 0 THEN '1,2' END AS embedding FROM node WHERE length(rk) % 2 = 0 UNION ALL SELECT 'zz ' || rk, canonical, status, definition, def_status, NULL FROM node WHERE length(rk) % 7 = 0)
+SELECT coalesce(n.rk, o.rk) AS rk, CASE WHEN n.rk IS NULL THEN o.canonical ELSE n.name END AS name, CASE WHEN n.rk IS NOT NULL AND coalesce(o.definition, '') = '' THEN n.definition ELSE o.definition END AS definition,
+coalesce(n.embedding, CASE WHEN o.rk IS NOT NULL THEN '0,0' END) AS embedding FROM node o FULL JOIN n ON n.rk = o.rk""")
 def upsert_concept(x):
-    old = x.nodes.withColumnRenamed("canonical", "name")
-    new = old.where(F.length("rk") % 2 == 0).withColumns({"name": F.concat(F.lit("new "), "name"), "definition": F.lit("new"), "def_status": F.lit("ok")})
-    more = old.where(F.length("rk") % 7 == 0).withColumn("rk", F.concat(F.lit("zz "), "rk"))
-    return dml.upsert_concepts(old, new.unionByName(more)).select("rk", "name", "definition")
+    vector = lambda a, b: F.array(F.lit(a), F.lit(b))
+    old = x.nodes.withColumnRenamed("canonical", "name").withColumn("embedding", vector(0, 0))
+    new = old.where(F.length("rk") % 2 == 0).withColumns({"name": F.concat(F.lit("new "), "name"), "definition": F.lit("new"), "def_status": F.lit("ok"), "embedding": F.when(F.length("rk") % 4 == 0, vector(1, 2))})
+    more = old.where(F.length("rk") % 7 == 0).withColumns({"rk": F.concat(F.lit("zz "), "rk"), "embedding": F.lit(None).cast("array<int>")})
+    return dml.upsert_concepts(old, new.unionByName(more)).select("rk", "name", "definition", F.array_join(F.col("embedding").cast("array<string>"), ",").alias("embedding"))
 
 
 @g("upsert_paper", """, n AS (SELECT paper_id, 'new ' || title AS title, domain FROM paper WHERE paper_id % 4 = 0 UNION ALL SELECT -paper_id - 1, title, domain FROM paper WHERE paper_id % 9 = 0)
@@ -427,13 +463,20 @@ def evidence_index(x):
     return review.evidence(x.resolved)
 
 
-@g("evidence_card", """, d AS (SELECT rk, paper_id, row_number() OVER (PARTITION BY rk ORDER BY t) AS rn FROM res WHERE phase = 0),
-c AS (SELECT rk, paper_id, row_number() OVER (PARTITION BY rk ORDER BY t) AS rn FROM (SELECT rk, paper_id, min(t) AS t FROM res WHERE phase = 1 GROUP BY ALL))
-SELECT rk, a.s AS defined_in, b.s AS cited_in FROM (SELECT rk, string_agg(paper_id::VARCHAR, ',' ORDER BY rn) AS s FROM d WHERE rn <= 3 GROUP BY rk) a
-FULL JOIN (SELECT rk, string_agg(paper_id::VARCHAR, ',' ORDER BY rn) AS s FROM c WHERE rn <= 6 GROUP BY rk) b USING (rk)""")
+@g("evidence_rows", "SELECT rk, 'defined' AS kind, paper_id, definition FROM res WHERE phase = 0 UNION ALL SELECT DISTINCT rk, 'cited', paper_id, NULL FROM res WHERE phase = 1")
+def evidence_rows(x):
+    return review.evidence_rows(x.resolved).drop("t")
+
+
+@g("evidence_card", """, ti AS (SELECT paper_id, coalesce(title, paper_id::VARCHAR) AS title FROM rawpaper),
+d AS (SELECT rk, paper_id, definition, row_number() OVER (PARTITION BY rk ORDER BY t) AS rn FROM res WHERE phase = 0),
+c AS (SELECT rk, paper_id, row_number() OVER (PARTITION BY rk ORDER BY t) AS rn FROM (SELECT rk, paper_id, min(t) AS t FROM res WHERE phase = 1 GROUP BY ALL)),
+a AS (SELECT rk, string_agg(title || '|' || definition, ';' ORDER BY rn) AS s FROM d JOIN ti USING (paper_id) WHERE rn <= 3 GROUP BY rk), b AS (SELECT rk, string_agg(title, ';' ORDER BY rn) AS s FROM c JOIN ti USING (paper_id) WHERE rn <= 6 GROUP BY rk)
+SELECT rk, coalesce(nullif(reps.definition, ''), (SELECT definition FROM d WHERE d.rk = reps.rk AND rn = 1), '') AS definition, coalesce(a.s, '') AS defined_in, coalesce(b.s, '') AS cited_in FROM reps LEFT JOIN a USING (rk) LEFT JOIN b USING (rk)""")
 def evidence_card(x):
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return review.evidence_cards(x.resolved).select("rk", joined("defined_in"), joined("cited_in"))
+    cards = review.evidence_cards(x.resolved, x.raw_papers, x.reps)
+    defined = F.array_join(F.transform("defined_in", lambda p: F.concat(p["title"], F.lit("|"), p["definition"])), ";")
+    return cards.select("rk", "definition", defined.alias("defined_in"), F.array_join(F.transform("cited_in", lambda p: p["title"]), ";").alias("cited_in"))
 
 
 @g("card_evidence", "SELECT rk, coalesce(nullif(definition, ''), '(none)') AS shown, NOT EXISTS (SELECT 1 FROM res WHERE res.rk = n.rk AND phase = 0) AS no_evidence FROM node n")

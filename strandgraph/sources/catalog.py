@@ -35,6 +35,14 @@ class Catalog:
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{version}")
         return version
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows to the last version (a log that is only ever added to)."""
+        found = self.versions(table)
+        if found:
+            rows.write.mode("append").parquet(f"{self.root}/{table}/v{found[-1]}")
+        else:
+            self.write(table, rows)
+
     def restore(self, table: str, version: int) -> None:
         """Drop the versions after the given one."""
         for later in self.versions(table):

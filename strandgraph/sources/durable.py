@@ -28,6 +28,11 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandgraph-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
@@ -35,7 +40,7 @@ def stored(rows: DataFrame) -> DataFrame:
     used many times is computed once.
     """
     spark = rows.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -48,7 +53,7 @@ class Parts:
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Write rows as a new part and read that part back."""
-        path = f"{_own(self.spark)}/{uuid.uuid4().hex}"
+        path = scratch(self.spark)
         rows.write.parquet(path)
         self.paths.append(path)
         self.schema = rows.schema

@@ -30,6 +30,32 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schemas.PARSED).json(f"{folder}/*.parsed.json", multiLine=True)
 
 
+def extraction_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Extractions as JSON lines with their paper_id: one file for many papers. Lines that aren't JSON
+    have their text in _corrupt_record."""
+    return spark.read.schema(f"paper_id string, {schemas.EXTRACTION}, _corrupt_record string").json(folder)
+
+
+def relation_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"paper_id string, {schemas.RELATIONS}, _corrupt_record string").json(folder)
+
+
+def parsed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(schemas.PARSED).json(folder)
+
+
+def feed(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of stored Atom feeds: (id, title, summary, published, file)."""
+    rows = spark.read.option("rowTag", "entry").schema("id string, title string, summary string, published string").xml(path)
+    return rows.withColumn("file", F.col("_metadata.file_name"))
+
+
+def pdf_files(spark: SparkSession, folder: str, least: int = 10_000) -> DataFrame:
+    """(paper_id, path, length) of stored PDF files that are long enough to be papers."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    return rows.where(F.col("length") >= least).select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("paper_id"), "path", "length")
+
+
 def with_relations(concepts: DataFrame, builds: DataFrame) -> DataFrame:
     """Extractions with their references; papers without a relations file have none."""
     both = concepts.join(builds.select("paper_id", "builds_on"), "paper_id", "left")
@@ -95,8 +121,20 @@ def markdown_table(lines: DataFrame) -> DataFrame:
     return rows.where(~F.forall("cells", lambda x: x.rlike(r"^:?-+:?$")))
 
 
+def table_links(rows: DataFrame) -> DataFrame:
+    """(file, line_no, cell, title, url) of the links in table cells."""
+    link = r"\[([^\]]+)\]\(([^)]+)\)"
+    cells = rows.select("file", "line_no", F.posexplode("cells").alias("cell", "value")).where(F.col("value").rlike(link))
+    return cells.select("file", "line_no", "cell", F.regexp_extract("value", link, 1).alias("title"), F.regexp_extract("value", link, 2).alias("url"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, quotes and line ends in values as write_csv makes it; empty is null."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+    rows.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_triples(triples: DataFrame, path: str) -> None:

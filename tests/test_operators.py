@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.engine import Engine, Session
-from strandgraph.functions import annotators, sections, vectors
+from strandgraph.functions import annotators, prompts, sections, vectors
 from strandgraph.functions import text as T
-from strandgraph.operators import candidates, dml, explore, score, workflow
+from strandgraph.operators import candidates, dml, explore, review, score, workflow
 from strandgraph.sources import files
 from strandgraph.sources.catalog import Catalog
 from strandgraph.streaming import ingest
@@ -29,11 +29,21 @@ def test_text_functions(spark):
     assert one(spark, T.slug(lit("a b(c)"))) == "a_b_c"
 
 
-def test_section_cut():
+def test_section_cut(spark):
     intro = "Abstract\n" + "Words here. " * 300 + "\n"
-    assert sections.cut_one(intro + "2 Related Work\nrest") == (intro, "section")
-    assert sections.cut_one(intro + "2. Our Things\nx\n3. Other\n")[1] == "head6000"  # a numbered list
-    assert sections.cut_one(None) == ("", "head6000")
+    later = "12\n2\nMethods\nrest"  # after a page number
+    cases = {
+        intro + "2 Related Work\nrest": (intro, "section"),
+        "x" * 100 + "\n" + intro + "2. Our Things\nx": (intro, "section"),
+        intro + later: (intro, "section"),
+        intro + "and so\n2. Our Things\nx\n2 Background\n": (intro + "and so\n2. Our Things\nx\n", "section"),  # in mid-sentence
+    }
+    fallback = [intro + "2. Our Things\nx\n3. Other\n", "2 Related Work\n" + "a. " * 900, intro + "2 things in lower case\n", intro + "2Wiki\n", "", None]
+    rows = spark.createDataFrame([(t,) for t in [*cases, *fallback]], "text string").select(sections.section_cut(F.col("text")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in rows[: len(cases)]] == list(cases.values())
+    assert all(r.cut_method == "head6000" for r in rows[len(cases) :]) and rows[-1].text == ""
+    no_abstract = "x" * 5100 + " abstract " + "y " * 1000
+    assert one(spark, sections.section_cut(F.lit(no_abstract)))["text"] == one(spark, T.boundary_cut(F.lit(no_abstract)))
 
 
 def test_vectors(spark):
@@ -138,9 +148,6 @@ def test_engine(spark, tmp_path):
     assert [r.rk for r in catalog.read("nodes").collect()] == ["a"]
     with pytest.raises(LookupError):
         engine.patch_concept("zz", status="approved")
-    session = Session(engine, "t")
-    session.start("topic")
-    assert session.resume("proceed") == "expand" and session.state()["stage"] == "expand"
     catalog.restore("lexicon", 1)
     assert catalog.versions("lexicon") == [1]
 
@@ -163,6 +170,90 @@ def test_annotators_isolate_failures(spark):
             raise ValueError("no")
         return [{"n": len(t)} for t in texts]
 
-    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "x")], "id int, text string")
-    got = {r.id: (r.ok, r.n) for r in annotators.annotate(rows, call, "n int", "v1").collect()}
-    assert got == {1: (True, 3), 2: (False, None), 3: (True, 1)}
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "x"), (4, None)], "id int, text string")
+    told = annotators.annotate(rows, call, "n int", "v1")
+    got = {r.id: (r.ok, r.n, r.error) for r in told.collect()}
+    assert got == {1: (True, 3, None), 2: (False, None, "no"), 3: (True, 1, None), 4: (False, None, "no text")}
+    assert {r.id for r in annotators.missing(rows, told, "v1").collect()} == {2, 4}
+    assert annotators.usage_log(told, "s").count() == 3
+
+
+def test_prompts_have_stand_ins_that_fit_their_schemas(spark):
+    rows = spark.createDataFrame([(1, "We introduce Graph Net here.\nIt builds on Deep Walk."), (2, None)], "id int, text string")
+    told = {p.name: annotators.ask(rows, p, *cols).orderBy("id").collect() for p, cols in (
+        (prompts.EXTRACT, [F.col("text")]), (prompts.RELATE, [F.col("text")]), (prompts.INTENT, [F.lit("find 5 papers about graph memory since 2021")]),
+        (prompts.EXPAND, [F.lit("graph memory for agents"), F.array(F.lit("x"))]), (prompts.GATE, [F.lit("A survey"), F.col("text")]), (prompts.SUGGEST, [F.lit("X"), F.lit(""), F.array(F.lit("p1")), F.lit(None).cast("string")]))}
+    assert told["extract"][0].defines[0].name == "Graph Net" and told["relate"][0].builds_on == ["Deep Walk"] and not told["extract"][1].ok
+    intent = told["parse_intent"][0]
+    assert (intent.topic, intent.period_from, intent["count"]) == ("graph memory", "2021-01", 5)
+    assert told["expand"][0].queries[0] == "graph memory for" and told["gate"][0].type == "survey" and told["suggest"][0].action == "approve"
+
+
+def test_session_does_its_work_and_resumes(spark, tmp_path):
+    catalog = _catalog(spark, tmp_path)
+    catalog.write("mentions", spark.createDataFrame([("p", 0, 0, "A", "d")], "paper_id string, phase int, idx int, name string, definition string"))
+    catalog.write("papers", spark.createDataFrame([("p", None, None, None, None)], "paper_id string, title string, problem string, domain string, paper_type string"))
+    entries = [(0, i, "graph memory", f"x/240{i}.0000{i}v1", f"Paper {i}" if i % 2 else "A survey", f"We propose New{i} Net. It builds on A.", "2024-01-02") for i in range(6)]
+    catalog.write("feed", spark.createDataFrame([*entries, (1, 0, "graph memory", "x/p", "old", "s", "2024-01-02")], "query_ord int, entry_ord int, query string, id string, title string, summary string, published string"))
+    engine = Engine(spark, catalog)
+    assert Session(engine, "t").start("find 2 papers about graph memory since 2020")["count"] == 2
+    assert Session(engine, "t").resume("proceed") == "approve" and "graph memory" in json.loads(Session(engine, "t").state()["state"])["queries"]
+    assert Session(engine, "t").resume("proceed") == "extract_confirm"
+    state = json.loads(Session(engine, "t").state()["state"])
+    assert state["to_extract"] == ["2401.00001", "2403.00003"] and (state["passed"], state["failed"]) == (3, 3)
+    assert Session(engine, "t").resume("proceed") == "report" and json.loads(Session(engine, "t").state()["state"])["extracted"] == 2
+    assert {r.paper_id for r in catalog.read("papers").collect()} == {"p", "2401.00001", "2403.00003"}
+    assert {(r.name, r.phase) for r in catalog.read("mentions").where("paper_id <> 'p'").collect()} == {("New1 Net", 0), ("New3 Net", 0), ("A", 1)}
+    assert catalog.read("ledger").count() == 6 and engine.rebuild()["nodes"] == 2  # A is first met as a reference
+    with pytest.raises(LookupError):
+        Session(engine, "zz").resume("proceed")
+
+
+def test_commands_with_dates_and_meaning(spark, tmp_path):
+    catalog = _catalog(spark, tmp_path)
+    catalog.write("mentions", spark.createDataFrame([("2401.1", 0, 0, "A", "graph memory of agents"), ("2101.1", 0, 0, "Old", "walks")], "paper_id string, phase int, idx int, name string, definition string"))
+    catalog.write("papers", spark.createDataFrame([("2401.1", "t", "p", None, "technique"), ("2101.1", "t", "p", None, "technique")], "paper_id string, title string, problem string, domain string, paper_type string"))
+    engine = Engine(spark, catalog)
+    engine.rebuild()
+    command, rows = engine.command("technique after 2023")
+    assert command.args == {"ptype": "technique", "date_after": "2023-01"} and [r.rk for r in rows.collect()] == ["a"]
+    vectors_ = annotators.hashed_embedding(["graph memory of agents", "walks", "gone"])
+    catalog.write("embeddings", spark.createDataFrame([(n, "m", v["vector"]) for n, v in zip(("concept:a", "concept:old", "concept:gone"), vectors_)], "node_id string, model string, vector array<float>"))
+    command, rows = engine.command("memory of graph agents", annotators.hashed_embedding, "m")
+    assert command.tool == "semantic_search" and [(r.kind, r.node_id, r.score) for r in rows.collect()] == [("concept", "a", 1.0)]
+    assert explore.route("ancestors of nothing", []).tool == "none"
+    lexicon = catalog.read("lexicon")
+    catalog.write("lexicon", lexicon.unionByName(lexicon.selectExpr("1L as ord", "'Old' as label", "array('o') as aliases", "'pending' as status", "'' as definition", "source", "first_seen")))
+    assert engine.regenerate_cards(catalog.read("papers")) == 1 and catalog.read("cards").first().action == "approve"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandgraph.__main__ import main
+
+    catalog = _catalog(spark, tmp_path)
+    catalog.write("mentions", spark.createDataFrame([("p", 0, 0, "A", "d")], "paper_id string, phase int, idx int, name string, definition string"))
+    catalog.write("papers", spark.createDataFrame([("p", None, None, None, None)], "paper_id string, title string, problem string, domain string, paper_type string"))
+    main([str(tmp_path / "tables"), "--rebuild", "--audit", "--command", "reset"], spark)
+    assert "'nodes': 1" in capsys.readouterr().out
+    (tmp_path / "plan.csv").write_text("label,new_status\nzz,approved\n")
+    with pytest.raises(SystemExit):
+        main([str(tmp_path / "tables"), "--apply", str(tmp_path / "plan.csv")], spark)
+
+
+def test_feeds_and_pdf_files(spark, tmp_path):
+    (tmp_path / "f.xml").write_text("<feed><entry><id>http://x/2401.1v1</id><title>T</title><summary>S</summary><published>2024-01-02</published></entry><entry><id>b</id></entry></feed>")
+    assert {(r.id, r.title) for r in files.feed(spark, str(tmp_path / "f.xml")).collect()} == {("http://x/2401.1v1", "T"), ("b", None)}
+    (tmp_path / "a.pdf").write_bytes(b"x" * 10_000)
+    (tmp_path / "b.pdf").write_bytes(b"x" * 9_999)
+    assert [r.paper_id for r in files.pdf_files(spark, str(tmp_path)).collect()] == ["a"]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.json").write_text('{"paper_id": "p", "title": "T", "defines": []}\n{broken\n')
+    assert {(r.paper_id, r._corrupt_record) for r in files.extraction_lines(spark, str(lines)).collect()} == {("p", None), (None, "{broken")}
+
+
+def test_similar_names_need_no_common_word(spark):
+    a = spark.createDataFrame([("the graph net",), ("ab",), ("the",), ("x y z w",)], "label string")
+    b = spark.createDataFrame([(1, "graph net"), (2, "Alpha Beta"), (3, "the thing"), (4, "x y z v"), (5, "the")], "ord int, label string")
+    got = {r.label: (r.similar, r.score) for r in review.find_similar(a, b).collect()}
+    assert got == {"the graph net": ("graph net", 0.8), "ab": ("Alpha Beta", 0.95), "the": ("the thing", 0.8), "x y z w": ("x y z v", 0.6)}
