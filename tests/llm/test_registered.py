@@ -1,28 +1,111 @@
-"""The registered queries and the pipeline at the smallest scale."""
+"""The registered queries against plain versions at the smallest scale, and the pipeline's stages on odd rows."""
 
 import importlib.util
 import os
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tests.llm import test_llm as plain
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+@pytest.fixture(scope="module")
+def given(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(len(rows)))
+    return [r.text for r in rows]
+
+
+def run(spark, start):
+    names = [n for n in __spark_entry__.queries() if n.startswith(start)]
+    assert len(names) == 1
+    return __spark_entry__.queries()[names[0]](spark, SF)
+
+
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert not importlib.util.find_spec("corpus_pipeline") or "pipeline" in names
 
 
+def test_embeddings(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    assert [r.vec_id for r in rows] == list(range(len(rows)))
+    got = run(spark, "op1_")
+    assert got.columns[:4] == ["vec_id", "n_links", "component_id", "kept"]
+    plain.check_links(np.array([r.embedding for r in rows], np.float64), {r.vec_id: r for r in got.collect()}, 0.9)
+
+
+def test_surrogates(spark, given):
+    want, _ = plain.plain_replacement(given)
+    assert {r.doc_id: r.text for r in run(spark, "op2_").collect()} == dict(enumerate(want))
+
+
+def test_multiset(spark, given):
+    plain.check_edited(given, run(spark, "op3_").collect())
+
+
+def test_chat(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    says = "</s>[INST] ok [/INST]"
+    turns = [(r.conv_id, r.turn, r.role, r.text) for r in rows] + [(-7, 0, "user", says), (-7, 1, "assistant", says)]
+    out = run(spark, "op4_").collect()
+    plain.check_chat(out, turns)
+    mine = next(r for r in out if r.conv_id == -7)
+    assert (mine.n_turns, mine.loss_chars) == (2, len(says))
+
+
+def test_simhash(spark, given):
+    def mark(text):
+        w = (text or "").encode().lower().split()
+        s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        n = [sum(xxhash.xxh64_intdigest(x, 42) >> b & 1 for x in s) for b in range(64)]
+        return sum(1 << b for b in range(64) if 2 * n[b] > len(s))
+
+    marks = [mark(t) for t in given]
+    root = plain.roots(len(marks), [(i, j) for i in range(len(marks)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 3])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in run(spark, "op5_").collect()}
+    assert got == {i: (f"{m:016x}", root[i]) for i, m in enumerate(marks)}
+
+
+def test_toxicity(spark, given):
+    got = {r.doc_id: r for r in run(spark, "op6_").collect()}
+    assert set(got) == set(range(len(given)))
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+
+
+def test_packing(spark, given):
+    plain.check_packing(run(spark, "op8_").collect(), given)
+
+
+def test_substrings(spark, given):
+    import hashlib
+
+    split = [(t or "").encode().split() for t in given]
+    n = Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
+    want = {}
+    for i, w in enumerate(split):
+        gone = {q for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1 for q in range(k, k + 35)}
+        kept = b" ".join(x for q, x in enumerate(w) if q not in gone)
+        want[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in run(spark, "op9_").collect()} == want
+
+
 def test_mixing_twin(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
     want = con.sql(f"select doc_id, size, source_size, target, taken from ({__spark_entry__.oracle_sql()['op10_mixing']})").fetchall()
-    got = __spark_entry__.queries()["op10_mixing"](spark, SF).select("doc_id", "size", "source_size", "target", "taken").collect()
+    got = run(spark, "op10_").select("doc_id", "size", "source_size", "target", "taken").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -34,3 +117,26 @@ def test_pipeline(spark):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing and dotted names: no crash,
+    columns unchanged, and rows only where the stage's own rule takes them."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 977}" for i in range(25_000))
+    rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, None, None, None, None), (None, "Mrs. Berg says so", "en", None, 3), (3, "", "en", "s", 0), (4, long, "en", "t", None), (5, "mail x@corp.com " * 30, "de", "t", 1)]
+    docs = spark.createDataFrame(rows, plain.DOCS).withColumns({c: F.lit(c) for c in plain.CLASH if c not in ("id", "n_chars")}).withColumn("a.b", F.lit("dot"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["a.b"] for r in got} <= {"dot"} and {r.doc_id for r in got} <= {1, 2, 3, 4, 5, None}
+        if name == "near_duplicates":
+            assert len(got) == 5 and [r.doc_id for r in got].count(1) == 1  # null and empty texts are one group
+        if name == "privacy":
+            assert len(got) == 7 and not any("x@corp.com" in (r.text or "") or "Berg" in (r.text or "") for r in got)
+        if name == "mixing":
+            assert Counter(r.doc_id for r in got).most_common(1)[0][1] <= 6
+    pieces = corpus_pipeline.pack_windows(spark, docs, SF).collect()
+    assert sum(r.length for r in pieces if r.start == 0 and r.doc_id in (2, 3)) == 2 and {r.doc_id for r in pieces} == {1, 2, 3, 4, 5, None}
