@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandgraph.operators.normalize import Graph
 from strandgraph.sources.catalog import Catalog
+from strandgraph.sources.durable import stored
 from strandgraph.sources.files import mentions
 from strandgraph.sources.schemas import EXTRACTION
 
@@ -15,19 +16,27 @@ from strandgraph.sources.schemas import EXTRACTION
 def extraction_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New files {id}.json that hold an extraction and its references."""
     rows = spark.readStream.schema(EXTRACTION + ", builds_on array<string>").json(folder, multiLine=True)
-    return rows.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    arrived = F.col("_metadata.file_modification_time")
+    return rows.withColumns({"paper_id": F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1), "arrived": arrived})
 
 
 def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:
     """Add each batch's mentions to the stored ones and write the graph's new versions.
 
     A replayed batch changes nothing: mentions are keyed by paper and position, and a paper's later
-    extraction replaces its earlier one. The result equals a build over all papers in id order.
+    extraction (by arrival) replaces its earlier one. A batch is read once. The result equals a build
+    over all papers in id order: a new paper can change what later names mean, so the normalization
+    runs over all mentions, and only its inputs are merged by the affected papers.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = mentions(batch).select("paper_id", "phase", "idx", "name", "definition").dropDuplicates(["paper_id", "phase", "idx"])
-        papers = batch.select("paper_id", "title", "problem", "domain", "paper_type").dropDuplicates(["paper_id"])
+        if batch.isEmpty():
+            return
+        rest = [c for c in batch.columns if c not in ("paper_id", "arrived")]
+        last = batch.groupBy("paper_id").agg(F.max_by(F.struct(*rest), F.struct("arrived", F.xxhash64(F.to_json(F.struct(*rest))))).alias("x"))
+        batch = stored(last.select("paper_id", "x.*"))
+        new = mentions(batch).select("paper_id", "phase", "idx", "name", "definition")
+        papers = batch.select("paper_id", "title", "problem", "domain", "paper_type")
         if catalog.versions("mentions"):
             ids = papers.select("paper_id")
             new = catalog.read("mentions").join(ids, "paper_id", "left_anti").unionByName(new)
