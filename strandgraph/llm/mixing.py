@@ -17,7 +17,7 @@ from strandgraph.llm.common import WORD, column, cut, fresh, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 10
 #: Plans of at most this many sources are broadcast (one row of some 60 bytes a source).
 BROADCAST_SOURCES = 100_000
 
