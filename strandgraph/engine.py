@@ -142,7 +142,7 @@ class Engine:
     def months(self, graph: Graph) -> DataFrame:
         """(rk, month): the first month of the papers that a concept occurs in; papers may lack months."""
         papers = graph.papers if "month" in graph.papers.columns else graph.papers.withColumn("month", id_month(F.col("paper_id").cast("string")))
-        return graph.relations.join(papers.select("paper_id", "month"), "paper_id").groupBy("rk").agg(F.min("month").alias("month"))
+        return views.node_months(graph.relations, papers)
 
     def search(self, text: str, embed: Callable[[list[str]], list[dict]], model: str, k: int = 8) -> DataFrame:
         """(kind, node_id, score) of the concepts and the papers nearest in meaning, k of each, live ones only.

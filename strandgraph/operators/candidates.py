@@ -95,11 +95,16 @@ def in_corpus(merged: DataFrame, corpus: DataFrame) -> DataFrame:
     return merged.join(have, "paper_id", "left").withColumn("in_corpus", F.when(F.col("has") & (F.col("paper_id") != ""), "yes").otherwise("no")).drop("has")
 
 
+def stats(merged: DataFrame) -> DataFrame:
+    """(tag, n, n_with_id): candidates by their first tag, and how many have an id."""
+    return merged.groupBy(F.element_at(F.split("tag", ";"), 1).alias("tag")).agg(F.count("*").alias("n"), F.count_if(F.col("paper_id") != "").alias("n_with_id"))
+
+
 def pool(merged: DataFrame, core: tuple[str, ...]) -> DataFrame:
     """Candidates outside the corpus with an id and a core tag."""
     return merged.where((F.col("in_corpus") == "no") & (F.col("paper_id") != "") & F.arrays_overlap(F.split("tag", ";"), F.array(*map(F.lit, core))))
 
 
 def sample(rows: DataFrame, key: str, n: int = 90, seed: int = 42) -> DataFrame:
-    """A reproducible sample: the n rows with the least hash."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """A reproducible sample: the n rows with the least MD5 of seed and key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

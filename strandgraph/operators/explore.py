@@ -40,6 +40,12 @@ def name_search(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("canonical"), F.lit(q))) if q else nodes.limit(0)
 
 
+def related_terms(nodes: DataFrame, papers: DataFrame, n: int = 10) -> DataFrame:
+    """(term): the first n names of concepts (canonical), then titles of papers, as material for queries."""
+    both = nodes.select(F.col("canonical").alias("term"), F.lit(0).alias("o")).unionByName(papers.select(F.col("title").alias("term"), F.lit(1).alias("o")))
+    return both.where("term <> ''").orderBy("o", "term").limit(n).select("term")
+
+
 def filter_lexicon(items: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
     """Lexicon items (label, status) of a status (None or 'all': any) whose name contains a text."""
     out = items if status in (None, "all") else items.where(F.col("status") == status)

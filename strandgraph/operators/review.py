@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.functions.text import canon
+from strandgraph.functions.text import canon, defaulted
 from strandgraph.sources.durable import stored
 
 #: Order of confidences in the queue; unknown ones come after, concepts without a card last.
@@ -46,6 +46,12 @@ def evidence_cards(resolved: DataFrame, titles: DataFrame, concepts: DataFrame,
     return both.select("rk", F.coalesce(F.nullif("own", F.lit("")), told, F.lit("")).alias("definition"), none("defined_in").alias("defined_in"), none("cited_in").alias("cited_in"))
 
 
+def card_evidence(nodes: DataFrame, resolved: DataFrame, none: str = "(none)") -> DataFrame:
+    """(rk, shown, no_evidence): what a card shows as definition, and whether no paper defines the concept."""
+    defs = resolved.where("phase = 0").select("rk", F.lit(True).alias("has")).distinct()
+    return nodes.join(defs, "rk", "left").select("rk", defaulted(F.col("definition"), none).alias("shown"), F.col("has").isNull().alias("no_evidence"))
+
+
 def tokens(label: Column) -> Column:
     return F.array_distinct(F.split(canon(label), " "))
 

@@ -94,6 +94,36 @@ def triples(graph: Graph) -> DataFrame:
     return typed.unionByName(named).unionByName(built)
 
 
+def node_months(relations: DataFrame, papers: DataFrame) -> DataFrame:
+    """(rk, month): the first month of the papers (paper_id, month) that a concept occurs in."""
+    return relations.join(papers.select("paper_id", "month"), "paper_id").groupBy("rk").agg(F.min("month").alias("month"))
+
+
+def node_paper(view: DataFrame) -> DataFrame:
+    """(rk, paper_id): the paper that a concept's details are shown from, its first by id; null without one."""
+    return view.select("rk", F.get("papers", F.lit(0)).alias("paper_id"))
+
+
+def type_counts(papers: DataFrame) -> DataFrame:
+    """(paper_type, n, n_without_home): papers by type, and how many of them define nothing."""
+    return papers.groupBy("paper_type").agg(F.count("*").alias("n"), F.count_if(F.col("home_concept").isNull()).alias("n_without_home"))
+
+
+def without_home(papers: DataFrame) -> DataFrame:
+    """(paper_id, paper_type) of the papers that define nothing."""
+    return papers.where("home_concept is null").select("paper_id", "paper_type")
+
+
+def status_counts(rows: DataFrame) -> DataFrame:
+    """(status, n) of lexicon entries or concepts."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def with_embeddings(nodes: DataFrame, store: DataFrame) -> DataFrame:
+    """nodes (node_id, ...) with their stored vector (node_id, vector); null without one."""
+    return nodes.join(store.select("node_id", "vector"), "node_id", "left")
+
+
 def sorted_names(nodes: DataFrame) -> DataFrame:
     """(canonical, rk, pos): names in order, numbered from 1.
 

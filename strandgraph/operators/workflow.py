@@ -77,6 +77,11 @@ def too_few_queries(asked: DataFrame, kept: DataFrame, least: int = 3) -> DataFr
     return asked.select("session").distinct().join(n, "session", "left").select("session", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
 
 
+def worksheet(papers: DataFrame, head: list, body: list) -> DataFrame:
+    """papers with sheet: a Markdown block for labelling by hand, a heading of columns and a line of others."""
+    return papers.withColumn("sheet", F.concat(F.lit("## "), F.concat_ws(" ", *head), F.lit("\n"), F.concat_ws(" ", *body), F.lit("\n")))
+
+
 def gate_summary(judged: DataFrame) -> DataFrame:
     """(paper_id, part): what the gate let through and what not, for the approval of the extraction."""
     return judged.select("paper_id", F.when(F.coalesce("passed", F.lit(False)), "passed").otherwise("failed").alias("part"))

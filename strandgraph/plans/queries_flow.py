@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import annotators, prompts, sections
 from strandgraph.functions import text as T
-from strandgraph.operators import candidates, dml, explore, review, workflow
+from strandgraph.operators import candidates, dml, explore, review, views, workflow
 from strandgraph.plans import encoding as enc
 from strandgraph.plans.encoding import table
 from strandgraph.sources import files
@@ -190,7 +190,7 @@ def lexicon_list(spark, sf):
 
 @query("status_counts", f"WITH {LEX} SELECT status, count(*) AS n FROM lex GROUP BY 1")
 def status_counts(spark, sf):
-    return enc.lexicon(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+    return views.status_counts(enc.lexicon(spark, sf))
 
 
 def _plan(spark, sf) -> DataFrame:
@@ -401,7 +401,7 @@ def batch_plan(spark, sf):
 @query("worksheet", "SELECT doc_id, '## ' || doc_id || ' ' || lang || chr(10) || quality || chr(10) AS sheet FROM documents JOIN labels USING (doc_id)")
 def worksheet(spark, sf):
     both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return both.select("doc_id", F.format_string("## %d %s\n%d\n", "doc_id", "lang", "quality").alias("sheet"))
+    return workflow.worksheet(both, ["doc_id", "lang"], ["quality"]).select("doc_id", "sheet")
 
 
 @query("paper_detail", r"SELECT doc_id, md5(trim(substr(text, 1, 1800), chr(32) || chr(10))) AS digest FROM documents")
@@ -496,8 +496,7 @@ def candidate_pool(spark, sf):
 
 @query("candidate_stats", f"WITH {_MERGED} SELECT split_part(tag, ';', 1) AS tag, count(*) AS n, count(*) FILTER (WHERE paper_id <> '') AS n_with_id FROM merged GROUP BY 1")
 def candidate_stats(spark, sf):
-    m = _flagged(spark, sf)
-    return m.groupBy(F.element_at(F.split("tag", ";"), 1).alias("tag")).agg(F.count("*").alias("n"), F.count_if(F.col("paper_id") != "").alias("n_with_id"))
+    return candidates.stats(_flagged(spark, sf))
 
 
 @query("abbreviate", "SELECT event_id, CASE WHEN n >= 1000 THEN ((n + 50) // 1000) || '.' || ((n + 50) // 100 % 10) || 'k' ELSE n::VARCHAR END AS shown FROM (SELECT event_id, event_id * 7 AS n FROM events)")
@@ -505,7 +504,7 @@ def abbreviate(spark, sf):
     return table(spark, sf, "events").select("event_id", T.abbreviated(F.col("event_id") * 7).alias("shown"))
 
 
-@query("deterministic_sample")
+@query("deterministic_sample", "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 90")
 def deterministic_sample(spark, sf):
     return candidates.sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 90)
 

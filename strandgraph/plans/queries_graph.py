@@ -248,16 +248,16 @@ def load_counts(spark, sf):
 
 @query("load_embeddings", with_graph("SELECT n.rk, e.vec_id FROM (SELECT rk, try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT) AS num FROM node) n LEFT JOIN embeddings e ON e.vec_id = n.num"))
 def load_embeddings(spark, sf):
-    nodes = enc.graph(spark, sf).nodes.select("rk", F.expr(r"try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT)").alias("vec_id"))
-    have = table(spark, sf, "embeddings").select("vec_id", F.lit(True).alias("has"))
-    return nodes.join(have, "vec_id", "left").select("rk", F.when(F.col("has"), F.col("vec_id")).alias("vec_id"))
+    nodes = enc.graph(spark, sf).nodes.select("rk", F.expr(r"try_cast(regexp_extract(rk, '(\\d+)$', 1) AS BIGINT)").alias("node_id"))
+    store = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
+    return views.with_embeddings(nodes, store).select("rk", F.when(F.col("vector").isNotNull(), F.col("node_id")).alias("vec_id"))
 
 
 VIEW = ", v AS (SELECT c.*, (SELECT min(month) FROM rel JOIN paper USING (paper_id) WHERE rel.rk = c.rk) AS month, CASE WHEN length(c.rk) % 3 = 0 THEN true ELSE false END AS reviewed FROM cview c)"
 
 
 def _view(x) -> DataFrame:
-    month = x.relations.join(x.papers.select("paper_id", "month"), "paper_id").groupBy("rk").agg(F.min("month").alias("month"))
+    month = views.node_months(x.relations, x.papers)
     reviewed = x.nodes.where(F.length("rk") % 3 == 0).select("rk")
     return explore.with_reviewed(views.concept_view(x).join(month, "rk", "left"), reviewed)
 
@@ -395,8 +395,7 @@ def semantic_split(spark, sf):
 
 @g("related_terms", "SELECT term FROM (SELECT canonical AS term, 0 AS o FROM node WHERE canonical <> '' UNION ALL SELECT title, 1 FROM paper WHERE title <> '') ORDER BY o, term LIMIT 10")
 def related_terms(x):
-    both = x.nodes.select(F.col("canonical").alias("term"), F.lit(0).alias("o")).unionByName(x.papers.select(F.col("title").alias("term"), F.lit(1).alias("o")))
-    return both.where("term <> ''").orderBy("o", "term").limit(10).select("term")
+    return explore.related_terms(x.nodes, x.papers)
 
 
 @query("hit_lines", f"WITH a AS (SELECT 1){COS} SELECT '- ' || vec_id || ' (' || kind || ')' AS line FROM c WHERE s >= 0.1")
@@ -406,7 +405,7 @@ def hit_lines(spark, sf):
 
 @g("node_paper", "SELECT rk, (SELECT min(paper_id) FROM rel WHERE rel.rk = n.rk) AS paper_id FROM node n")
 def node_paper(x):
-    return views.concept_view(x).select("rk", F.when(F.size("papers") > 0, F.element_at("papers", 1)).alias("paper_id"))
+    return views.node_paper(views.concept_view(x))
 
 
 @g("merge_concept", """, k AS (SELECT 'Def' AS d, min(rk) AS a, max(rk) AS b FROM node) SELECT DISTINCT paper_id, CASE WHEN rk = (SELECT a FROM k) THEN (SELECT b FROM k) ELSE rk END AS rk, type FROM rel""")
@@ -481,8 +480,7 @@ def evidence_card(x):
 
 @g("card_evidence", "SELECT rk, coalesce(nullif(definition, ''), '(none)') AS shown, NOT EXISTS (SELECT 1 FROM res WHERE res.rk = n.rk AND phase = 0) AS no_evidence FROM node n")
 def card_evidence(x):
-    defs = x.resolved.where("phase = 0").select("rk", F.lit(True).alias("has")).distinct()
-    return x.nodes.join(defs, "rk", "left").select("rk", T.defaulted(F.col("definition"), "(none)").alias("shown"), F.col("has").isNull().alias("no_evidence"))
+    return review.card_evidence(x.nodes, x.resolved)
 
 
 SCORED = """, gold AS (SELECT DISTINCT paper_id, rk FROM res WHERE l_returnflag IN ('R', 'A')), pr AS (SELECT DISTINCT res.paper_id, res.rk, c.status IN ('approved', 'unreviewed') AS ok FROM res JOIN conc c ON c.rk = res.rk WHERE phase = 1),
@@ -589,7 +587,12 @@ def audit_query(x):
 
 @g("ptype_dist", "SELECT paper_type, count(*) AS n, count(*) FILTER (WHERE home_concept IS NULL) AS n_without_home FROM paper GROUP BY 1")
 def ptype_dist(x):
-    return x.papers.groupBy("paper_type").agg(F.count("*").alias("n"), F.count_if(F.col("home_concept").isNull()).alias("n_without_home"))
+    return views.type_counts(x.papers)
+
+
+@g("papers_without_home", "SELECT paper_id, paper_type FROM paper WHERE home_concept IS NULL")
+def papers_without_home(x):
+    return views.without_home(x.papers)
 
 
 SLUG = r"regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_]+', '_', 'g'), '^_+|_+$', '', 'g')"
