@@ -6,9 +6,9 @@ from functools import wraps
 
 
 def _modules() -> list:
-    from strandgraph.llm import chat, embeddings, mixing, multiset, packing, privacy, quality, simhash, substrings, toxicity
+    from strandgraph.llm import chat, contamination, embeddings, filters, lexical, mixing, multiset, packing, privacy, quality, simhash, substrings, toxicity
 
-    return [embeddings, privacy, multiset, chat, simhash, substrings, toxicity, quality, packing, mixing]
+    return [embeddings, privacy, multiset, chat, simhash, substrings, toxicity, quality, packing, mixing, contamination, lexical, filters]
 
 
 def _as_application(query):
