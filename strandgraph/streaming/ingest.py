@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandgraph.operators.normalize import Graph
+from strandgraph.operators import incremental
 from strandgraph.sources.catalog import Catalog
 from strandgraph.sources.durable import stored
 from strandgraph.sources.files import mentions
@@ -21,12 +21,11 @@ def extraction_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:
-    """Add each batch's mentions to the stored ones and write the graph's new versions.
+    """Carry each batch's papers into the stored graph, in one state a batch.
 
     A replayed batch changes nothing: mentions are keyed by paper and position, and a paper's later
     extraction (by arrival) replaces its earlier one. A batch is read once. The result equals a build
-    over all papers in id order: a new paper can change what later names mean, so the normalization
-    runs over all mentions, and only its inputs are merged by the affected papers.
+    over all papers in id order; only what the batch changes is resolved anew (operators.incremental).
     """
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -35,17 +34,8 @@ def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQue
         rest = [c for c in batch.columns if c not in ("paper_id", "arrived")]
         last = batch.groupBy("paper_id").agg(F.max_by(F.struct(*rest), F.struct("arrived", F.xxhash64(F.to_json(F.struct(*rest))))).alias("x"))
         batch = stored(last.select("paper_id", "x.*"))
-        new = mentions(batch).select("paper_id", "phase", "idx", "name", "definition")
-        papers = batch.select("paper_id", "title", "problem", "domain", "paper_type")
-        if catalog.versions("mentions"):
-            ids = papers.select("paper_id")
-            new = catalog.read("mentions").join(ids, "paper_id", "left_anti").unionByName(new)
-            papers = catalog.read("papers").select(*papers.columns).join(ids, "paper_id", "left_anti").unionByName(papers)
-        catalog.write("mentions", new)
-        catalog.write("papers", papers)
-        graph = Graph(catalog.read("mentions"), catalog.read("papers"), catalog.read("lexicon"))
-        catalog.write("nodes", graph.nodes)
-        catalog.write("relations", graph.relations)
+        found = stored(mentions(batch).select(*incremental.RAW))
+        incremental.ingest_batch(catalog, found, batch.select("paper_id", "title", "problem", "domain", "paper_type"))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
