@@ -38,7 +38,7 @@ from strandgraph.llm.common import cut, table
 K = 10
 #: Terms of all items that are sent to the tasks as a set, at most; beyond, all terms are kept and joined.
 VOCABULARY, VOCABULARY_BYTES = 1_000_000, 64_000_000
-#: Rows of a term in one bucket of postings, about.
+#: Rows of a term in one bucket of postings, at most about; fewer where that is more than half a partition.
 BUCKET_ROWS = 1_000_000
 #: Postings of an item that give the first floor, about.
 SEEDS = 5_000
@@ -121,7 +121,9 @@ def postings(docs: DataFrame, wanted: DataFrame | None = None, id_col: str = "do
         found = found.join(wanted.select("term").distinct(), "term", "left_semi")
     weight = F.floor(F.lit(1000) * F.log((2.0 * total.n + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weights = cut(found.groupBy("term").agg(F.count("*").alias("df")).withColumn("w", weight).where("w > 0"))
-    n_terms = weights.count()
+    n_terms, n_rows = weights.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket_rows = max(1, min(bucket_rows, n_rows // (2 * parts)))
     m = F.lit(100 - 75) + F.expr(f"(75 * n * {total.n}L) div {max(total.l, 1)}L")
     gain = F.expr("(1000000000L * tf) div (1000L * tf + 8L * m)")
     dealt = found.withColumn("m", m).join(F.broadcast(weights) if n_terms <= BROADCAST_ROWS else weights, "term").withColumn("impact", F.col("w") * gain)
