@@ -49,7 +49,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic) for every row of docs."""
     text = F.coalesce("text", F.lit(""))
     seen = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.sha2(text.cast("binary"), 256).alias("digest"), text_mask(text).alias("mask")))
-    least = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    # stored, so that the join below has a shuffle on either side and a frequent digest's rows can be split
+    least = cut(seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"))
     marked = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).where("doc_id is not null")
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int") * (1 << 4)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
