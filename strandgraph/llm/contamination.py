@@ -95,7 +95,7 @@ def _scan(split: DataFrame, grams: DataFrame, lengths: list[int], header: bool)
     first = F.lit(-1 if header else 0)
     at = F.sequence(first, F.size("w") * k - 1) if header else F.when(F.size("w") > 0, F.sequence(first, F.size("w") * k - 1))
     each = split.select("doc_id", "digest", "w", F.explode(at).alias("i"))
-    length = F.lit(lengths[0]) if len(lengths) == 1 else F.element_at(F.array(*map(F.lit, lengths)), F.col("i") % k + 1)
+    length = F.lit(lengths[0]) if len(lengths) == 1 else F.get(F.array(*map(F.lit, lengths)), F.pmod("i", k))
     place = F.col("i") if len(lengths) == 1 else F.floor(F.col("i") / k).cast("int")
     each = each.select("doc_id", "digest", "w", "i", place.alias("at"), length.alias("len"))
     window = F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len"))  # a row a document has no window, but ANSI checks its start
@@ -131,9 +131,10 @@ def clean(docs: DataFrame, items: DataFrame, how: str = "spans", size: int = SIZ
     if how == "documents":
         return keyed.join(found, same, "left_anti").select(*map(column, docs.columns))
     pieces = F.regexp_extract_all(column("text"), F.lit(f"[^{APART}]+[{APART}]*"), F.lit(0))
-    rest = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), column(at))
+    # the pieces are bound to a name, so that they aren't cut again for each of them
+    kept = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), column(at)), lambda i: F.get(p, i)), "")
     lead = F.regexp_extract(column("text"), f"^[{APART}]*", 0)
-    text = F.when(column(at).isNull(), column("text")).otherwise(F.concat(lead, F.array_join(F.transform(rest, lambda i: F.get(pieces, i)), "")))
+    text = F.when(column(at).isNull(), column("text")).otherwise(F.concat(lead, F.get(F.transform(F.array(pieces), kept), F.lit(0))))
     return keyed.join(found, same, "left").select(*[text.alias(c) if c == "text" else column(c) for c in docs.columns])
 
 

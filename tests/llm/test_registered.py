@@ -32,7 +32,7 @@ def run(spark, start):
 
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert not importlib.util.find_spec("corpus_pipeline") or "pipeline" in names
 
 
