@@ -1,9 +1,11 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent.
 
-Detected entities are e-mail addresses, IP addresses, phone numbers, payment-card numbers, bank
-account numbers (IBAN), social security numbers, secrets and key fingerprints, and names of people
-after a title or a known given name (KNOWN_GIVEN, a parameter of the corpus's languages), or before a
-Chinese title. Each gets a surrogate of its own type from a keyed hash of its normal form: digits
+Detected entities are e-mail addresses (of any script), IP addresses (of either version, shortened
+or not), phone numbers, payment-card numbers, bank account numbers (IBAN), social security numbers,
+secrets and key fingerprints, bearer and web tokens, private keys in PEM form, and names of people
+after titles or a known given name (KNOWN_GIVEN, a parameter of the corpus's languages), also in
+capitals, or before a Chinese title. Not looked for: names without either, street addresses, dates of
+birth, user names, licence plates. Each gets a surrogate of its own type from a keyed hash of its normal form: digits
 become digits in the same layout (cards keep a valid check digit if they had one), hexadecimal stays
 hexadecimal in the same case, a key keeps its public prefix.
 
@@ -16,7 +18,9 @@ same entity has the same surrogate in every document.
 Surrogates must not collide: with each other, nor with an entity that occurs in the corpus. The
 first attempt is computed in place from key and entity. Distinct entities are then collected as a
 table (never on the driver), those whose surrogate is taken try again under the next attempt
-number, until none collides. Only entities that needed another attempt, or whose titles change their
+number, until none collides; where a form is nearly used up, later attempts widen it (a phone or
+social security number gets a digit more every 16 attempts, a name a syllable every 8, an IPv4 address
+becomes an IPv6 one after 24). Only entities that needed another attempt, or whose titles change their
 gender, form a table of overrides, which is broadcast while it is small (rows and bytes) and joined
 by document beyond that.
 """
@@ -25,7 +29,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,10 +43,10 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.common import column, cut, fresh, table
 
-KEY = b"surrogates of one release"
+#: The key of surrogates: whoever has it can compute them, so it is a secret of the release.
+KEY_CONF = "spark.strandgraph.surrogates.key"
 #: Overrides of at most this many entities and bytes of them are broadcast.
 BROADCAST_OVERRIDES, BROADCAST_BYTES = 50_000, 4_000_000
-MAX_ATTEMPTS = 64
 
 #: Given names and name parts by (script, gender): surrogates are drawn from these (fixed values).
 GIVEN = {
@@ -85,7 +91,7 @@ TITLES = {
 AFTER = {"女士": "f", "小姐": "f", "先生": "m", "博士": "", "教授": ""}
 #: Given names that show a name without a title, besides those of GIVEN: by gender (fixed values).
 KNOWN_GIVEN = {
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Emily Hannah Sophie Camille Élise Carmen Isabel Giulia Aisha Fatima Layla Priya Ananya Mei Yuki Akiko Olga Svetlana".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Emily Hannah Sophie Camille Élise Ruth Esther Judith Miriam Astrid Agnes Doris Iris Carol Helen Ellen Karin Birgit Fatoumata Aminata Amina Ngozi Carmen Isabel Giulia Aisha Fatima Layla Priya Ananya Mei Yuki Akiko Olga Svetlana".split(),
     "m": "John James Robert Michael William Richard Joseph Thomas Charles Daniel Peter Paul George Pierre Jean Carlos José Luis Giovanni Mohammed Ahmed Ali Omar Hassan Raj Amit Wei Hiroshi Kenji Ivan Sergei Dmitri".split(),
 }
 #: A letter, and marks of scripts whose vowels are marks.
@@ -93,6 +99,9 @@ _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0963\u0
 _WORD = rf"[^\W\d_]{_LETTER}*(?:[-'’]{_LETTER}+)*"
 _GIVEN_GENDER = {n: g for (_, g), ns in GIVEN.items() for n in ns} | {n: g for g, ns in KNOWN_GIVEN.items() for n in ns}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: Names and titles in capitals; short ones are too often something else.
+_GIVEN_GENDER |= {n.upper(): g for n, g in _GIVEN_GENDER.items() if len(n) > 3 and n.upper() != n}
+_TITLE_GENDER |= {t.upper(): g for t, g in _TITLE_GENDER.items() if len(t) > 3 and t.upper() != t} | {"MRS": "f"}
 _longest = lambda names: "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
 _TITLE, _KNOWN = _longest(_TITLE_GENDER), _longest(_GIVEN_GENDER)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -100,21 +109,23 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Type and pattern, the first that matches at a place wins. None takes time beyond linear: a run of
 #: characters that an e-mail address or a number could begin with is tried at its first one only.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
-    ("secret", r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?[\w+/=.-]{8,}"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]+@[^\W_](?:(?:[^\W_]|-)*[^\W_])?(?:\.[^\W_](?:(?:[^\W_]|-)*[^\W_])?)+"),
+    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*"),
+    ("secret", r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?[\w+/=.-]{8,}|(?<!\w)(?i:bearer)\s+(?=[A-Za-z_.~+/=-]*\d)[\w.~+/=-]{16,}"),
     ("hex", r"(?<!\w)(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"),
-    ("secret_word", r"(?<!\w)(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?!\w)"),
+    ("secret_word", r"(?<!\w)(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)(?!\w)"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("ip", rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)"),
     ("ip6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
+    ("ip6_short", r"(?<![\w:])(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?(?![\w:])"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+-])0\d{1,4}[ -]\d{3,4}[ -]?\d{3,4}(?![\w-])|(?<![\w.+-])0\d(?:[ .]\d{2}){4}(?![\w-])"),
-    ("name", rf"(?<!\w)(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
+    ("name", rf"(?<!\w)(?:(?:(?:{_TITLE})\.? )+{_WORD}(?: {_WORD})?|(?:{_KNOWN}) {_WORD})(?!\w)"),
     ("han", rf"[{HAN_SURNAMES}][\u4e00-\u9fff]{{1,2}}?(?=\s?(?:{'|'.join(AFTER)}))"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_DIGIT, _KEYS = re.compile(r"\d"), re.compile(r"gh[pousr]_|AKIA|sk-|xox[abprs]-")
+_DIGIT, _KEYS = re.compile(r"\d"), re.compile(r"gh[pousr]_|AKIA|sk-|xox[abprs]-|eyJ")
 #: What names begin with, and the runs of letters that can be one of these whatever stands before.
 _HEADS = {*_TITLE_GENDER, *_GIVEN_GENDER}
 _HEAD = re.compile(f"[{''.join(sorted({h[0] for h in _HEADS}))}]{_LETTER}+")
@@ -128,7 +139,8 @@ def _maybe(text: str) -> bool:
     return any(x in low for x in ("token", "secret", "passw", "key")) or bool(_KEYS.search(text)) or any(x in text for x in AFTER)
 
 
-_SECRET_HEAD = re.compile(r"(?i)[a-z_-]+[\"']?\s*[:=]\s*[\"']?")
+_SECRET_HEAD = re.compile(r"(?i)bearer\s+|[a-z_-]+[\"']?\s*[:=]\s*[\"']?")
+_PEM_HEAD = re.compile(r"-----BEGIN [A-Z ]+-----\s*")
 
 
 @lru_cache(10_000)
@@ -157,24 +169,29 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _FIND.finditer(text):
         kind, start, raw = m.lastgroup, m.start(), m[0]
         if kind == "name":
-            words = raw.split(" ")
-            titled = words[0].rstrip(".") in _TITLE_GENDER
-            while len(words) > 1 + titled and not _names(words[-1:]):
+            words, at, genders, titled = raw.split(" "), start, "", False
+            while words and words[0].rstrip(".") in _TITLE_GENDER:  # any number of titles
+                genders += _TITLE_GENDER[words[0].rstrip(".")]
+                at, titled = at + len(words.pop(0)) + 1, True
+            while len(words) > 1 and not _names(words[-1:]):
                 words.pop()
-            if len(words) < 2 or not _names(words):
+            if len(words) < 2 - titled or not _names(words):
                 continue
-            gender = _TITLE_GENDER[words[0].rstrip(".")] if titled else ""
-            at = start + (len(words.pop(0)) + 1 if titled else 0)
+            if not titled and words[0].isupper() and len(words[0]) > 1 and not words[-1].isupper() and _script(words[0]) in SURNAME_HEADS:
+                continue  # a given name in capitals has a surname in capitals
+            gender = genders[:1]
             if len(words) == 2:
                 yield at, at + len(words[0]), f"given_{gender}".rstrip("_"), words[0]
                 at += len(words[0]) + 1
             yield at, at + len(words[-1]), "surname", words[-1]
             continue
-        if kind == "secret":
-            head = _SECRET_HEAD.match(raw).end()
-            start, raw = start + head, raw[head:].rstrip(".-")
+        if kind == "ip6_short" and not 2 <= sum(map(bool, raw.split(":"))) <= 7:
+            continue
+        if kind in ("secret", "pem"):
+            head = (_SECRET_HEAD if kind == "secret" else _PEM_HEAD).match(raw).end()
+            start, raw = start + head, raw[head:].rstrip(".-" if kind == "secret" else None)
         if raw:
-            yield start, start + len(raw), {"hex": "secret", "secret_word": "secret", "han": "surname"}.get(kind, kind), raw
+            yield start, start + len(raw), {"hex": "secret", "secret_word": "secret", "pem": "secret", "ip6_short": "ip6", "han": "surname"}.get(kind, kind), raw
 
 
 def normal(kind: str, raw: str) -> tuple[str, str]:
@@ -185,7 +202,21 @@ def normal(kind: str, raw: str) -> tuple[str, str]:
         return kind, re.sub(r"\D", "", raw)
     if kind == "iban":
         return kind, raw.replace(" ", "")
-    return kind.split("_")[0], raw
+    if kind == "ip6":
+        return kind, _address(raw)
+    kind = kind.split("_")[0]
+    return kind, raw.title() if kind in ("given", "surname") and _shouted(raw) else raw
+
+
+def _address(raw: str) -> str:
+    try:
+        return ipaddress.ip_address(raw).compressed
+    except ValueError:
+        return raw.lower()
+
+
+def _shouted(raw: str) -> bool:
+    return len(raw) > 1 and raw.isupper()
 
 
 @lru_cache(10_000)
@@ -226,7 +257,7 @@ def _luhn(digits: str) -> int:
 def _same_layout(raw: str, chars: str) -> str:
     """raw with its digits and letters replaced in order by chars."""
     left = iter(chars)
-    return "".join(next(left) if c.isalnum() else c for c in raw)
+    return "".join([*(next(left) if c.isalnum() else c for c in raw), *left])
 
 
 def _like(stream: _Stream, raw: str) -> str:
@@ -261,7 +292,7 @@ def _made_name(s: _Stream, kind: str, entity: str, attempt: int, gender: str) ->
     return "".join(out) + "".join(s.pick(LETTERS.get(script) or out) for _ in range(attempt // 8))
 
 
-def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY, swapped: bool = False) -> str:
+def surrogate(kind: str, entity: str, attempt: int, key: bytes, swapped: bool = False) -> str:
     """The surrogate of an entity in normal form, itself in normal form. swapped gives a name the
     gender that its spelling doesn't tell."""
     s = _Stream(key, kind, entity, attempt)
@@ -271,7 +302,9 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY, swappe
         tail = "".join(s.pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(6))
         return f"{shaped}.{tail}@mail.example.org" if "." in local else f"{shaped}{tail}@mail.example.org"
     if kind == "ip":
-        # a private range of 2^24 addresses, and the reserved range of 2^28 where that fills up
+        # a private range of 2^24 addresses, the reserved range of 2^28 where that fills up, then IPv6
+        if attempt >= 24:
+            return "2001:db8:" + ":".join(f"{s.below(65536):x}" for _ in range(6))
         first = 10 if attempt < 4 else 240 + s.below(16)
         return f"{first}.{s.below(256)}.{s.below(256)}.{s.below(256)}"
     if kind == "ip6":
@@ -281,9 +314,10 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY, swappe
         last = (10 - _luhn(body + "0")) % 10
         return body + str(last if _luhn(entity) == 0 else (last + 1 + s.below(9)) % 10)
     if kind == "ssn":
-        return f"9{s.below(100):02}{s.below(100):02}{s.below(10_000):04}"  # no number begins with 9
+        more = "".join(str(s.below(10)) for _ in range(attempt // 16))
+        return f"9{s.below(100):02}{s.below(100):02}{s.below(10_000):04}{more}"  # no number begins with 9
     if kind == "phone":
-        return entity[:1] + "".join(str(s.below(10)) for _ in entity[1:])
+        return (entity[:1] if attempt < 8 else str(1 + s.below(9))) + "".join(str(s.below(10)) for _ in range(len(entity) - 1 + attempt // 16))
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", entity):
             pool = "0123456789ABCDEF" if entity.upper() == entity else "0123456789abcdef"
@@ -300,7 +334,7 @@ def dressed(kind: str, raw: str, new: str) -> str:
     """The surrogate in the layout of this mention."""
     if kind in ("card", "phone", "ssn", "iban"):
         return _same_layout(raw, new)
-    return new
+    return new.upper() if kind.startswith(("given", "surname")) and _shouted(raw) else new
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -325,7 +359,7 @@ def _attempted(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.withColumn("surrogate", made("kind", "entity", "attempt", "swapped"))
 
 
-def assignments(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def assignments(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, swapped, attempt, surrogate) without collisions, for distinct (kind, entity) rows.
 
     Among entities with one surrogate the least by (kind, entity) keeps it and all others try again;
@@ -336,7 +370,7 @@ def assignments(found: DataFrame, key: bytes = KEY) -> DataFrame:
     taken = found.select(F.col("entity").alias("surrogate")).distinct()
     settled = None
     open_ = _attempted(found.withColumn("attempt", F.lit(0)), key)
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         free = open_.join(taken, "surrogate", "left_anti")
         if settled is not None:
             free = free.join(settled.select("surrogate").distinct(), "surrogate", "left_anti")
@@ -347,7 +381,6 @@ def assignments(found: DataFrame, key: bytes = KEY) -> DataFrame:
         if rest.isEmpty():
             return settled
         open_ = _attempted(rest, key)
-    raise ValueError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
 def _replaced(text: str | None, overrides: dict[tuple[str, str], tuple[int, bool]], key: bytes) -> tuple[str | None, int]:
@@ -367,7 +400,17 @@ def _surrogate(kind: str, entity: str, attempt: int, swapped: bool, key: bytes)
     return surrogate(kind, entity, attempt, key, swapped)
 
 
-def replace(docs: DataFrame, key: bytes = KEY, count_col: str | None = None) -> DataFrame:
+def release_key(spark: SparkSession) -> bytes:
+    """The key that the application's setting KEY_CONF names; without one, a random key of this
+    application, so that its surrogates can't be computed by others (nor repeated by another run)."""
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, found)
+    return found.encode()
+
+
+def replace(docs: DataFrame, key: bytes, count_col: str | None = None) -> DataFrame:
     """docs with every entity in text replaced; columns unchanged (count_col, if named, is added).
 
     A null text stays null, an empty one empty; time is linear in a text's length. Repeated rows get
@@ -417,7 +460,7 @@ def _joined(docs: DataFrame, again: DataFrame, result: str, wanted: str, key: by
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), release_key(spark), "n_entities")
 
 
 QUERIES = {"op2_surrogates": _query}

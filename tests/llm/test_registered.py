@@ -45,6 +45,9 @@ def test_embeddings(spark):
 
 
 def test_surrogates(spark, given):
+    from strandgraph.llm import privacy
+
+    spark.conf.set(privacy.KEY_CONF, plain.KEY.decode())
     want, _ = plain.plain_replacement(given)
     assert {r.doc_id: r.text for r in run(spark, "op2_").collect()} == dict(enumerate(want))
 
