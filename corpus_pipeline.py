@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data."""
     small_batches(spark)
-    done = privacy.replace(docs)
+    done = privacy.replace(docs, privacy.release_key(spark))
     if "n_chars" not in docs.columns:
         return done
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
