@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from strandgraph.functions import annotators, prompts
 from strandgraph.functions.text import STATUSES, canon, excerpt, extract_target, id_month, norm_id
 from strandgraph.functions.vectors import top_k
-from strandgraph.operators import audit, dml, explore, review, views, workflow
+from strandgraph.operators import audit, dml, explore, queue, review, views, workflow
 from strandgraph.operators.normalize import Graph
 from strandgraph.sources import files
-from strandgraph.sources.catalog import Catalog
+from strandgraph.sources.catalog import Catalog, Conflict, Draft
 from strandgraph.sources.durable import stored
 
 
@@ -147,14 +147,24 @@ class Engine:
     def search(self, text: str, embed: Callable[[list[str]], list[dict]], model: str, k: int = 8) -> DataFrame:
         """(kind, node_id, score) of the concepts and the papers nearest in meaning, k of each, live ones only.
 
-        embed makes the text's vector, as it made the stored ones.
+        embed makes the text's vector, as it made the stored ones: a model that made none of them is an error.
         """
+        if self.catalog.read("embeddings").where(F.col("model") == model).isEmpty():
+            raise ValueError(f"no stored vector was made by {model!r}")
         query = self.spark.createDataFrame([(embed([text])[0]["vector"],)], "vector array<double>")
         store = files.embedding_store(self.catalog.read("embeddings"), model).withColumnRenamed("id", "node_id")
         live = {"concept": self.catalog.read("nodes").select(F.col("rk").alias("node_id")), "paper": self.catalog.read("paper_nodes").select(F.col("paper_id").cast("string").alias("node_id"))}
         found = [top_k(store.where(F.col("kind") == kind).drop("kind"), query, k).join(ids, "node_id", "left_semi").select(F.lit(kind).alias("kind"), "node_id", F.bround("score", 3).alias("score")) for kind, ids in live.items()]
         return found[0].unionByName(found[1])
 
+    def nothing_known(self) -> DataFrame:
+        return self.spark.createDataFrame([], "kind string, node_id string, score double, name string, said string")
+
+    def known(self, text: str, embed: Callable[[list[str]], list[dict]], model: str, k: int = 8) -> DataFrame:
+        """The hits of `search` with what they are: kind, node_id, score, name (a title for a paper), said."""
+        hits = self.search(text, embed, model, k)
+        return explore.with_metadata(hits, self.catalog.read("nodes"), self.catalog.read("paper_nodes"))
+
     def command(self, text: str, embed: Callable | None = None, model: str = "") -> tuple[explore.Command, DataFrame | None]:
         """Route a text and evaluate it. Searches by meaning give no rows without a function to embed with."""
         graph = self.graph()
@@ -163,7 +173,11 @@ class Engine:
         names = [r["canonical"] for r in named.orderBy(F.length("canonical").desc(), "canonical").limit(1).collect()]
         found = explore.route(text, names, ("technique", "survey", "benchmark", "analysis", "other"))
         if found.tool == "filter":
-            return found, explore.filter_concepts(explore.with_reviewed(view.join(self.months(graph), "rk", "left"), self.reviewed()), **found.args)
+            found.args = explore.clean_filter(found.args)
+            rows = stored(explore.filter_concepts(explore.with_reviewed(view.join(self.months(graph), "rk", "left"), self.reviewed()), **found.args))
+            if rows.isEmpty():
+                return explore.Command("none", {"message": explore.NOTHING_FITS}), None
+            return found, rows
         if found.tool == "focus_lineage":
             starts = explore.resolve_node(view, self.spark.createDataFrame([(found.args["node"],)], "name string")).where("rk is not null")
             return found, explore.closure(views.lineage(graph), starts, found.args["direction"])
@@ -174,81 +188,141 @@ class Engine:
 
 class Session:
     """A resumable ingestion session. Each step does its work from the tables, keeps its result there
-    and appends its state to the sessions table, so a restart goes on where the last step ended.
+    and appends its state to the sessions table, so a restart goes on where the last step ended. Of two
+    clients that resume one session at a time, one does the step and the other is told.
 
     Tables besides the engine's: feed (query_ord, entry_ord, query, id, title, summary, published), what
-    searches found, and ledger (paper_id, title, verdict). Calls are the prompts' stand-ins by default.
+    searches found, ledger (paper_id, title, abstract, verdict, extracted, first_seen_query), verdicts
+    (paper_id, prompt_ver, verdict, reason) and calls (stage, tokens, seconds). Calls are the prompts'
+    stand-ins by default; embed and model, if given, find what the graph knows about the topic.
     """
 
-    def __init__(self, engine: Engine, thread_id: str, calls: dict[str, Callable] | None = None):
-        self.engine, self.thread_id, self.calls = engine, thread_id, calls or {}
+    def __init__(self, engine: Engine, thread_id: str, calls: dict[str, Callable] | None = None, embed: Callable | None = None, model: str = ""):
+        self.engine, self.thread_id, self.calls, self.embed, self.model = engine, thread_id, calls or {}, embed, model
 
-    def _append(self, stage: str, state: dict | str) -> None:
-        catalog = self.engine.catalog
-        have = catalog.read("sessions").where(F.col("thread_id") == self.thread_id).count() if catalog.versions("sessions") else 0
-        text = state if isinstance(state, str) else json.dumps(state, ensure_ascii=False)
-        catalog.append("sessions", self.engine.spark.createDataFrame([(self.thread_id, have, stage, text)], "thread_id string, seq long, stage string, state string"))
+    def _table(self, name: str, schema: str) -> DataFrame:
+        state = self.engine.catalog.last()
+        return state.read(name) if name in state else self.engine.spark.createDataFrame([], schema)
+
+    def _append(self, stage: str, state: dict, seen: int) -> None:
+        """The next state, if the session still is where this step began (its number of states)."""
+        text = json.dumps(state, ensure_ascii=False)
+        row = self.engine.spark.createDataFrame([(self.thread_id, seen, stage, text)], "thread_id string, seq long, stage string, state string")
+
+        def add(draft: Draft) -> None:
+            have = draft.read("sessions").where(F.col("thread_id") == self.thread_id).count() if "sessions" in draft else 0
+            if have != seen:
+                raise Conflict(f"session {self.thread_id} has gone on meanwhile")
+            draft.append("sessions", row)
+
+        self.engine.catalog.transact(add)
 
     def _ask(self, prompt: prompts.Prompt, text: str) -> dict:
         rows = self.engine.spark.createDataFrame([(0, text)], "id int, text string")
-        told = annotators.annotate(rows, self.calls.get(prompt.name, prompt.offline), prompt.schema, prompt.version).first()
+        asked = stored(annotators.annotate(rows, self.calls.get(prompt.name, prompt.offline), prompt.schema, prompt.version))
+        self._log(prompt.name, asked)
+        told = asked.first()
         if not told["ok"]:
             raise RuntimeError(f"{prompt.name} failed: {told['error']}")
         return {f: told[f] for f in told.asDict(True) if f not in ("id", "prompt_ver", "ok", "error", "seconds", "tokens")}
 
+    def _log(self, stage: str, asked: DataFrame) -> None:
+        self.engine.catalog.append("calls", stored(annotators.usage_log(asked, stage)))
+
     def start(self, text: str) -> dict:
-        """Interpret what is asked for, and wait for a decision."""
-        intent = self._ask(prompts.INTENT, text)
-        self._append("interpret", intent)
-        return intent
+        """Interpret what is asked for, see what the graph knows of it, and wait for a decision."""
+        return self._interpret(text, self._seen())
+
+    def _interpret(self, text: str, seen: int) -> dict:
+        known = self._ask(prompts.INTENT, text)
+        known |= self._related(known["topic"])
+        self._append("interpret", known, seen)
+        return known
+
+    def _related(self, topic: str) -> dict:
+        """Terms that the graph knows near the topic, and the report of its concepts and papers."""
+        hits = self.engine.known(topic, self.embed, self.model) if self.embed else self.engine.nothing_known()
+        hits = stored(hits)
+        terms = [r["term"] for r in explore.hit_terms(hits).orderBy("ord").collect()]  # at most ten
+        lines = workflow.status_report(topic, *[hits.where(F.col("kind") == k).select(workflow.hit_line(F.col("name"), F.col("said"), F.col("score"), "(none)").alias("line"), "score") for k in ("concept", "paper")])
+        return {"related": terms, "report": [r["line"] for r in lines.orderBy("part", "ord", "line").collect()]}  # at most 16 hits
+
+    def _seen(self) -> int:
+        now = self.state()
+        return 0 if now is None else now["seq"] + 1
 
     def state(self) -> dict | None:
-        catalog = self.engine.catalog
-        if not catalog.versions("sessions"):
-            return None
-        last = workflow.latest_state(catalog.read("sessions").where(F.col("thread_id") == self.thread_id), "thread_id", "seq").first()
+        log = self._table("sessions", "thread_id string, seq long, stage string, state string")
+        last = workflow.latest_state(log.where(F.col("thread_id") == self.thread_id), "thread_id", "seq").first()
         return last.asDict() if last else None
 
     def resume(self, decision: str) -> str:
-        """Do the step that a decision leads to, and give the stage that is reached."""
+        """Do the step that a decision leads to, and give the stage that is reached. 'revise:TEXT' asks anew."""
         now = self.state()
         if now is None:
             raise LookupError(f"no session {self.thread_id}")
-        stage = workflow.stage_after(now["stage"], decision)
-        known = json.loads(now["state"]) if now["state"].startswith("{") else {}
+        decision, _, text = decision.partition(":")
+        stage, seen = workflow.stage_after(now["stage"], decision.strip()), now["seq"] + 1
+        known = json.loads(now["state"])
+        if stage == "parse":
+            self._interpret(text.strip(), seen)
+            return "interpret"
         if stage == "expand":
-            message = self.engine.spark.range(1).select(prompts.EXPAND.message(F.lit(known["topic"]), F.array().cast("array<string>")).alias("m")).first()["m"]
-            known["queries"] = self._ask(prompts.EXPAND, message)["queries"]
+            known |= self._expand(known)
         elif stage == "gate":
             known |= self._gate(known)
         elif stage == "extract":
             known |= self._extract(known)
         reached = {"expand": "approve", "gate": "extract_confirm", "extract": "report"}.get(stage, stage)
-        self._append(reached, known)
+        self._append(reached, known, seen)
         return reached
 
+    def _expand(self, known: dict) -> dict:
+        """Search phrases from the topic and related terms, guarded; what they find, counted, and in the ledger."""
+        spark = self.engine.spark
+        related = F.array(*map(F.lit, known.get("related") or [])).cast("array<string>")
+        message = spark.range(1).select(prompts.EXPAND.message(F.lit(known["topic"]), related).alias("m")).first()["m"]
+        asked = [(0, i, q) for i, q in enumerate(self._ask(prompts.EXPAND, message)["queries"])]
+        asked = spark.createDataFrame(asked, "session int, ord int, query string")
+        kept = workflow.guard_queries(asked)
+        few = not workflow.too_few_queries(asked, kept).isEmpty()
+        known = known | {"queries": [r["query"] for r in kept.orderBy("ord").collect()], "too_few_queries": few}  # a call's few phrases
+        reasons = self._reasons(known)
+        counts = workflow.dedup_counts(reasons).first().asDict()
+        found = stored(reasons.select("paper_id", "title", "abstract", F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("extracted"), "first_seen_query"))
+        self.engine.catalog.transact(lambda d: d.write("ledger", stored(dml.upsert_ledger(d.read("ledger"), found)) if "ledger" in d else found))
+        return {k: known[k] for k in ("queries", "too_few_queries")} | {"counts": counts}
+
     def _target(self, known: dict) -> int:
         return self.engine.spark.range(1).select(extract_target(F.lit(known.get("count")).cast("long")).alias("n")).first()["n"]
 
+    def _reasons(self, known: dict) -> DataFrame:
+        asked = self.engine.catalog.read("feed").where(F.col("query").isin(known["queries"]))
+        papers = workflow.feed_entries(asked, known.get("period_from") or None, known.get("period_to") or None)
+        ledger = self._table("ledger", "paper_id string, verdict string")
+        return workflow.candidate_reasons(papers, self.engine.catalog.read("papers").select("paper_id"), ledger)
+
     def found(self, known: dict) -> DataFrame:
         """Papers of the feed for the session's queries, neither owned nor rejected, in a fixed order."""
-        catalog = self.engine.catalog
-        asked = catalog.read("feed").where(F.col("query").isin(known["queries"]))
-        papers = workflow.feed_entries(asked, known.get("period_from") or None, known.get("period_to") or None)
-        ledger = catalog.read("ledger") if catalog.versions("ledger") else self.engine.spark.createDataFrame([], "paper_id string, verdict string")
-        reasons = workflow.candidate_reasons(papers, catalog.read("papers").select("paper_id"), ledger)
-        return reasons.where("reason = 'new'").withColumn("rank", F.struct("query_ord", "entry_ord"))
+        return self._reasons(known).where("reason = 'new'").withColumn("rank", F.struct("query_ord", "entry_ord"))
 
     def _gate(self, known: dict) -> dict:
-        """Judge the found papers in batches until enough pass; verdicts go to the ledger."""
-        new = self.found(known)
-        told = annotators.ask(new, prompts.GATE, F.col("title"), F.col("abstract"), call=self.calls.get("gate"), id_col="paper_id")
-        judged = stored(new.join(told.where("ok").select(F.col("id").alias("paper_id"), F.col("type").alias("verdict")), "paper_id").withColumn("passed", F.col("verdict") == "technique"))
-        batches = stored(workflow.gate_batches(judged, self._target(known)))
-        self.engine.catalog.append("ledger", batches.select("paper_id", "title", "verdict"))
-        chosen = workflow.to_extract(batches, self._target(known)).orderBy("rank").select("paper_id").collect()  # at most the extraction's cap
-        parts = {r["part"]: r["n"] for r in workflow.gate_summary(batches).groupBy("part").agg(F.count("*").alias("n")).collect()}
-        return {"to_extract": [r["paper_id"] for r in chosen], **parts}
+        """Judge the found papers ten at a time until enough pass; a verdict that is known isn't asked for."""
+        catalog, target = self.engine.catalog, self._target(known)
+        cache = self._table("verdicts", "paper_id string, prompt_ver string, verdict string, reason string")
+        done = queue.judge(self.found(known), cache, prompts.GATE, F.col("title"), F.col("abstract"), target=target, call=self.calls.get("gate"))
+        self._log("gate", done.asked)
+        new = done.asked.where("ok").select("paper_id", "prompt_ver", "verdict", "reason")
+        verdicts = done.rows.select("paper_id", F.col("verdict").alias("v"))
+
+        def keep(draft: Draft) -> None:
+            draft.append("verdicts", new)
+            draft.write("ledger", stored(draft.read("ledger").join(verdicts, "paper_id", "left").withColumn("verdict", F.coalesce("v", "verdict")).drop("v")))
+
+        catalog.transact(keep)
+        chosen = workflow.to_extract(done.rows, target).orderBy("rank").select("paper_id").collect()  # at most the extraction's cap
+        parts = {r["part"]: r["n"] for r in workflow.gate_summary(done.rows).groupBy("part").agg(F.count("*").alias("n")).collect()}
+        return {"to_extract": [r["paper_id"] for r in chosen], **parts, "gate_calls": done.asked.count(), "gate_cached": done.rows.where("cached").count()}
 
     def _extract(self, known: dict) -> dict:
         """Extract the chosen papers from their abstracts and add them to the engine's tables."""
@@ -259,8 +333,17 @@ class Session:
         built = annotators.ask(chosen, prompts.RELATE, text, call=self.calls.get("relate"), id_col="paper_id").where("ok").select(F.col("id").alias("paper_id"), "builds_on")
         both = files.with_relations(told.withColumnRenamed("id", "paper_id"), built)
         new = {"mentions": files.mentions(both), "papers": both.select("paper_id", "title", "problem", "domain", "paper_type")}
-        for name, rows in new.items():
-            old = catalog.read(name)
-            rest = old.join(both.select("paper_id"), "paper_id", "left_anti")
-            catalog.write(name, stored(rest.unionByName(rows.select(*[c for c in old.columns if c in rows.columns]), allowMissingColumns=True)))
+        new = {name: stored(rows) for name, rows in new.items()}
+        ids = stored(both.select("paper_id"))
+
+        def keep(draft: Draft) -> None:
+            for name, rows in new.items():
+                old = draft.read(name)
+                rest = old.join(ids, "paper_id", "left_anti")
+                draft.write(name, stored(rest.unionByName(rows.select(*[c for c in old.columns if c in rows.columns]), allowMissingColumns=True)))
+            done = draft.read("ledger").join(ids.withColumn("now", F.lit(True)), "paper_id", "left")
+            draft.write("ledger", stored(done.withColumn("extracted", F.coalesce("now", "extracted")).drop("now")))
+
+        catalog.transact(keep)
+        self._log("extract", told)
         return {"extracted": told.count()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.sources.durable import Parts, stored
@@ -28,6 +28,15 @@ def filter_concepts(view: DataFrame, ptype: str | None = None, domain: str | Non
     return out
 
 
+def clean_filter(asked: dict) -> dict:
+    """The conditions among what is asked for; empty values are none, and nothing asked is everything."""
+    text = {k: v for k in ("ptype", "domain", "date_after") if (v := asked.get(k))}
+    return text | ({"unreviewed_only": True} if asked.get("unreviewed_only") else {})
+
+
+NOTHING_FITS = "no node meets the conditions"
+
+
 def filter_options(view: DataFrame) -> DataFrame:
     """(kind, value): the values that filters can take."""
     pair = lambda kind, c: view.where(c.isNotNull()).select(F.lit(kind).alias("kind"), c.alias("value")).distinct()
@@ -46,6 +55,22 @@ def related_terms(nodes: DataFrame, papers: DataFrame, n: int = 10) -> DataFrame
     return both.where("term <> ''").orderBy("o", "term").limit(n).select("term")
 
 
+def with_metadata(hits: DataFrame, nodes: DataFrame, papers: DataFrame) -> DataFrame:
+    """hits (kind, node_id, score) with name and said: a concept's name and definition, a paper's title and
+    problem. Hits that are neither are left out."""
+    what = nodes.select(F.lit("concept").alias("kind"), F.col("rk").cast("string").alias("node_id"), F.col("canonical").alias("name"), F.col("definition").alias("said"))
+    what = what.unionByName(papers.select(F.lit("paper").alias("kind"), F.col("paper_id").cast("string").alias("node_id"), F.col("title").alias("name"), F.col("problem").alias("said")))
+    return hits.withColumn("node_id", F.col("node_id").cast("string")).join(what, ["kind", "node_id"]).select("kind", "node_id", "score", "name", "said")
+
+
+def hit_terms(hits: DataFrame, n: int = 10) -> DataFrame:
+    """(ord, term): the first n names among hits, concepts before papers, each kind best first; empty ones don't count."""
+    named = hits.where(F.coalesce("name", F.lit("")) != "")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("kind") == "concept", 0).otherwise(1), F.desc("score"), "node_id")
+    first = named.orderBy(F.when(F.col("kind") == "concept", 0).otherwise(1), F.desc("score"), "node_id").limit(n)
+    return first.select(F.row_number().over(order).alias("ord"), F.col("name").alias("term"))
+
+
 def filter_lexicon(items: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
     """Lexicon items (label, status) of a status (None or 'all': any) whose name contains a text."""
     out = items if status in (None, "all") else items.where(F.col("status") == status)
