@@ -1,8 +1,9 @@
 """Where abstract and introduction end: the cut before a paper's second section.
 
-The end is the first place that one pattern describes: a line that heads section 2, with a usual title
-or after the end of a sentence, and no third item of a list close below. It is looked for beyond the
-least length of an introduction; without such a place the text is cut at a sentence's end.
+All lines that look like a heading of section 2 are candidates; the text between them and the headings
+themselves come as two arrays, so that a candidate's place is the length of what stands before it. One
+walk over the candidates takes the first that has a usual title or follows the end of a sentence, and has
+no third item of a list close below. Without one the text is cut at a sentence's end.
 """
 
 from __future__ import annotations
@@ -15,32 +16,48 @@ from strandgraph.functions.text import boundary_cut
 #: Limits in characters (fixed values): where an abstract's heading may stand, the least length before
 #: a heading of section 2, how much stays without one, how near a third list item must follow.
 ABSTRACT_WITHIN, FIRST_HEADING_AFTER, FALLBACK_CHARS, LIST_WITHIN = 5000, 3000, 6000, 600
-#: Characters before the least length that a heading's surroundings may need.
-_CONTEXT = 120
 
-#: Parts of the pattern (fixed values): the number, with an optional line for a page number; a short
-#: capitalised title; the usual titles; the end of a sentence; the third item of a list.
-_NUMBER = r"[ \t]*(?:\d{1,4}[ \t]*\n[ \t]*)?2(?=[.)\s])[.)]?[ \t]*(?:\n[ \t]*)?"
-_TITLE = r"[A-Z][A-Za-z0-9][A-Za-z0-9 \-&]{1,44}[ \t]*$"
-_USUAL = r"(?=[A-Z])(?i:related works?|background|preliminaries|methodolog\w*|methods?|approach)[ \t]*$"
-_SENTENCE = r"[.!?][\"')\]”’]{0,9}\s{0,60}"
-_THIRD = r"\n[ \t]*3[.)]?(?:[ \t]+|[ \t]*\n[ \t]*)[A-Z]"
-HEADING = rf"(?md)^(?:(?<={_SENTENCE})|(?={_NUMBER}{_USUAL})){_NUMBER}{_TITLE}(?!(?s:.{{0,{LIST_WITHIN - 4}}}?){_THIRD})"
+#: Patterns (fixed values): the heading with an optional line for a page number before it and a short
+#: capitalised title; the usual titles; the end of a sentence with any closing marks and white space of any
+#: script; the third item of a list.
+HEADING = r"(?mdU)^[ \t]*(?:\d{1,4}[ \t]*\n[ \t]*)?2(?=[.)\s])[.)]?[ \t]*(?:\n[ \t]*)?([A-Z][A-Za-z0-9][A-Za-z0-9 \-&]{1,44})[ \t]*$"
+USUAL = r"(?i)^(?:related works?|background|preliminaries|methodolog\w*|methods?|approach)$"
+SENTENCE = r"(?U)[.!?][\"')\]”’]*[\s\x1C-\x1F]*\z"
+THIRD = r"(?md)^[ \t]*3[.)]?(?:[ \t]+|[ \t]*\n[ \t]*)[A-Z]"
 
 
 def section_cut(text: Column) -> Column:
     """struct(text, cut_method): the abstract and introduction, and how their end was found.
 
-    cut_method is 'section' or 'head6000'. A null text is empty. All is done in column expressions.
+    cut_method is 'section' or 'head6000'. A null text is empty. All is done in column expressions, in
+    time linear in the text but for lists that look like headings (each reads the text up to it).
     """
     text = F.coalesce(text, F.lit(""))
-    abstract = F.regexp_instr(text, F.lit(r"(?iU)\babstract\b"))
-    start = F.when((abstract > 0) & (abstract <= ABSTRACT_WITHIN + 1), abstract - 1).otherwise(0)
+    before = F.split(text, r"(?iU)\babstract\b", 2)
+    start = F.when((F.size(before) == 2) & (F.length(before[0]) <= ABSTRACT_WITHIN), F.length(before[0])).otherwise(0)
     least = start + FIRST_HEADING_AFTER
-    # digits before the least length are masked, so that no heading begins there
-    before = F.translate(F.right(F.substring(text, F.lit(1), least), F.lit(_CONTEXT)), "0123456789", "dddddddddd")
-    found = F.regexp_instr(F.concat(before, F.substring(text, least + 1, F.length(text))), F.lit(HEADING))
-    length = FIRST_HEADING_AFTER - F.length(before) + found - 1
-    section = F.struct(F.substring(text, start + 1, length).alias("text"), F.lit("section").alias("cut_method"))
+    # one character more than may be searched, so that a line's begin is seen; only a line's end counts of it
+    edge = F.when(F.substring(text, least, F.lit(1)) == "\n", F.lit("\n")).otherwise(F.lit("x"))
+    tail = F.concat(edge, F.substring(text, least + 1, F.length(text)))
+    heads = F.regexp_extract_all(tail, F.lit(HEADING), F.lit(0))
+    between = F.split(tail, HEADING, -1)
+    candidates = F.arrays_zip(F.slice(between, F.lit(1), F.size(heads)).alias("gap"), heads.alias("head"))
+    intro = F.substring(text, start + 1, F.lit(FIRST_HEADING_AFTER))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap, head = x["gap"], x["head"]
+        at = acc["at"] + F.length(gap)
+        title = F.regexp_extract(head, HEADING, 1)
+        # a heading ends in a title, so only the first gap can go on with what stands before
+        said = F.when(acc["n"] == 0, F.concat(intro, F.substring(gap, F.lit(2), F.length(gap)))).otherwise(gap)
+        listed = F.substring(text, least + at + F.length(head), F.lit(LIST_WITHIN)).rlike(THIRD)
+        fits = (F.trim(title).rlike(USUAL) | said.rlike(SENTENCE)) & ~listed
+        after = F.struct((at + F.length(head)).alias("at"), (acc["n"] + 1).alias("n"), F.when(fits, at).alias("found"))
+        return F.when(acc["found"].isNotNull(), acc).otherwise(after)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("found"))
+    found = F.aggregate(candidates, zero, step, lambda acc: acc["found"])
+    cut = F.when(F.length(text) > least, found)
+    section = F.struct(F.substring(text, start + 1, FIRST_HEADING_AFTER - 1 + cut).alias("text"), F.lit("section").alias("cut_method"))
     fallback = F.struct(boundary_cut(text, FALLBACK_CHARS).alias("text"), F.lit("head6000").alias("cut_method"))
-    return F.when((F.length(text) > least) & (found > 0), section).otherwise(fallback)
+    return F.when(cut.isNotNull(), section).otherwise(fallback)

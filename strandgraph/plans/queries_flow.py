@@ -342,19 +342,31 @@ def _last_sql(mark: str) -> str:
     return f"CASE WHEN instr(reverse(h), reverse({mark})) = 0 THEN -1 ELSE length(h) - instr(reverse(h), reverse({mark})) - length({mark}) + 1 END"
 
 
-# Documents with a heading of section 2 planted at their end: a usual title, another title after a sentence,
-# one in mid-sentence (no heading), and one with a third item close by (a list).
-PLANTED = ("\n2 Related Work\nx", ".\n\n2. Our Things\nx", " and\n2. Our Things\nx", ".\n2. Our Things\nx\n3. Other\n")
-_PLANTED_SQL = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '" + t.replace("\n", "' || chr(10) || '") + "'" for i, t in enumerate(PLANTED)) + " END"
+# Documents with a heading of section 2 planted at their end, and where it stands behind the text: a usual
+# title; another title after a sentence; one in mid-sentence (no heading); one with a third item close by (a
+# list); after many blanks, many closing marks, a no-break space; and with an abstract's heading before the text.
+PLANTED = (
+    ("", "\n2 Related Work\nx", 1), ("", ".\n\n2. Our Things\nx", 3), ("", " and\n2. Our Things\nx", None), ("", ".\n2. Our Things\nx\n3. Other\n", None), ("", "." + " " * 70 + "\n" * 10 + "2. Our Things\nx", 81),
+    ("", "." + '"' * 12 + "\n2. Our Things\nx", 14), ("", ".\xa0\n2. Our Things\nx", 3), ("Notes\nAbstract\n", ".\n2. Our Things\nx", 2),
+)
 
 
-@query("section_cut", f"""WITH t AS (SELECT doc_id, length(text) AS n, text || {_PLANTED_SQL} AS text FROM documents), d AS (SELECT doc_id, n, text, substr(text, 1, 6000) AS h FROM t),
-p AS (SELECT *, {_last_sql("'.' || chr(10)")} AS a, {_last_sql("'. '")} AS b, {_last_sql("chr(10) || chr(10)")} AS c, n + CASE doc_id % 4 WHEN 0 THEN 1 ELSE 3 END AS heading FROM d),
-q AS (SELECT *, doc_id % 4 < 2 AND heading >= 3000 AS found FROM p)
-SELECT doc_id, CASE WHEN found THEN 'section' ELSE 'head6000' END AS cut_method, md5(CASE WHEN found THEN substr(text, 1, heading) WHEN a > 3000 THEN substr(text, 1, a + 1) WHEN b > 3000 THEN substr(text, 1, b + 1) WHEN c > 3000 THEN substr(text, 1, c + 1) ELSE h END) AS digest FROM q""")
+def _by_id(values) -> str:
+    return f"CASE doc_id % {len(PLANTED)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _quoted(t: str) -> str:
+    return "'" + t.replace("\n", "' || chr(10) || '").replace("\xa0", "' || chr(160) || '") + "'"
+
+
+@query("section_cut", f"""WITH t AS (SELECT doc_id, {_by_id(len(p) + (x or 0) if x else 'NULL' for p, _, x in PLANTED)} + length(text) AS heading, {_by_id(6 if p else 0 for p, _, _ in PLANTED)} AS start,
+ {_by_id(_quoted(p) for p, _, _ in PLANTED)} || text || {_by_id(_quoted(t) for _, t, _ in PLANTED)} AS text FROM documents), d AS (SELECT *, substr(text, 1, 6000) AS h FROM t),
+p AS (SELECT *, {_last_sql("'.' || chr(10)")} AS a, {_last_sql("'. '")} AS b, {_last_sql("chr(10) || chr(10)")} AS c FROM d),
+q AS (SELECT *, coalesce(heading >= start + 3000, false) AS found FROM p)
+SELECT doc_id, CASE WHEN found THEN 'section' ELSE 'head6000' END AS cut_method, md5(CASE WHEN found THEN substr(text, start + 1, heading - start) WHEN a > 3000 THEN substr(text, 1, a + 1) WHEN b > 3000 THEN substr(text, 1, b + 1) WHEN c > 3000 THEN substr(text, 1, c + 1) ELSE h END) AS digest FROM q""")
 def section_cut(spark, sf):
-    planted = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % 4 + 1).cast("int"))
-    cut = table(spark, sf, "documents").select("doc_id", sections.section_cut(F.concat("text", planted)).alias("x"))
+    planted = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    cut = table(spark, sf, "documents").select("doc_id", sections.section_cut(F.concat(planted(0), "text", planted(1))).alias("x"))
     return cut.select("doc_id", "x.cut_method", F.md5("x.text").alias("digest"))
 
 
