@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.functions.text import NODE_OK, canon, has_paren, paren_inner, paren_outer
+from strandgraph.functions.text import NODE_OK, canon
 from strandgraph.operators import normalize
 from strandgraph.sources.catalog import Catalog, Draft, State
 from strandgraph.sources.durable import stored
@@ -32,23 +32,7 @@ KEYS = {"mentions": "paper_id", "papers": "paper_id", "aliases": "key", "odd": "
 
 
 def parsed(mentions: DataFrame) -> DataFrame:
-    """Mentions with t, k and, for names with parentheses, ik and ok: what they hold, what is outside."""
-    name = F.col("name")
-    inside = lambda c: F.when(has_paren(name), c)
-    return mentions.select(*RAW, F.struct("paper_id", "phase", "idx").alias("t"), canon(name).alias("k"), inside(paren_inner(name)).alias("ik"), inside(paren_outer(name)).alias("ok"))
-
-
-def _found(odd: DataFrame, lookup: DataFrame) -> DataFrame:
-    """odd rows with found: the concept of the inside, else of the outside, if known before the row."""
-    one = lambda side, new: lookup.select(F.col("key").alias(side), F.col("rk").alias(f"{new}_rk"), F.col("since").alias(f"{new}_since"))
-    fits = lambda n: F.when(F.col(f"{n}_since").isNull() | (F.col(f"{n}_since") < F.col("t")), F.col(f"{n}_rk"))
-    both = odd.join(one("ik", "i"), "ik", "left").join(one("ok", "o"), "ok", "left")
-    return both.select(*odd.columns, F.coalesce(fits("i"), fits("o")).alias("found"))
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    """Rows with found and alone (the first place where their name stood for itself) -> with rk."""
-    return rows.withColumn("rk", F.when(F.col("alone") < F.col("t"), F.col("k")).otherwise(F.coalesce("found", "k")))
+    return normalize.keyed(mentions.select(*RAW))
 
 
 def summed(mentions: DataFrame) -> DataFrame:
@@ -83,10 +67,9 @@ def build(draft: Draft, mentions: DataFrame, papers: DataFrame, lexicon: DataFra
     known = rows.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left")
     plain = known.where("rep is null and ik is null")
     since = stored(plain.groupBy("k").agg(F.min("t").alias("since")))
-    lookup = aliases.select("key", "rk", F.lit(None).cast(since.schema["since"].dataType).alias("since")).unionByName(since.select(F.col("k").alias("key"), F.col("k").alias("rk"), "since"))
-    odd = stored(_found(known.where("rep is null and ik is not null").select(*rows.columns), lookup))
-    alone = odd.where("found is null").groupBy("k").agg(F.min("t").alias("alone"))
-    odd = stored(_named(odd.join(alone, "k", "left")).select(*rows.columns, "rk"))
+    odd = stored(normalize.with_found(known.where("rep is null and ik is not null").select(*rows.columns), normalize.lookup_table(aliases, since)))
+    alone = normalize.first_alone(odd)
+    odd = stored(normalize.with_concept(odd.join(alone, "k", "left")).select(*rows.columns, "rk"))
     every = stored(known.where("rep is not null or ik is null").select(*rows.columns, F.coalesce("rep", "k").alias("rk")).unionByName(odd))
     concepts = stored(summed(every))
     found = stored(as_nodes(concepts, normalize.representatives(lexicon)))
@@ -138,7 +121,7 @@ def add(draft: Draft, mentions: DataFrame, papers: DataFrame) -> None:
     new_odd = came.where(is_odd).select(*columns)
     stale = draft.read("odd", anew)
     lookup = _lookup(draft, names, new_odd.unionByName(stale.select(*columns)))
-    new_odd = stored(_found(new_odd, lookup))
+    new_odd = stored(normalize.with_found(new_odd, lookup))
     own = names.unionByName(draft.read("names", new_odd.select("k")).join(names, "k", "left_anti").select("k", "since", "alone"))
     first = new_odd.where("found is null").groupBy("k").agg(F.min("t").alias("t"))
     earlier = first.join(own.select("k", "alone"), "k", "left").where("alone is null or t < alone").select("k")
@@ -146,11 +129,11 @@ def add(draft: Draft, mentions: DataFrame, papers: DataFrame) -> None:
     stale = stored(draft.read("odd", anew))
     rest = stale.join(went.select(*RAW), [stale[c].eqNullSafe(went[c]) for c in RAW], "left_anti").select(*columns)
     lookup = _lookup(draft, names, rest)
-    full = stored(_found(rest, lookup).unionByName(new_odd.join(anew, "k", "left_semi")))
-    alone = full.where("found is null").groupBy("k").agg(F.min("t").alias("alone"))
-    full = _named(full.join(alone, "k", "left")).select(*columns, "rk")
+    full = stored(normalize.with_found(rest, lookup).unionByName(new_odd.join(anew, "k", "left_semi")))
+    alone = normalize.first_alone(full)
+    full = normalize.with_concept(full.join(alone, "k", "left")).select(*columns, "rk")
     light = new_odd.join(anew, "k", "left_anti").join(own.select("k", "alone"), "k", "left")
-    odd_now = stored(full.unionByName(_named(light).select(*columns, "rk")))
+    odd_now = stored(full.unionByName(normalize.with_concept(light).select(*columns, "rk")))
 
     # mentions that have come to a concept, and that have left one
     with_rk = lambda rows: rows.where("rep is not null or ik is null").select(*columns, F.coalesce("rep", "k").alias("rk"))
@@ -189,9 +172,7 @@ def _lookup(draft: Draft, names: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, rk, since) of the keys inside and outside the rows' parentheses."""
     keys = stored(rows.select(F.explode(F.array("ik", "ok")).alias("key")).distinct())
     plain = names.unionByName(draft.read("names", keys.select(F.col("key").alias("k"))).join(names, "k", "left_anti").select("k", "since", "alone"))
-    plain = plain.where("since is not null").select(F.col("k").alias("key"), F.col("k").alias("rk"), "since")
-    aliases = draft.read("aliases", keys)
-    return stored(aliases.select("key", "rk", F.lit(None).cast(plain.schema["since"].dataType).alias("since")).unionByName(plain))
+    return stored(normalize.lookup_table(draft.read("aliases", keys), plain.where("since is not null").select("k", "since")))
 
 
 def _update_graph(draft: Draft, gained: DataFrame, lost: DataFrame, new_papers: DataFrame) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import NODE_OK, canon, defaulted, has_paren, paren_inner, paren_outer
@@ -29,27 +29,51 @@ def representatives(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy(canon(F.col("label")).alias("rk")).agg(F.max_by(F.struct("label", "status", "definition"), "ord").alias("x")).select("rk", "x.label", "x.status", "x.definition")
 
 
+def keyed(mentions: DataFrame) -> DataFrame:
+    """mentions with t, k and, for names with parentheses, ik and ok: what they hold, what stands outside."""
+    name = F.col("name")
+    inside = lambda c: F.when(has_paren(name), c)
+    return mentions.select("*", F.struct("paper_id", "phase", "idx").alias("t"), canon(name).alias("k"), inside(paren_inner(name)).alias("ik"), inside(paren_outer(name)).alias("ok"))
+
+
+def lookup_table(aliases: DataFrame, since: DataFrame) -> DataFrame:
+    """(key, rk, since): aliases, known all along, and plain names (k, since), known from their first place on."""
+    none = F.lit(None).cast(since.schema["since"].dataType).alias("since")
+    return aliases.select("key", "rk", none).unionByName(since.select(F.col("k").alias("key"), F.col("k").alias("rk"), "since"))
+
+
+def with_found(odd: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Rows with parentheses (t, ik, ok) with found: the concept of the inside, else of the outside, if known
+    before the row. A key has one row in lookup, so every row stays one row."""
+    one = lambda side, new: lookup.select(F.col("key").alias(side), F.col("rk").alias(f"{new}_rk"), F.col("since").alias(f"{new}_since"))
+    fits = lambda n: F.when(F.col(f"{n}_since").isNull() | (F.col(f"{n}_since") < F.col("t")), F.col(f"{n}_rk"))
+    both = odd.join(one("ik", "i"), "ik", "left").join(one("ok", "o"), "ok", "left")
+    return both.select(*odd.columns, F.coalesce(fits("i"), fits("o")).alias("found"))
+
+
+def first_alone(found: DataFrame) -> DataFrame:
+    """(k, alone): where a name with parentheses first stands for itself."""
+    return found.where("found is null").groupBy("k").agg(F.min("t").alias("alone"))
+
+
+def with_concept(rows: DataFrame) -> DataFrame:
+    """Rows with found and alone -> with rk: itself once it has stood for itself before, else what was found."""
+    return rows.withColumn("rk", F.when(F.col("alone") < F.col("t"), F.col("k")).otherwise(F.coalesce("found", "k")))
+
+
 def resolve(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """mentions (paper_id, phase, idx, name, ...) with t, their position, and rk, their concept.
 
     A name is its alias's concept; else, if it has parentheses, what the first hold or what stands
     outside, if that is known by then; else itself. Mentions with their aliases are stored, as three
-    parts read them; what parentheses hold and what stands outside is looked up in one join.
+    parts read them. Repeated rows stay repeated. All minima are combined before they are shuffled, so a
+    frequent name's mentions meet in no task.
     """
-    name = F.col("name")
-    m = mentions.withColumns({"t": F.struct("paper_id", "phase", "idx"), "k": canon(name), "paren": has_paren(name)})
-    m = stored(m.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left"))
-    known = m.where("rep is not null or not paren").select(*mentions.columns, "t", F.coalesce("rep", "k").alias("rk"))
-    plain = m.where("rep is null and not paren").groupBy(F.col("k").alias("key")).agg(F.min("t").alias("since"))
-    lookup = aliases.select("key", "rk", F.lit(None).cast(plain.schema["since"].dataType).alias("since")).unionByName(plain.select("key", F.col("key").alias("rk"), "since"))
-    odd = m.where("rep is null and paren")
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), key.alias("key")) for i, key in enumerate((paren_inner(name), paren_outer(name)))]))
-    tried = odd.select("t", "k", F.struct(*mentions.columns).alias("row"), sides.alias("x")).select("t", "k", "row", "x.*").join(lookup, "key", "left")
-    fits = F.when(F.col("since").isNull() | (F.col("since") < F.col("t")), F.col("rk"))
-    best = tried.groupBy("t", "k").agg(F.first("row").alias("row"), F.min(F.when(fits.isNotNull(), F.struct("side", fits.alias("rk")))).alias("found"))
-    alone = F.min(F.when(F.col("found").isNull(), F.col("t"))).over(Window.partitionBy("k"))
-    rk = F.when(F.col("alone") < F.col("t"), F.col("k")).otherwise(F.coalesce("found.rk", "k"))
-    return known.unionByName(best.withColumn("alone", alone).select("row.*", "t", rk.alias("rk")))
+    m = stored(keyed(mentions).join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left"))
+    known = m.where("rep is not null or ik is null").select(*mentions.columns, "t", F.coalesce("rep", "k").alias("rk"))
+    since = m.where("rep is null and ik is null").groupBy("k").agg(F.min("t").alias("since"))
+    odd = stored(with_found(m.where("rep is null and ik is not null").select(*mentions.columns, "t", "k", "ik", "ok"), lookup_table(aliases, since)))
+    return known.unionByName(with_concept(odd.join(first_alone(odd), "k", "left")).select(*mentions.columns, "t", "rk"))
 
 
 def register(resolved: DataFrame, reps: DataFrame) -> DataFrame:

@@ -99,9 +99,10 @@ def node_months(relations: DataFrame, papers: DataFrame) -> DataFrame:
     return relations.join(papers.select("paper_id", "month"), "paper_id").groupBy("rk").agg(F.min("month").alias("month"))
 
 
-def node_paper(view: DataFrame) -> DataFrame:
+def node_paper(graph: Graph) -> DataFrame:
     """(rk, paper_id): the paper that a concept's details are shown from, its first by id; null without one."""
-    return view.select("rk", F.get("papers", F.lit(0)).alias("paper_id"))
+    first = graph.relations.groupBy("rk").agg(F.min("paper_id").alias("paper_id"))
+    return graph.nodes.select("rk").join(first, "rk", "left")
 
 
 def type_counts(papers: DataFrame) -> DataFrame:

@@ -254,9 +254,10 @@ def review_report(spark, sf):
     return review.report(_cards(spark, sf).withColumns({"status": F.lit("pending"), "category": F.col("action"), "reason": F.lit("why")}))
 
 
-@query("attach_cards", f"WITH {CARDS}, {LEX} SELECT lex.label, card.action, card.confidence FROM lex LEFT JOIN (SELECT *, row_number() OVER (ORDER BY label) AS k FROM card WHERE has_card) card ON lex.p_partkey = card.k")
+@query("attach_cards", f"WITH {CARDS}, {LEX} SELECT lex.label, card.action, card.confidence FROM lex LEFT JOIN (SELECT card.*, s_suppkey AS k FROM card JOIN supplier ON s_name = label WHERE has_card) card ON lex.p_partkey = card.k")
 def attach_cards(spark, sf):
-    cards = _cards(spark, sf).where("has_card").withColumn("k", F.row_number().over(Window.orderBy("label")))  # suppliers are few
+    keys = table(spark, sf, "supplier").select(F.col("s_name").alias("label"), F.col("s_suppkey").alias("k"))
+    cards = _cards(spark, sf).where("has_card").join(keys, "label")
     named = enc.lexicon(spark, sf).select(F.col("ord").alias("k"), F.col("label").alias("name"))
     return review.attach_cards(enc.lexicon(spark, sf).select("label"), cards.join(named, "k").select(F.col("name").alias("label"), "action", "confidence")).select("label", "card.action", "card.confidence")
 

@@ -405,7 +405,7 @@ def hit_lines(spark, sf):
 
 @g("node_paper", "SELECT rk, (SELECT min(paper_id) FROM rel WHERE rel.rk = n.rk) AS paper_id FROM node n")
 def node_paper(x):
-    return views.node_paper(views.concept_view(x))
+    return views.node_paper(x)
 
 
 @g("merge_concept", """, k AS (SELECT 'Def' AS d, min(rk) AS a, max(rk) AS b FROM node) SELECT DISTINCT paper_id, CASE WHEN rk = (SELECT a FROM k) THEN (SELECT b FROM k) ELSE rk END AS rk, type FROM rel""")
