@@ -42,8 +42,8 @@ def _joined(items: Column, label: str) -> Column:
 def _extract(texts: list[str]) -> list[dict]:
     found = []
     for text in texts:
-        lines = [x.strip() for x in text.splitlines() if x.strip()] or [""]
-        names = re.findall(r"\b(?:propose|introduce|present)\s+([A-Z][\w-]*(?: [A-Z][\w-]*)*)", text)
+        lines = [x.strip() for x in text.split("\n") if x.strip()] or [""]
+        names = re.findall(r"\b(?:propose|introduce|present)\s+([A-Z][\w-]*(?: [A-Z][\w-]*)*)", text, re.ASCII)
         kind = keyword_gate([text])[0]["type"]
         found.append({"title": lines[0][:300], "task": [], "defines": [{"name": n, "definition": ""} for n in dict.fromkeys(names)], "uses": [], "problem": lines[-1][:300], "domain": "general", "paper_type": kind})
     return found
@@ -51,7 +51,7 @@ def _extract(texts: list[str]) -> list[dict]:
 
 def _relate(texts: list[str]) -> list[dict]:
     built = r"\b(?:build(?:s|ing)? (?:up)?on|extend(?:s|ing)?|based on)\s+([A-Z][\w-]*(?: [A-Z][\w-]*)*)"
-    return [{"builds_on": list(dict.fromkeys(re.findall(built, t)))} for t in texts]
+    return [{"builds_on": list(dict.fromkeys(re.findall(built, t, re.ASCII)))} for t in texts]
 
 
 def _intent(texts: list[str]) -> list[dict]:

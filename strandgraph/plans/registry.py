@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandgraph.plans import queries_flow, queries_graph, queries_state, queries_work
+from strandgraph.plans import queries_files, queries_flow, queries_graph, queries_state, queries_work
 
-_MODULES = (queries_graph, queries_flow, queries_state, queries_work)
+_MODULES = (queries_graph, queries_flow, queries_state, queries_work, queries_files)
 
 
 def queries() -> dict:

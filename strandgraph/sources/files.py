@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.text import after_prefix
 from strandgraph.functions.vectors import normalized
-from strandgraph.sources import schemas
+from strandgraph.sources import rejects, schemas
 
 
 def _id_from_name(suffix: str) -> Column:
@@ -50,6 +50,11 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
+def feed_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of stored feeds as a stream: each file once, whatever restarts there are, files in parallel."""
+    return spark.readStream.format("xml").option("rowTag", "entry").schema(schema).load(path)
+
+
 def pdf_files(spark: SparkSession, folder: str, least: int = 10_000) -> DataFrame:
     """(paper_id, path, length) of stored PDF files that are long enough to be papers."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
@@ -77,9 +82,13 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reviewed(spark: SparkSession, path: str) -> DataFrame:
-    """(rk) of the reviewed set; a file that isn't valid JSON counts as empty."""
-    rows = spark.read.schema(schemas.REVIEWED).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.select(F.explode("reviewed").alias("rk")).distinct()
+    """(rk) of the reviewed set; a file that isn't valid JSON counts as empty (see reviewed_parts)."""
+    return reviewed_parts(spark, path).good.select(F.explode("reviewed").alias("rk")).distinct()
+
+
+def reviewed_parts(spark: SparkSession, path: str) -> rejects.Parted:
+    """The reviewed set's files that can be read, and those that can't, as they are."""
+    return rejects.json_rows(spark, path, "reviewed array<string>", whole_files=True)
 
 
 def embedding_store(rows: DataFrame, model: str) -> DataFrame:
@@ -142,6 +151,12 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.mode("overwrite").text(path)
 
 
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o) of what write_triples wrote; a literal keeps its quotes and escapes."""
+    part = r"^(\S+) (\S+) (.*) \.$"
+    return spark.read.text(path).select(*[F.regexp_extract("value", part, i + 1).alias(c) for i, c in enumerate("spo")])
+
+
 def report_lines(rows: DataFrame, template: str, *columns: str) -> DataFrame:
     """(value): one formatted line a row, for text or Markdown reports."""
     return rows.select(F.format_string(template, *columns).alias("value"))
