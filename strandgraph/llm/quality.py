@@ -54,7 +54,7 @@ class Features:
             self.known.clear()
         known = self.known
         for word in [w for w in {*words} if w not in known]:
-            shape = zlib.crc32(_shape(word[:200]).encode("utf-8", "surrogatepass")) % (SHAPES // 2 - 1)
+            shape = zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % (SHAPES // 2 - 1)
             known[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS * SHAPES + shape
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         again = np.zeros(len(both), np.int64)

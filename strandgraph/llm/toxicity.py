@@ -35,8 +35,8 @@ TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 2400, 50_000
 SETTINGS = ((4, 6.0, 18.0), (3, 6.0, 10.0), (2, 4.0, 6.0))
 #: Bytes of the base and of a class's dictionary, and the trainer's segment and match lengths.
 BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 65_536, 4_096, 48, 8
-#: Words of a base sample; occurrences of telling words that a class's dictionary is trained on, at most.
-BASE_WORDS, SAMPLES = 8, 20_000
+#: Words of a base sample.
+BASE_WORDS = 8
 LEVEL, WINDOW_BYTES = 9, 64
 TAIL = b" 0123456789abcdef "
 MAX_GAIN = 8
@@ -77,7 +77,8 @@ def telling(own: dict[bytes, int], other: dict[bytes, int], setting: tuple[int,
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """What the trainer puts together from samples; the samples themselves where they are too few for it."""
+    """What the trainer puts together from samples. It refuses too few of them (a small table has some tens
+    of toxic rows); their own bytes, the last ones, are the dictionary then, which zstandard takes as well."""
     import zstandard
 
     try:
@@ -100,7 +101,7 @@ class Trainer:
         out = []
         for own, other, texts in ((*self.contexts, self.texts[0]), (*self.contexts[::-1], self.texts[1])):
             words = telling(own, other, setting)
-            places = [b" " + w + b" " for t in texts for w in tokens(t) if w in words][:SAMPLES]
+            places = [b" " + w + b" " for t in texts for w in tokens(t) if w in words]
             out.append(_trained(places, CLASS_BYTES) + self.base + TAIL)
         return out[0], out[1]
 
