@@ -1,4 +1,4 @@
-"""python -m strandgraph TABLES [--rebuild] [--audit] [--apply PLAN.csv] [--dry-run] [--command TEXT]: the engine's jobs."""
+"""python -m strandgraph TABLES [--extract [--force] [--smoke]] [--incremental] [--rebuild] [--audit] [--apply PLAN.csv] [--dry-run] [--command TEXT]: the engine's jobs."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from strandgraph.sources.files import read_csv
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="strandgraph")
     parser.add_argument("tables", help="folder of the catalog")
+    parser.add_argument("--extract", action="store_true", help="extract the parsed papers that haven't been yet")
+    parser.add_argument("--force", action="store_true", help="with --extract: also those that have been")
+    parser.add_argument("--smoke", action="store_true", help="with --extract: the first two papers only")
+    parser.add_argument("--incremental", action="store_true", help="carry new extractions into the graph")
     parser.add_argument("--rebuild", action="store_true", help="normalize all mentions and store the graph")
     parser.add_argument("--audit", action="store_true", help="show where the stored graph drifts from its sources")
     parser.add_argument("--apply", metavar="PLAN", help="CSV of label, new_status for all pending concepts")
@@ -34,6 +38,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         changed.where("changed").select("label", "status").show(50, truncate=False)
         if not given.dry_run:
             engine.catalog.write("lexicon", changed.drop("changed"))
+    if given.extract:
+        print(engine.extract(force=given.force, first=2 if given.smoke else None))
+    if given.incremental:
+        print({"papers": engine.take_in()})
     if given.rebuild:
         print(engine.rebuild())
     if given.audit:

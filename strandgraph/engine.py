@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import annotators, prompts
 from strandgraph.functions.text import STATUSES, canon, excerpt, extract_target, id_month, norm_id
 from strandgraph.functions.vectors import top_k
-from strandgraph.operators import audit, dml, explore, queue, review, views, workflow
+from strandgraph.operators import audit, dml, explore, incremental, queue, review, views, workflow
 from strandgraph.operators.normalize import Graph
 from strandgraph.sources import files
 from strandgraph.sources.catalog import Catalog, Conflict, Draft
@@ -43,6 +43,44 @@ class Engine:
                 raise RuntimeError(f"the stored {name} differ from their sources in {drift} rows")
         return {t: self.catalog.read(t).count() for t in ("nodes", "relations", "paper_nodes")}
 
+    def extract(self, call: Callable | None = None, force: bool = False, first: int | None = None, **how: object) -> dict[str, int]:
+        """Extract the parsed papers (paper_id, text) that haven't been yet: how many are new, skipped, failed.
+
+        Results go to extractions, what was asked to extract_log. A paper that fails stays to be asked
+        again and stops no other. first takes the first papers by id only, for a trial.
+        """
+        state = self.catalog.last()
+        papers = state.read("parsed").select("paper_id", "text")
+        papers = papers.orderBy("paper_id").limit(first) if first else papers
+        none = f"id {papers.schema['paper_id'].dataType.simpleString()}, prompt_ver string, ok boolean, error string"
+        done = state.read("extract_log") if "extract_log" in state else self.spark.createDataFrame([], none)
+        told = stored(annotators.fill(papers, done, prompts.EXTRACT, F.col("text"), id_col="paper_id", force=force, call=call, **how))
+        new = stored(told.where("ok").select(F.col("id").alias("paper_id"), "title", "task", "defines", "uses", "problem", "domain", "paper_type"))
+        log = told.select("id", "prompt_ver", "ok", "error")
+
+        def keep(draft: Draft) -> None:
+            rest = draft.read("extractions").join(new, "paper_id", "left_anti").unionByName(new, allowMissingColumns=True) if "extractions" in draft else new
+            draft.write("extractions", stored(rest))
+            draft.append("extract_log", log)
+
+        self.catalog.transact(keep)
+        n = told.agg(F.count_if("ok").alias("new"), F.count_if(~F.col("ok")).alias("failed")).first()
+        return {"new": n["new"], "skipped": papers.count() - n["new"] - n["failed"], "failed": n["failed"]}
+
+    def take_in(self) -> int:
+        """Carry extractions (with relations, where there are any) that the graph doesn't have yet into it,
+        by what they change: the number of papers."""
+        state = self.catalog.last()
+        have = state.read("papers").select("paper_id") if "papers" in state else None
+        new = state.read("extractions") if have is None else state.read("extractions").join(have, "paper_id", "left_anti")
+        new = stored(new)
+        none = self.spark.createDataFrame([], f"paper_id {new.schema['paper_id'].dataType.simpleString()}, builds_on array<string>")
+        both = files.with_relations(new, state.read("relation_files") if "relation_files" in state else none)
+        n = new.count()
+        if n:
+            incremental.ingest_batch(self.catalog, stored(files.mentions(both)), new.select("paper_id", "title", "problem", "domain", "paper_type"))
+        return n
+
     def graph_view(self, include_papers: bool = False) -> dict[str, DataFrame]:
         out = views.graph_view(self.graph(), include_papers)
         out["nodes"] = explore.with_reviewed(out["nodes"], self.reviewed())

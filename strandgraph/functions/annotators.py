@@ -119,6 +119,15 @@ def missing(rows: DataFrame, done: DataFrame, version: str, id_col: str = "id")
     return rows.join(have, id_col, "left_anti")
 
 
+def fill(rows: DataFrame, done: DataFrame, prompt: Prompt, *columns: Column, id_col: str = "id", force: bool = False, **how: object) -> DataFrame:
+    """Annotations of the rows that `done` has none of in the prompt's version, or of all with force.
+
+    Rows that failed before are asked again; a failure is its row's own and the others go on.
+    """
+    todo = rows if force else missing(rows, done, prompt.version, id_col)
+    return ask(todo, prompt, *columns, id_col=id_col, **how)
+
+
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[dict]:
     """An offline stand-in for an embedding model: hashed words, signed."""
     out = []

@@ -82,6 +82,16 @@ def merge(records: DataFrame, sources: tuple[str, ...] = SOURCES, tags: tuple[st
     return grouped.select("title", "paper_id", ordered(F.col("ss"), sources).alias("source"), ordered(F.col("ts"), tags).alias("tag"))
 
 
+def by_place(merged: DataFrame) -> list[Column]:
+    """The order of the list of candidates: sources, tags, title in lower case; paper_id tells ties apart."""
+    return [F.col("source"), F.col("tag"), F.lower("title"), F.col("title"), F.col("paper_id")]
+
+
+def listed(merged: DataFrame) -> DataFrame:
+    """Candidates in the order of the list, as a sorted table (sorted by ranges, so in no single task)."""
+    return merged.orderBy(*by_place(merged))
+
+
 def corpus_ids(*parts: DataFrame) -> DataFrame:
     """(paper_id): the ids of all parts of the corpus, each once."""
     out = parts[0].select("paper_id")

@@ -489,6 +489,13 @@ def merge_candidates(spark, sf):
     return candidates.merge(candidates.backfill(_records(spark, sf)))
 
 
+@query("candidates_listed", f"WITH {_MERGED} SELECT title, paper_id, source, tag, row_number() OVER (PARTITION BY source ORDER BY tag, lower(title), title, paper_id) AS place FROM merged")
+def candidates_listed(spark, sf):
+    """Candidates with their place among those of their sources."""
+    merged = candidates.merge(candidates.backfill(_records(spark, sf)))
+    return merged.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(*candidates.by_place(merged)[1:])))
+
+
 def _flagged(spark, sf) -> DataFrame:
     corpus = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("source").alias("paper_id"))
     return candidates.in_corpus(candidates.merge(candidates.backfill(_records(spark, sf))), corpus)

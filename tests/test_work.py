@@ -217,3 +217,54 @@ def test_usage_windows_drop_late_rows(spark, tmp_path):
         stream = ingest.windowed_usage(spark.readStream.schema(schema).parquet(given))
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert {(r.start.hour, r.calls) for r in spark.read.parquet(out).collect()} == {(0, 2), (5, 2)}
+
+
+def test_extraction_skips_what_is_done(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "tables"))
+    catalog.write("parsed", spark.createDataFrame([(f"p{i}", f"Title {i}\nWe introduce Net{i} X here." if i != 2 else None) for i in range(4)], "paper_id string, text string"))
+    catalog.write("lexicon", spark.createDataFrame([], "ord long, label string, aliases array<string>, status string, definition string, source string, first_seen string"))
+    engine = Engine(spark, catalog)
+    assert engine.extract(first=2) == {"new": 2, "skipped": 0, "failed": 0}
+    assert engine.extract() == {"new": 1, "skipped": 2, "failed": 1}
+    assert engine.extract() == {"new": 0, "skipped": 3, "failed": 1}  # a failure is tried again
+    assert engine.take_in() == 3 and engine.take_in() == 0
+    assert {r.canonical for r in catalog.read("nodes").collect()} == {"Net0 X", "Net1 X", "Net3 X"}
+    assert engine.extract(force=True) == {"new": 3, "skipped": 0, "failed": 1} and catalog.read("extractions").count() == 3
+
+
+def test_candidates_come_in_order(spark):
+    from strandgraph.operators import candidates
+
+    rows = [("b", "1", "s1;s2", "x"), ("B", "2", "s1", "y"), ("a", "3", "s1", "y"), ("A", "4", "s1", "x")]
+    out = candidates.listed(spark.createDataFrame(rows, "title string, paper_id string, source string, tag string").repartition(3)).collect()
+    assert [r.paper_id for r in out] == ["4", "3", "2", "1"]
+
+
+def test_rejected_rows_stand_beside_good_ones(spark, tmp_path):
+    from strandgraph.sources import files, rejects
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text('{"paper_id": "p", "title": "T", "paper_type": "survey", "defines": []}\n{broken\n{"paper_id": "q", "title": " ", "paper_type": "poem", "defines": [{"name": null}]}\n{"paper_id": "r"}\n')
+    schema = "paper_id string, title string, paper_type string, defines array<struct<name string, definition string>>"
+    done = rejects.json_rows(spark, str(tmp_path / "a"), schema, rejects.extraction_rules())
+    assert [r.paper_id for r in done.good.collect()] == ["p"]
+    assert sorted((len(r.row) > 0, r.reasons) for r in done.rejected.collect()) == sorted([
+        (True, ["not readable"]), (True, ["no title", "unknown paper_type", "a definition without a name"]), (True, ["no title", "unknown paper_type", "no list of definitions"])])
+    (tmp_path / "seen.json").write_text("{broken")
+    parts = files.reviewed_parts(spark, str(tmp_path / "seen.json"))
+    assert parts.good.count() == 0 and parts.rejected.first().row == "{broken"
+    (tmp_path / "t.csv").write_text('n,s\n1,"a, ""b"""\nx,c\n2,d,e\n3,f\n')
+    done = rejects.csv_rows(spark, str(tmp_path / "t.csv"), "n int, s string", {"f": F.col("s") == "f"})
+    assert [(r.n, r.s) for r in done.good.collect()] == [(1, 'a, "b"')] and sorted(r.reasons for r in done.rejected.collect()) == [["f"], ["not readable"], ["not readable"]]
+
+
+def test_feeds_are_read_once_whatever_restarts(spark, tmp_path):
+    from strandgraph.sources import files
+
+    given, out, checkpoint = (tmp_path / x for x in ("in", "out", "checkpoint"))
+    given.mkdir()
+    for k in range(3):
+        (given / f"{9 - k}.xml").write_text(f"<feed><entry><id>{k}</id></entry><entry><id>{k}b</id></entry></feed>")
+        stream = files.feed_stream(spark, str(given), "id string")
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(out)).collect()) == ["0", "0b", "1", "1b", "2", "2b"]
