@@ -25,8 +25,8 @@ class Engine:
     cards, parsed, extractions, embeddings, sessions (optional).
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog):
-        self.spark, self.catalog = spark, catalog
+    def __init__(self, spark: SparkSession, catalog: Catalog, settings: prompts.Settings | None = None):
+        self.spark, self.catalog, self.settings = spark, catalog, settings or prompts.Settings()
 
     def graph(self) -> Graph:
         return Graph(*(self.catalog.read(t) for t in ("mentions", "papers", "lexicon")))
@@ -182,11 +182,13 @@ class Engine:
         papers = graph.papers if "month" in graph.papers.columns else graph.papers.withColumn("month", id_month(F.col("paper_id").cast("string")))
         return views.node_months(graph.relations, papers)
 
-    def search(self, text: str, embed: Callable[[list[str]], list[dict]], model: str, k: int = 8) -> DataFrame:
+    def search(self, text: str, embed: Callable[[list[str]], list[dict]], model: str = "", k: int = 8) -> DataFrame:
         """(kind, node_id, score) of the concepts and the papers nearest in meaning, k of each, live ones only.
 
         embed makes the text's vector, as it made the stored ones: a model that made none of them is an error.
+        Without a name the model is that of the settings.
         """
+        model = model or self.settings.embedding
         if self.catalog.read("embeddings").where(F.col("model") == model).isEmpty():
             raise ValueError(f"no stored vector was made by {model!r}")
         query = self.spark.createDataFrame([(embed([text])[0]["vector"],)], "vector array<double>")

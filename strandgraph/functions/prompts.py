@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Settings:
-    """Names of the models that clients call."""
+    """Names of the models that clients call; the embedding model is that of the stored vectors."""
 
     extract: str = "small"
     relate: str = "full"

@@ -159,8 +159,11 @@ def test_session_asks_little_and_tells_what_is_known(spark, tmp_path):
     assert len(ledger) == 25 and ledger["2403.00003"] == ("technique", True) and ledger["2401.00001"] == ("survey", False)
     stages = {r.stage: r["count"] for r in engine.catalog.read("calls").groupBy("stage").count().collect()}
     assert stages == {"parse_intent": 3, "expand": 2, "gate": 20, "extract": 2}
+    for model in ("another model", ""):  # no stored vector is of it, nor of the settings' model
+        with pytest.raises(ValueError):
+            engine.search("x", annotators.hashed_embedding, model)
     with pytest.raises(ValueError):
-        engine.search("x", annotators.hashed_embedding, "another model")
+        engine.patch_concept("B", source="C")  # no field that clients may set
 
     def go():
         try:
