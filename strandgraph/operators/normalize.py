@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import NODE_OK, canon, defaulted, has_paren, paren_inner, paren_outer
@@ -29,11 +29,16 @@ def representatives(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy(canon(F.col("label")).alias("rk")).agg(F.max_by(F.struct("label", "status", "definition"), "ord").alias("x")).select("rk", "x.label", "x.status", "x.definition")
 
 
-def keyed(mentions: DataFrame) -> DataFrame:
-    """mentions with t, k and, for names with parentheses, ik and ok: what they hold, what stands outside."""
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Rows (name, ...) with k and, for names with parentheses, ik and ok: what they hold, what stands outside."""
     name = F.col("name")
     inside = lambda c: F.when(has_paren(name), c)
-    return mentions.select("*", F.struct("paper_id", "phase", "idx").alias("t"), canon(name).alias("k"), inside(paren_inner(name)).alias("ik"), inside(paren_outer(name)).alias("ok"))
+    return rows.select("*", canon(name).alias("k"), inside(paren_inner(name)).alias("ik"), inside(paren_outer(name)).alias("ok"))
+
+
+def keyed(mentions: DataFrame) -> DataFrame:
+    """mentions with t, their position, and their keys."""
+    return with_keys(mentions.select("*", F.struct("paper_id", "phase", "idx").alias("t")))
 
 
 def lookup_table(aliases: DataFrame, since: DataFrame) -> DataFrame:
@@ -42,13 +47,21 @@ def lookup_table(aliases: DataFrame, since: DataFrame) -> DataFrame:
     return aliases.select("key", "rk", none).unionByName(since.select(F.col("k").alias("key"), F.col("k").alias("rk"), "since"))
 
 
-def with_found(odd: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Rows with parentheses (t, ik, ok) with found: the concept of the inside, else of the outside, if known
-    before the row. A key has one row in lookup, so every row stays one row."""
+def with_sides(odd: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Rows with parentheses (ik, ok, ...) with the concepts of the inside (i_rk) and of the outside (o_rk), and
+    since when these are known. A key has one row in lookup, so every row stays one row."""
     one = lambda side, new: lookup.select(F.col("key").alias(side), F.col("rk").alias(f"{new}_rk"), F.col("since").alias(f"{new}_since"))
-    fits = lambda n: F.when(F.col(f"{n}_since").isNull() | (F.col(f"{n}_since") < F.col("t")), F.col(f"{n}_rk"))
-    both = odd.join(one("ik", "i"), "ik", "left").join(one("ok", "o"), "ok", "left")
-    return both.select(*odd.columns, F.coalesce(fits("i"), fits("o")).alias("found"))
+    return odd.join(one("ik", "i"), "ik", "left").join(one("ok", "o"), "ok", "left")
+
+
+def found_at(t: str) -> Column:
+    """The concept of the inside, else of the outside, if it is known before place t."""
+    return F.coalesce(*(F.when(F.col(f"{n}_since").isNull() | (F.col(f"{n}_since") < F.col(t)), F.col(f"{n}_rk")) for n in "io"))
+
+
+def with_found(odd: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Rows with parentheses (t, ik, ok) with found: the concept that their place finds."""
+    return with_sides(odd, lookup).select(*odd.columns, found_at("t").alias("found"))
 
 
 def first_alone(found: DataFrame) -> DataFrame:
@@ -65,15 +78,23 @@ def resolve(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """mentions (paper_id, phase, idx, name, ...) with t, their position, and rk, their concept.
 
     A name is its alias's concept; else, if it has parentheses, what the first hold or what stands
-    outside, if that is known by then; else itself. Mentions with their aliases are stored, as three
-    parts read them. Repeated rows stay repeated. All minima are combined before they are shuffled, so a
-    frequent name's mentions meet in no task.
+    outside, if that is known by then; else itself. Keys are made and looked up once a distinct name:
+    what a place finds only grows along the places, so a name's first place tells whether it ever stands
+    for itself, and each mention needs one join by name. Mentions are stored, as two passes read them.
+    Repeated rows stay repeated; a null name has no concept. All minima are combined before they are
+    shuffled, so a frequent name's mentions meet in no task.
     """
-    m = stored(keyed(mentions).join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left"))
-    known = m.where("rep is not null or ik is null").select(*mentions.columns, "t", F.coalesce("rep", "k").alias("rk"))
-    since = m.where("rep is null and ik is null").groupBy("k").agg(F.min("t").alias("since"))
-    odd = stored(with_found(m.where("rep is null and ik is not null").select(*mentions.columns, "t", "k", "ik", "ok"), lookup_table(aliases, since)))
-    return known.unionByName(with_concept(odd.join(first_alone(odd), "k", "left")).select(*mentions.columns, "t", "rk"))
+    m = stored(mentions.select("*", F.struct("paper_id", "phase", "idx").alias("t")))
+    first = with_keys(m.groupBy("name").agg(F.min("t").alias("first")))
+    names = stored(first.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left"))
+    since = names.where("rep is null and ik is null").groupBy("k").agg(F.min("first").alias("since"))
+    odd = with_sides(names.where("rep is null and ik is not null").select("name", "k", "ik", "ok", "first"), lookup_table(aliases, since))
+    odd = stored(odd.select("name", "k", "first", "i_rk", "i_since", "o_rk", "o_since"))
+    alone = first_alone(odd.select("k", F.col("first").alias("t"), found_at("first").alias("found")))
+    plain = names.where("rep is not null or ik is null").select("name", F.coalesce("rep", "k").alias("fixed"))
+    said = plain.unionByName(odd.drop("first").join(alone, "k", "left"), allowMissingColumns=True)
+    rk = F.coalesce("fixed", F.when(F.col("alone") < F.col("t"), F.col("k")), found_at("t"), "k")
+    return m.join(said, "name", "left").select(*mentions.columns, "t", rk.alias("rk"))
 
 
 def register(resolved: DataFrame, reps: DataFrame) -> DataFrame:
