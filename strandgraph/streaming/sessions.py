@@ -16,17 +16,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandgraph.operators.workflow import stage_after
 
-COLUMNS = ["thread_id", "seq", "at", "event_id", "decision", "stage"]
 #: The stage in which a session waits after each step of the workflow.
 WAITS_IN = {"parse": "interpret", "expand": "approve", "gate": "extract_confirm", "extract": "report"}
 EXPIRED = "expired"
+_STEP = Row("thread_id", "seq", "at", "event_id", "decision", "stage")
 
 
 def next_stage(stage: str | None, decision: str) -> str:
@@ -38,47 +37,50 @@ def next_stage(stage: str | None, decision: str) -> str:
 
 
 class _Steps(StatefulProcessor):
+    """A thread's state is one value: read once and written once a batch, however many events the thread has in it.
+    Ids that are too old to come again go whenever it is written."""
+
     def __init__(self, idle: timedelta, kept: timedelta):
         self.idle_ms, self.kept_ms = (int(x.total_seconds() * 1000) for x in (idle, kept))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "seq long, stage string, due long")
-        self.seen = handle.getMapState("seen", "event_id string", "at long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        seq, stage, due = self.now.get() if self.now.exists() else (0, None, None)
-        out, armed = [], due
-        for r in new.itertuples(index=False):
-            if self.seen.containsKey((r.event_id,)):
+        self.now = handle.getValueState("now", "seq long, stage string, due long, ids array<string>, at array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = sorted(((r.at, r.event_id, r.decision) for r in rows), key=lambda r: r[:2])
+        now = self.now.get()
+        seq, stage, due, ids, ats = now if now is not None else (0, None, None, [], [])
+        seen, out, armed = dict(zip(ids, ats)), [], due
+        for at, event_id, decision in new:
+            if event_id in seen:
                 continue
-            at = int(r.at)
-            self.seen.updateValue((r.event_id,), (at // 1000,))
+            seen[event_id] = at // 1000
             if due is not None and at // 1000 >= due and stage != "report":  # the timer's time came within this batch
                 seq, stage = seq + 1, "report"
-                out.append((key[0], seq, due * 1000, None, EXPIRED, stage))
-            seq, stage = seq + 1, next_stage(stage, r.decision)
-            out.append((key[0], seq, at, r.event_id, r.decision, stage))
+                out.append(_STEP(key[0], seq, due * 1000, None, EXPIRED, stage))
+            seq, stage = seq + 1, next_stage(stage, decision)
+            out.append(_STEP(key[0], seq, at, event_id, decision, stage))
             due = at // 1000 + self.idle_ms
         if out:
             if armed is not None:
                 self.handle.deleteTimer(armed)
             self.handle.registerTimer(due)
-            self.now.update((seq, stage, due))
-        yield pd.DataFrame(out, columns=COLUMNS)
+            self._keep(seq, stage, due, seen, timerValues.getCurrentWatermarkInMs())
+        return iter(out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, stage, due = self.now.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seq, stage, due, ids, ats = self.now.get()
         out = []
         if stage != "report":
             seq, stage = seq + 1, "report"
-            out.append((key[0], seq, due * 1000, None, EXPIRED, stage))
-        self.now.update((seq, stage, None))
-        for event_id, seen_at in [(k[0], v[0]) for k, v in self.seen.iterator()]:
-            if seen_at < expiredTimerInfo.getExpiryTimeInMs() - self.kept_ms:
-                self.seen.removeKey((event_id,))
-        yield pd.DataFrame(out, columns=COLUMNS)
+            out.append(_STEP(key[0], seq, due * 1000, None, EXPIRED, stage))
+        self._keep(seq, stage, None, dict(zip(ids, ats)), expiredTimerInfo.getExpiryTimeInMs())
+        return iter(out)
+
+    def _keep(self, seq: int, stage: str, due: int | None, seen: dict[str, int], now: int) -> None:
+        seen = {k: v for k, v in seen.items() if v >= now - self.kept_ms}
+        self.now.update((seq, stage, due, list(seen), list(seen.values())))
 
     def close(self) -> None:
         pass
@@ -94,7 +96,7 @@ def steps(events: DataFrame, late: str = "1 hour", idle: timedelta = timedelta(d
     picked = events.select("thread_id", F.col("event_id").cast("string").alias("event_id"), ts.alias("ts"), F.unix_micros(ts).alias("at"), "decision")
     keyed = picked.withWatermark("ts", late).groupBy("thread_id")
     schema = f"thread_id {key}, seq long, at long, event_id string, decision string, stage string"
-    out = keyed.transformWithStateInPandas(statefulProcessor=_Steps(idle, kept), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    out = keyed.transformWithState(statefulProcessor=_Steps(idle, kept), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.select("thread_id", "seq", F.timestamp_micros("at").alias("ts"), "event_id", "decision", "stage")
 
 

@@ -7,6 +7,7 @@ import uuid
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandgraph.engine import Engine, Session
@@ -271,3 +272,33 @@ def test_feeds_are_read_once_whatever_restarts(spark, tmp_path):
         stream = files.feed_stream(spark, str(given), "id string")
         stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(out)).collect()) == ["0", "0b", "1", "1b", "2", "2b"]
+
+
+def test_a_threads_state_is_read_and_written_once_a_batch():
+    """However many events a thread has in a batch, its state takes a fixed number of calls; ids that are too old go."""
+    calls = []
+
+    class Value:
+        kept = None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, new):
+            calls.append("update")
+            self.kept = new
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 100
+
+    steps = sessions._Steps(timedelta(days=1), timedelta(milliseconds=50))
+    steps.init(Handle())
+    rows = [Row(at=n * 1000, event_id=str(n), decision="proceed") for n in range(300)]
+    assert len(list(steps.handleInputRows((1,), iter(rows + rows), Times()))) == 300
+    assert len(calls) <= 4 and steps.now.kept[3] == [str(n) for n in range(50, 300)]
+    assert list(steps.handleInputRows((1,), iter(rows[50:]), Times())) == []
