@@ -61,25 +61,41 @@ def _kind() -> Column:
 
 
 def build(draft: Draft, mentions: DataFrame, papers: DataFrame, lexicon: DataFrame, buckets: int = 64) -> None:
-    """All tables from all mentions."""
-    rows = stored(parsed(mentions))
+    """All tables from all mentions. What hangs on names is made from distinct names; mentions are written in
+    their table, joined once with their names and written by concept, and read back from there."""
+    draft.write("mentions", mentions.select(*RAW), KEYS["mentions"], buckets)
+    m = draft.read("mentions")
     aliases = stored(normalize.alias_map(lexicon))
-    known = rows.join(aliases.select(F.col("key").alias("k"), F.col("rk").alias("rep")), "k", "left")
-    plain = known.where("rep is null and ik is null")
-    since = stored(plain.groupBy("k").agg(F.min("t").alias("since")))
-    odd = stored(normalize.with_found(known.where("rep is null and ik is not null").select(*rows.columns), normalize.lookup_table(aliases, since)))
-    alone = normalize.first_alone(odd)
-    odd = stored(normalize.with_concept(odd.join(alone, "k", "left")).select(*rows.columns, "rk"))
-    every = stored(known.where("rep is not null or ik is null").select(*rows.columns, F.coalesce("rep", "k").alias("rk")).unionByName(odd))
-    concepts = stored(summed(every))
-    found = stored(as_nodes(concepts, normalize.representatives(lexicon)))
-    names = since.join(alone, "k", "full_outer")
-    tables = {
-        "mentions": mentions.select(*RAW), "papers": papers, "aliases": aliases, "odd": odd, "sides": sides(odd), "names": names.select("k", "since", "alone"), "by_concept": every,
-        "concepts": concepts, "nodes": found.where("is_node").select(*NODE), "relations": every.join(found.where("is_node").select("rk"), "rk", "left_semi").select("paper_id", "rk", _kind()).distinct(),
-    }
-    for name, frame in tables.items():
-        draft.write(name, frame, KEYS[name], buckets)
+    names = normalize.settle(normalize.places(m), aliases)
+    varying = normalize.varying(m, names)
+    keys = names.select("name", "k", "ik", "ok", F.col("fixed").alias("rk"), "varies")
+    columns = [*RAW, normalize.t_of(), "k", "ik", "ok", "rk"]
+    every = m.join(keys, "name", "left").where(~F.coalesce("varies", F.lit(False))).select(*columns)
+    if varying is not None:
+        every = every.unionByName(varying.join(keys.select("name", "k", "ik", "ok"), "name").select(*columns))
+    draft.write("by_concept", every, KEYS["by_concept"], buckets)
+    every = draft.read("by_concept")
+
+    is_odd = "not known and ik is not null"
+    odd = every.where("ik is not null").join(names.where("known and ik is not null").select("name"), "name", "left_anti").select(*every.columns)
+    at = lambda c: normalize.t_at(F.col(c), m)
+    since = names.where("not known and ik is null").groupBy("k").agg(F.min("first").alias("since")).select("k", at("since").alias("since"))
+    alone = names.where("alone is not null").groupBy("k").agg(F.min("alone").alias("alone")).select("k", at("alone").alias("alone"))
+    draft.write("names", since.join(alone, "k", "full_outer").select("k", "since", "alone"), KEYS["names"], buckets)
+    draft.write("odd", odd, KEYS["odd"], buckets)
+    draft.write("sides", sides(names.where(is_odd)), KEYS["sides"], buckets)
+    draft.write("aliases", aliases, KEYS["aliases"], buckets)
+    draft.write("papers", papers, KEYS["papers"], buckets)
+
+    found = normalize.firsts(names, varying)
+    phase = F.when(F.col("opened") == F.col("first.at"), 0).otherwise(1).cast(m.schema["phase"].dataType)
+    found = found.select("rk", F.struct(at("first.at").alias("t"), F.col("first.name").alias("name"), phase.alias("phase")).alias("first"))
+    said = summed(every.where(normalize.says(every))).select("rk", "said", "n_said")
+    concepts = found.join(said, "rk", "left").select("rk", "first", "said", F.coalesce("n_said", F.lit(0)).alias("n_said"))
+    draft.write("concepts", concepts.where("rk is not null").unionByName(summed(every.where("rk is null"))), KEYS["concepts"], buckets)
+    nodes = as_nodes(draft.read("concepts"), normalize.representatives(lexicon)).where("is_node").select(*NODE)
+    draft.write("nodes", nodes, KEYS["nodes"], buckets)
+    draft.write("relations", every.join(draft.read("nodes").select("rk"), "rk", "left_semi").select("paper_id", "rk", _kind()).distinct(), KEYS["relations"], buckets)
     if "lexicon" not in draft:
         draft.write("lexicon", lexicon)
     draft.tables["aliases"]["of_lexicon"] = draft.tables["lexicon"]["version"]
@@ -208,7 +224,7 @@ def merge(draft: Draft, mentions: DataFrame, papers: DataFrame, buckets: int = 6
     if "mentions" in draft:
         mentions = draft.read("mentions").select(*RAW).join(ids, "paper_id", "left_anti").unionByName(mentions.select(*RAW))
         papers = draft.read("papers").join(ids, "paper_id", "left_anti").unionByName(papers, allowMissingColumns=True)
-    build(draft, stored(mentions), stored(papers), draft.read("lexicon"), buckets)
+    build(draft, mentions, papers, draft.read("lexicon"), buckets)
 
 
 def ingest_batch(catalog: Catalog, mentions: DataFrame, papers: DataFrame, buckets: int = 64) -> State:
