@@ -57,17 +57,16 @@ def add_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_concept(relations: DataFrame, nodes: DataFrame, papers: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(relations, nodes, papers) with src merged into dst.
+    """(relations, a set of rows, nodes, papers) with src merged into dst.
 
     Edges and anchors move, repeats fall together, an empty definition is inherited, src goes. If
     dst is no node, src's edges go with it.
     """
     if src == dst:
         return relations, nodes, papers
-    to = F.when(F.col("rk") == src, dst).otherwise(F.col("rk"))
     live = nodes.where(F.col("rk") == dst).select("rk")
-    moved = relations.withColumn("rk", to).distinct()
-    moved = moved.where(F.col("rk") != dst).unionByName(moved.where(F.col("rk") == dst).join(F.broadcast(live), "rk", "left_semi").select(*moved.columns))
+    both = relations.where(F.col("rk").isin(src, dst)).withColumn("rk", F.lit(dst)).distinct()  # all others are a set before and after
+    moved = relations.where(~F.col("rk").isin(src, dst)).unionByName(both.join(F.broadcast(live), "rk", "left_semi").select(*relations.columns))
     given = F.broadcast(nodes.where(F.col("rk") == src).select(F.lit(dst).alias("rk"), F.col("definition").alias("d2"), F.col("def_status").alias("s2")))
     joined = nodes.where(F.col("rk") != src).join(given, "rk", "left")
     empty = (F.col("rk") == dst) & (F.coalesce("definition", F.lit("")) == "") & F.col("s2").isNotNull()

@@ -6,7 +6,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.operators import dml, incremental
+from strandgraph.engine import Engine
+from strandgraph.operators import audit, dml, incremental, normalize
 from strandgraph.operators.normalize import Graph
 from strandgraph.sources.catalog import Broken, Catalog, Conflict, Draft
 
@@ -145,3 +146,29 @@ def test_a_small_batch_reads_few_buckets(spark, tmp_path, monkeypatch):
     new = spark.createDataFrame([("p99999", 0, 0, "name 5", "d"), ("p99999", 1, 0, "fresh (name 6)", "")], MENTION)
     incremental.ingest_batch(catalog, new, spark.createDataFrame([("p99999", None, None, None, None)], PAPER))
     assert read and all(t == "lexicon" or (b is not None and len(b) <= 4) for t, b in read), read
+
+
+def test_a_build_writes_mentions_in_their_tables_only(spark, tmp_path, monkeypatch):
+    """Mentions aren't stored aside on the way: each is written as it is, and by its concept."""
+    aside, keep = [], incremental.stored
+    monkeypatch.setattr(incremental, "stored", lambda rows: (aside.append(rows.columns), keep(rows))[1])
+    mentions = spark.createDataFrame([("p1", 0, 0, "Late (Y)", "d"), ("p2", 0, 0, "y", ""), ("p3", 1, 0, "late (y)", ""), ("p3", 1, 1, None, "")], MENTION)
+    papers = spark.createDataFrame([(p, p, "", None, None) for p in ("p1", "p2", "p3")], PAPER)
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.write("lexicon", spark.createDataFrame([], LEXICON))
+    state = incremental.ingest_batch(catalog, mentions, papers, buckets=4)
+    assert not [c for c in aside if "idx" in c]
+    assert [r.rk for r in state.read("by_concept").orderBy("paper_id", "idx").collect()] == ["late (y)", "y", "late (y)", None]
+    assert state.read("concepts").where("rk = 'late (y)'").first().said.definition == "d"
+
+
+def test_a_rebuild_normalizes_once(spark, tmp_path, monkeypatch):
+    times, settle = [], normalize.settle
+    monkeypatch.setattr(normalize, "settle", lambda *a: (times.append(1), settle(*a))[1])
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.write("mentions", spark.createDataFrame([("p1", 0, 0, "A", "d"), ("p1", 1, 0, "B", "")], MENTION))
+    catalog.write("papers", spark.createDataFrame([("p1", "t", "", None, None)], PAPER))
+    catalog.write("lexicon", spark.createDataFrame([], LEXICON))
+    assert Engine(spark, catalog).rebuild() == {"nodes": 1, "relations": 1, "paper_nodes": 1} and len(times) == 1
+    rows = catalog.read("relations")
+    assert audit.digest(rows) == audit.digest(rows.repartition(3)) != audit.digest(rows.withColumn("rk", F.lit(None).cast("string")))
