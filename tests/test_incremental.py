@@ -86,6 +86,26 @@ def test_upsert_rewrites_the_buckets_of_its_keys(spark, tmp_path):
     assert catalog.read("concepts").count() == 520 and max(sum(p[0] == b for p in catalog.last().tables["concepts"]["parts"]) for b in range(16)) <= 17
 
 
+def test_hidden_rows_are_left_out_and_their_buckets_stay(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    frame = lambda *rows: spark.createDataFrame(rows, "k long, v string")
+    catalog.write("t", frame(*((i, str(i)) for i in range(40)), (None, None), (None, "x")), "k", 4)
+    first = catalog.last().tables["t"]["parts"]
+    one = catalog.transact(lambda d: d.hide("t", frame((3, "3"), (4, "no"), (None, None)), frame((3, "new"), (90, "y")), ["k", "v"]))
+    want = sorted([(i, str(i)) for i in range(40) if i != 3] + [(3, "new"), (90, "y"), (None, "x")], key=str)
+    shown = lambda state, *keys: sorted((tuple(r) for r in state.read("t", *keys).collect()), key=str)
+    assert shown(one) == want and [p for p in one.tables["t"]["parts"] if p in first] == first
+    assert shown(one, spark.createDataFrame([(3,), (4,), (91,)], "k int")) == [(3, "new"), (4, "4")]
+    assert sorted(r.k for r in one.known("t", spark.createDataFrame([(3,), (4,), (91,)], "k long")).collect()) == [3, 4]
+    two = catalog.transact(lambda d: d.change("t", frame((5, "")).select("k"), frame((5, "z"))))  # a bucket written anew is as it was shown
+    assert shown(two) == sorted([*(r for r in want if r[0] != 5), (5, "z")], key=str)
+    catalog.vacuum(keep=1, idle_seconds=0)
+    assert shown(catalog.last()) == shown(two)
+    for i in range(4):
+        last = catalog.transact(lambda d, i=i: d.hide("t", frame((10 + i, "")).select("k"), frame()))
+    assert "hidden" not in last.tables["t"] and shown(last) == [r for r in shown(two) if r[0] not in range(10, 14)]
+
+
 def test_rules_keep_a_bad_state_out(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "c"))
 
@@ -134,6 +154,28 @@ def test_batches_equal_a_build_over_all_papers(spark, tmp_path):
         assert rows(state.read("by_concept"), "paper_id", "phase", "idx", "rk") == rows(whole.resolved, "paper_id", "phase", "idx", "rk")
 
 
+def test_a_batch_over_all_buckets_writes_its_own_rows_only(spark, tmp_path):
+    """What a batch leaves of other papers isn't written anew, and all tables are those of a build over all papers."""
+    rng = random.Random(3)
+    lexicon = spark.createDataFrame([(0, "A", ["long a"], "approved", "", "", ""), (1, "Bee", ["b"], "rejected", "", "", ""), (2, "Y", [], "unreviewed", "", "", "")], LEXICON)
+    mention, paper = MENTION.replace("paper_id string", "paper_id long"), PAPER.replace("paper_id string", "paper_id long")
+    catalog, have = Catalog(spark, str(tmp_path / "c")), {}
+    catalog.write("lexicon", lexicon)
+    big, first = ("mentions", "by_concept", "relations"), None
+    for ids in (range(60), range(0, 70, 5), [2, 7, 60, 75]):
+        batch = {p: _random_papers(rng, [p]) for p in ids}
+        have |= batch
+        frame = spark.createDataFrame([m for ms in batch.values() for m in ms], mention)
+        state = incremental.ingest_batch(catalog, frame, spark.createDataFrame([(p, None, None, None, None) for p in ids], paper), buckets=4)
+        first = first or {t: state.tables[t]["parts"] for t in big}
+        assert all(p in state.tables[t]["parts"] for t in big for p in first[t])
+    everything = spark.createDataFrame([m for ms in have.values() for m in ms], mention)
+    whole = Catalog(spark, str(tmp_path / "whole")).transact(lambda d: incremental.build(d, everything, state.read("papers"), lexicon, buckets=4))
+    for table in ("mentions", "by_concept", "odd", "names", "concepts", "nodes", "relations"):
+        got, want = (sorted(map(str, s.read(table).select(*whole.schema(table).names).collect())) for s in (state, whole))
+        assert got == want and got, table
+
+
 def test_a_small_batch_reads_few_buckets(spark, tmp_path, monkeypatch):
     catalog = Catalog(spark, str(tmp_path / "c"))
     catalog.write("lexicon", spark.createDataFrame([(0, "A", [], "approved", "", "", "")], LEXICON))
